@@ -13,13 +13,13 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from likeness.operators import blocks
-from likeness.session import cut
+from likeness.operators.topn import first_per_group
 
 MAX_CELLS = 4096
 # Distances that tie at 12 decimals may lie 1.5e-6 apart as angles, and angles near 0
@@ -37,9 +37,18 @@ class Cells:
     dim: int
 
 
-def sample_pivots(vectors: DataFrame, n: int) -> np.ndarray:
-    """``n`` rows chosen by a hash of their id, equal rows once. At most MAX_CELLS."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id").limit(min(n, MAX_CELLS)).collect()
+def sample_pivots(vectors: DataFrame, n: int, total: int) -> np.ndarray:
+    """About ``n`` of ``total`` rows chosen by a hash of their id, equal rows once.
+
+    The hash leaves some eight times as many rows as are wanted, so that ordering them
+    does not gather ``n`` rows from every partition. At most MAX_CELLS are returned.
+    """
+    n = min(n, MAX_CELLS)
+    place = F.xxhash64("id").cast("double") / 2.0**64 + 0.5
+    some = vectors.filter(place <= 8.0 * n / max(1, total))
+    rows = some.orderBy(F.xxhash64("id"), "id").limit(n).collect()
+    if not rows:
+        rows = vectors.limit(1).collect()
     unit = blocks.unit_rows(np.array([r["vector"] for r in rows], dtype=np.float64))
     _, first = np.unique(np.round(unit, 9), axis=0, return_index=True)
     return unit[np.sort(first)]
@@ -75,8 +84,9 @@ def build_cells(
 ) -> Cells:
     vectors = vectors.select("id", "vector")
     if pivots is None:
-        n = n_cells or max(1, min(MAX_CELLS, math.ceil(vectors.count() / block_rows)))
-        pivots = sample_pivots(vectors, n)
+        total = vectors.count()
+        n = n_cells or max(1, min(MAX_CELLS, math.ceil(total / block_rows)))
+        pivots = sample_pivots(vectors, n, total)
     return Cells(pivots, assign(vectors, pivots), dim)
 
 
@@ -98,11 +108,10 @@ def read_cells(spark, path: str) -> Cells:
 
 def cell_facts(index: Cells, k: int):
     """Arrays over cells: rows, radius, and the angle of the k-th row from the pivot."""
-    order = Window.partitionBy("cell").orderBy("angle")
     members = index.assigned.select("cell", "angle")
     sizes = members.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r"))
-    ranked = members.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
-    kth = ranked.filter(F.col("place") == k).select("cell", F.col("angle").alias("kth"))
+    ranked = first_per_group(members, ["cell"], ["angle"], k)
+    kth = ranked.filter(F.col("rank") == k).select("cell", F.col("angle").alias("kth"))
     count = np.zeros(len(index.pivots), np.int64)
     radius = np.zeros(len(index.pivots))
     within = np.full(len(index.pivots), np.inf)
@@ -138,10 +147,10 @@ def search(
 ) -> tuple[DataFrame, int]:
     """Partial hits (query_id, rank, id, distance) per tile, and the largest k.
 
-    ``queries`` has (query_id, vector, k). The caller ranks the partial hits.
+    ``queries`` has (query_id, vector, k) and is read several times, so it should be a
+    stored table. The caller ranks the partial hits.
     """
     spark = queries.sparkSession
-    queries = cut(queries)
     k_max = queries.agg(F.max("k")).head()[0] or 1
     # With the own row left out a query needs one row more to be sure of k.
     facts = cell_facts(index, k_max + int(exclude_self))

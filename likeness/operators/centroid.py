@@ -31,13 +31,13 @@ def weighted_mean(
         (F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))) if chunks > 1 else F.lit(0)).alias("c"),
     )
 
-    def total(i: int) -> Column:
-        value = F.get(F.col("vector"), F.col("c") * CHUNK + i).cast("double")
-        return F.sum(value * F.col("w")).alias(f"s{i}")
-
     width = min(CHUNK, dim)
-    sums = cut.groupBy(key, "c").agg(F.sum("w").alias("w"), *[total(i) for i in range(width)])
-    part = F.array(*[F.col(f"s{i}") / F.col("w") for i in range(width)])
+    value = "CAST(get(vector, c * {c} + {i}) AS DOUBLE) * w"
+    sums = cut.groupBy(key, "c").agg(
+        F.sum("w").alias("w"),
+        *[F.expr(f"sum({value.format(c=CHUNK, i=i)}) AS s{i}") for i in range(width)],
+    )
+    part = F.expr(f"array({', '.join(f's{i} / w' for i in range(width))})")
     means = sums.select(key, "c", part.alias("part"))
     if chunks == 1:
         return means.select(key, F.col("part").alias("vector"))

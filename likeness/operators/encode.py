@@ -63,8 +63,12 @@ def embed(inputs: DataFrame, factory: Callable[[], Callable]) -> DataFrame:
 
 def stale_inputs(inputs: DataFrame, vectors: DataFrame) -> DataFrame:
     """Inputs without a vector of the same text and settings: what a resumed run has to
-    do. Compares stamps only, no vector is read."""
-    return inputs.join(vectors.select("id", *STAMP), ["id", *STAMP], "left_anti")
+    do. Only ids and stamps are compared; the texts of few stale rows do not move."""
+    have = vectors.select("id", F.struct(*STAMP).alias("have"))
+    want = inputs.select("id", F.struct(*STAMP).alias("want"))
+    # Compared behind the join: as a join key the hash would be computed twice.
+    stale = want.join(have, "id", "left").filter(~F.col("have").eqNullSafe(F.col("want")))
+    return inputs.join(stale.select("id"), "id", "left_semi")
 
 
 def seeded_vectors(raw: DataFrame, dim: int = 768) -> DataFrame:

@@ -13,11 +13,13 @@ Three ways with the same result; which one runs depends on checked sizes:
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from likeness.operators import blocks, cells
+from likeness.operators.topn import first_per_group
+from likeness.session import cut
 
 BROADCAST_BYTES = 64 * 1024 * 1024
 BLOCK_ROWS = 16_384
@@ -34,14 +36,9 @@ def _hits_schema(query_type: T.DataType, id_type: T.DataType) -> T.StructType:
     )
 
 
-def rank_hits(hits: DataFrame, k: Column) -> DataFrame:
-    """The k nearest per query out of partial results; k may be a column of the hits.
-
-    Spark keeps at most the limit per query on each map side before the shuffle.
-    """
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
-    ranked = hits.withColumn("rank", F.row_number().over(order))
-    return ranked.filter(F.col("rank") <= k)
+def rank_hits(hits: DataFrame, k: int) -> DataFrame:
+    """The k nearest per query out of partial results."""
+    return first_per_group(hits, ["query_id"], ["distance", "id"], k)
 
 
 def dimension(vectors: DataFrame) -> int | None:
@@ -52,10 +49,10 @@ def dimension(vectors: DataFrame) -> int | None:
 def held_if_small(df: DataFrame, max_rows: int) -> pa.Table | None:
     """The rows of ``df`` if there are at most ``max_rows``, else None.
 
-    Never fetches more than ``max_rows`` + 1 rows.
+    They are counted first: a count reads no vectors, while a limit over many partitions
+    would gather that many rows from each.
     """
-    table = df.limit(max_rows + 1).toArrow()
-    return table if table.num_rows <= max_rows else None
+    return df.toArrow() if df.count() <= max_rows else None
 
 
 def with_k(queries: DataFrame, k: int | None) -> DataFrame:
@@ -73,19 +70,21 @@ def nearest(
     broadcast_bytes: int = BROADCAST_BYTES,
     block_rows: int = BLOCK_ROWS,
     n_cells: int | None = None,
+    dim: int | None = None,
 ) -> DataFrame:
     """The k nearest vectors of each query: (query_id, rank, id, distance, similarity).
 
     ``queries`` has (query_id, vector) and, unless ``k`` is given, its own k;
     ``vectors`` has (id, vector). Ties go to the smaller id. ``exclude_self`` leaves out
     the row whose id equals the query_id. ``strategy`` is ``auto``, ``hold_vectors``,
-    ``hold_queries`` (both still checked against the bound) or ``cells``.
+    ``hold_queries`` (both still checked against the bound) or ``cells``. ``dim`` is read
+    from the first vector unless given.
     """
     queries = with_k(queries, k)
     vectors = vectors.select("id", "vector")
     spark, sc = queries.sparkSession, queries.sparkSession.sparkContext
     schema = _hits_schema(queries.schema["query_id"].dataType, vectors.schema["id"].dataType)
-    dim = dimension(vectors)
+    dim = dim or dimension(vectors)
     if dim is None:
         return with_similarity(spark.createDataFrame([], schema))
     row_bytes = 8 * max(1, dim) + 64
@@ -100,6 +99,7 @@ def nearest(
         if strategy == "hold_vectors":
             raise ValueError("the vectors exceed broadcast_bytes")
 
+    queries = cut(queries)
     if strategy in ("auto", "hold_queries"):
         # The answers of one block weigh k × 16 bytes per query and count as well.
         table = held_if_small(queries, broadcast_bytes // row_bytes)
@@ -111,7 +111,7 @@ def nearest(
                 rows = blocks.unit_rows(blocks.matrix(table["vector"], dim))
                 held = sc.broadcast((blocks.combined(table["query_id"]), rows, ks))
                 work = blocks.search_held_queries(held, block_rows, exclude_self)
-                hits = rank_hits(vectors.mapInArrow(work, schema), F.lit(int(ks.max())))
+                hits = rank_hits(vectors.mapInArrow(work, schema), int(ks.max()))
                 own = spark.createDataFrame(table.select(["query_id", "k"]))
                 return with_similarity(hits if k is not None else _own_k(hits, own))
         if strategy == "hold_queries":
@@ -119,7 +119,7 @@ def nearest(
 
     index = cells.build_cells(vectors, dim, n_cells=n_cells, block_rows=block_rows)
     found, top = cells.search(index, queries, exclude_self=exclude_self, block_rows=block_rows)
-    hits = rank_hits(found, F.lit(top))
+    hits = rank_hits(found, top)
     return with_similarity(hits if k is not None else _own_k(hits, queries))
 
 
@@ -133,8 +133,8 @@ def nearest_in_cells(
     index: cells.Cells, queries: DataFrame, k: int, probes: int | None = None, **options
 ) -> DataFrame:
     """Search an index that is there already: exact, or approximate with ``probes``."""
-    found, top = cells.search(index, with_k(queries, k), probes=probes, **options)
-    return with_similarity(rank_hits(found, F.lit(top)))
+    found, top = cells.search(index, cut(with_k(queries, k)), probes=probes, **options)
+    return with_similarity(rank_hits(found, top))
 
 
 def with_similarity(hits: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """From names and ids to rows of the catalogue, for whole tables of requests.
 
-The catalogue is read once per step and reduced to one row per distinct name before any
-shuffle, so a name shared by a third of all rows costs one row per map task.
+The catalogue is read once and reduced to one row per distinct name before any shuffle,
+so a name shared by a third of all rows costs one row per map task.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from likeness.session import cut
+
 GRAM = 3
 # Names that share a frequent gram are spread over this many tasks.
 SALTS = 16
@@ -95,12 +97,14 @@ def resolve_names(names: DataFrame, catalogue: DataFrame) -> DataFrame:
     (``like``), in (name, id) order; else ``none``.
     """
     asked = names.select("name").distinct()
-    firsts = first_ids(catalogue)
-    looked_up = asked.join(firsts, "name", "left")
+    firsts = cut(first_ids(catalogue))
+    looked_up = cut(asked.join(firsts, "name", "left"))
     exact = looked_up.filter(F.col("id").isNotNull()).select(
         "name", F.lit("exact").alias("match_kind"), F.col("name").alias("matched_name"), "id"
     )
     missing = looked_up.filter(F.col("id").isNull()).select(F.col("name").alias("pattern"))
+    if missing.isEmpty():
+        return exact
     found = (
         containing_names(missing, firsts)
         .groupBy("pattern")
@@ -145,9 +149,9 @@ def resolve_requests(
     every request: ``ok``, ``not_found`` (some name is unknown) or ``empty``.
     """
     rows = clean_names(named_items(requests) if named is None else named)
-    counted = rows.groupBy("query_id", "name").agg(F.count("*").alias("n"))
-    known = resolve_names(rows, catalogue).select("name", "id")
-    resolved = counted.join(known, "name", "left")
+    counted = cut(rows.groupBy("query_id", "name").agg(F.count("*").alias("n")))
+    known = resolve_names(counted, catalogue).select("name", "id")
+    resolved = cut(counted.join(known, "name", "left"))
     verdict = resolved.groupBy("query_id").agg(
         F.bool_and(F.col("id").isNotNull()).alias("complete")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from likeness.operators.centroid import centroids
@@ -15,6 +15,7 @@ from likeness.operators.filters import (
 from likeness.operators.neighbours import dimension, nearest
 from likeness.operators.ordering import position_in_request
 from likeness.operators.resolve import resolve_names, resolve_requests
+from likeness.operators.topn import first_per_group
 
 HIT_FIELDS = [
     "name",
@@ -42,12 +43,15 @@ def describe(hits: DataFrame, cards: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def query_vectors(
-    requests: DataFrame, cards: DataFrame, vectors: DataFrame, named: DataFrame | None = None
+    requests: DataFrame,
+    cards: DataFrame,
+    vectors: DataFrame,
+    dim: int,
+    named: DataFrame | None = None,
 ):
     """(queries, members, status) of requests with several names each."""
     members, status = resolve_requests(requests, with_vector(cards, vectors), named)
     chosen = members.join(needed_vectors(vectors, members), "id")
-    dim = dimension(vectors) or 1
     return centroids(chosen, "query_id", dim, F.col("n")), members, status
 
 
@@ -69,18 +73,19 @@ def similar(
     left out after the search, so fewer than k may remain; ``refill`` asks for as many
     more. ``where`` limits the candidates before the search, so that k of them survive.
     """
-    queries, members, status = query_vectors(requests, cards, vectors, named)
+    dim = dimension(vectors) or 1
+    queries, members, status = query_vectors(requests, cards, vectors, dim, named)
     asked = requests.select("query_id", service_k(F.col("k")).cast("int").alias("k"))
     if refill:
         inputs = members.groupBy("query_id").agg(F.count("*").cast("int").alias("inputs"))
         asked = asked.join(inputs, "query_id").withColumn("k", F.col("k") + F.col("inputs"))
     queries = queries.join(asked.select("query_id", "k"), "query_id")
     pool = vectors if where is None else with_vector(vectors, cards.filter(where))
-    hits = exclude_inputs(nearest(queries, pool, **options), members)
+    hits = exclude_inputs(nearest(queries, pool, dim=dim, **options), members)
     if refill:
-        order = Window.partitionBy("query_id").orderBy("distance", "id")
         own = asked.select("query_id", (F.col("k") - F.col("inputs")).alias("k"))
-        hits = hits.withColumn("rank", F.row_number().over(order)).join(own, "query_id")
+        most = own.agg(F.max("k")).head()[0] or 1
+        hits = first_per_group(hits, ["query_id"], ["distance", "id"], most).join(own, "query_id")
         hits = hits.filter(F.col("rank") <= F.col("k")).drop("k")
     return describe(hits, cards, fields), status
 

@@ -12,7 +12,7 @@ from likeness.plans.registry import query
 from likeness.plans.text_plans import SQL_TAGGED, _embedding_sql
 from likeness.plans.vector_plans import sql_vector_text, vector_text
 from likeness.schema import VECTOR
-from likeness.session import fresh_dir
+from likeness.session import cut, fresh_dir
 from likeness.sources import batches, vector_table
 from likeness.sources.cards import read_cards
 from likeness.streaming.ingest import card_stream, run_ingest
@@ -202,7 +202,7 @@ def e4_seeded_vectors(spark, sf_dir):
 )
 def e6_t3_stale_inputs(spark, sf_dir):
     """Labelled records have a vector; those of quality 0 have one of other settings."""
-    inputs = encode.encoder_inputs(V.raw_cards(spark, sf_dir), CONFIG)
+    inputs = cut(encode.encoder_inputs(V.raw_cards(spark, sf_dir), CONFIG))
     labels = V.table(spark, sf_dir, "labels").select(
         F.col("doc_id").cast("string").alias("id"), "quality"
     )

@@ -148,8 +148,9 @@ def v3_request_members(spark, sf_dir):
 )
 def v4_centroids(spark, sf_dir):
     requests, named = V.order_requests(spark, sf_dir)
-    cards = V.cards(spark, sf_dir).select("id", "name")
-    queries, _, _ = similar.query_vectors(requests, cards, V.vectors(spark, sf_dir), named)
+    cards, vectors = V.cards(spark, sf_dir).select("id", "name"), V.vectors(spark, sf_dir)
+    dim = neighbours.dimension(vectors)
+    queries, _, _ = similar.query_vectors(requests, cards, vectors, dim, named)
     return queries.select("query_id", vector_text(F.col("vector")).alias("vector"))
 
 
