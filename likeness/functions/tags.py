@@ -16,6 +16,10 @@ OLD_WORDING = "converted mana cost"
 NEW_WORDING = "mana value"
 
 
+# Stands between tags while they are one string; no tag holds it.
+_BREAK = "\x01"
+
+
 @dataclass(frozen=True)
 class Words:
     """Gives ``tag`` when the lowercased text holds every word of ``needs``, at least
@@ -91,7 +95,13 @@ def unify_wording(text: Column) -> Column:
 
 
 def card_tags(type_line: Column, text: Column, rules: Sequence[Rule] = CARD_RULES) -> Column:
-    """The distinct tags that apply, in rule order."""
+    """The distinct tags that apply, in rule order.
+
+    ``concat_ws`` leaves out the rules that do not apply. Filtering an array would need
+    a lambda, which takes the whole expression out of generated code and lowercases the
+    text again for every rule.
+    """
     kind, words = F.lower(or_empty(type_line)), unify_wording(text)
-    tags = [rule.column(kind, words) for rule in rules]
-    return F.array_distinct(F.array_compact(F.array(*tags)))
+    tags = F.concat_ws(_BREAK, *[rule.column(kind, words) for rule in rules])
+    none = F.array().cast("array<string>")
+    return F.when(tags == "", none).otherwise(F.array_distinct(F.split(tags, _BREAK)))

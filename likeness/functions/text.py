@@ -111,7 +111,7 @@ def embedding_text(
         *[tag_line] * max(1, tags_weight),
         line("Oracle", text),
     ]
-    return F.array_join(F.array_compact(F.array(*lines)), "\n")
+    return F.concat_ws("\n", *lines)
 
 
 def card_page(set_code: Column, number: Column, card_id: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from likeness.operators import encode
@@ -21,8 +23,7 @@ DIM = 64
 CONFIG = encode.EncodeConfig(model="hashing-64", include_name=True, tags_weight=2)
 
 
-def _hashing():
-    return HashingEncoder(DIM)
+_hashing = partial(HashingEncoder, DIM)
 
 
 @query(
