@@ -48,45 +48,67 @@ def unit_rows(rows):
     return rows / lengths[:, None]
 
 
-def by_id(ids, rows):
-    """Ids and rows in ascending id order."""
-    ids = combined(ids)
-    order = pc.sort_indices(ids)
-    return ids.take(order), rows[order.to_numpy()]
+def equal_rows(rows):
+    """(first, group): the position of the first of each set of identical rows, and the
+    set every row belongs to."""
+    whole = np.ascontiguousarray(rows).view(np.dtype((np.void, rows.itemsize * rows.shape[1])))
+    _, first, group = np.unique(whole.ravel(), return_index=True, return_inverse=True)
+    return first, group.ravel()
 
 
-def nearest_columns(distances, k):
-    """Column numbers of the k smallest values per row, ties to the lower column.
+def by_id(ids, rows, most=None):
+    """Ids and rows in ascending id order.
 
-    Returns (columns, values), both rows × min(k, width), in ascending order.
+    Of identical rows only the ``most`` smallest ids stay: with ties going to the smaller
+    id, no other can be among the ``most`` nearest of anything.
+    """
+    ids = combined(ids)
+    order = pc.sort_indices(ids)
+    ids, rows = ids.take(order), rows[order.to_numpy()]
+    if most is None or len(rows) <= most:
+        return ids, rows
+    _, group = equal_rows(rows)
+    sets = np.argsort(group, kind="stable")
+    starts = np.searchsorted(group[sets], group[sets])
+    keep = np.empty(len(rows), bool)
+    keep[sets] = np.arange(len(rows)) - starts < most
+    if keep.all():
+        return ids, rows
+    return ids.filter(pa.array(keep)), rows[keep]
+
+
+def nearest_columns(opposed, k):
+    """Column numbers of the k nearest per row and their distances, both in order.
+
+    ``opposed`` holds negated cosines. Columns stand in id order, so ties go to the lower
+    one. Only candidates for the k nearest are rounded and sorted.
     """
-    height, width = distances.shape
+    height, width = opposed.shape
     if width > k:
-        bound = np.partition(distances, k - 1, axis=1)[:, k - 1 : k]
-        keep = distances <= bound
-        crowded = np.flatnonzero(keep.sum(axis=1) > k)
-        if len(crowded):
-            part, limit = distances[crowded], bound[crowded]
-            closer, ties = part < limit, part == limit
-            room = k - closer.sum(axis=1, keepdims=True)
-            keep[crowded] = closer | (ties & (np.cumsum(ties, axis=1, dtype=np.int32) <= room))
-        columns = np.nonzero(keep)[1].reshape(height, k)
+        bound = np.partition(opposed, k - 1, axis=1)[:, k - 1 : k] + 2 * 10.0**-TIE_DECIMALS
+        close = opposed <= bound
+        crowded = np.flatnonzero(close.sum(axis=1) > k)
+        for line in crowded:
+            columns = np.flatnonzero(close[line])
+            values = np.round(1.0 + opposed[line, columns], TIE_DECIMALS)
+            close[line] = False
+            close[line, columns[np.argsort(values, kind="stable")[:k]]] = True
+        columns = np.nonzero(close)[1].reshape(height, k)
     else:
         columns = np.broadcast_to(np.arange(width), (height, width))
-    values = np.take_along_axis(distances, columns, axis=1)
+    # Adding 0.0 turns -0.0 into 0.0.
+    values = np.round(1.0 + np.take_along_axis(opposed, columns, axis=1), TIE_DECIMALS) + 0.0
     order = np.argsort(values, axis=1, kind="stable")
     return np.take_along_axis(columns, order, axis=1), np.take_along_axis(values, order, axis=1)
 
 
-def distance_rows(queries, rows):
-    return np.round(1.0 - queries @ rows.T, TIE_DECIMALS) + 0.0
-
-
 def top_k(query_ids, queries, ks, ids, rows, exclude_self):
     """The nearest rows of one block for each query of one block.
 
     ``ids``/``rows`` come in id order and ``queries``/``rows`` at unit length. Yields
-    record batches (query_id, rank, id, distance); ranks count within the block.
+    record batches (query_id, rank, id, distance); ranks count within the block. Equal
+    queries are compared once. With ``exclude_self`` one hit more is looked up, and the
+    query's own row is left out of them.
     """
     query_ids, ids = combined(query_ids), combined(ids)
     if not len(ids) or not len(query_ids):
@@ -95,22 +117,24 @@ def top_k(query_ids, queries, ks, ids, rows, exclude_self):
     if exclude_self:
         found = pc.index_in(query_ids.cast(ids.type), value_set=ids)
         own = pc.fill_null(found, -1).to_numpy(zero_copy_only=False)
+    first, group = equal_rows(queries)
+    asking = np.argsort(group, kind="stable")
+    ends = np.searchsorted(group[asking], np.arange(len(first) + 1))
     step = max(1, MATRIX_CELLS // len(ids))
-    for start in range(0, len(query_ids), step):
-        stop = min(start + step, len(query_ids))
-        distances = distance_rows(queries[start:stop], rows)
-        if own is not None:
-            hit = np.flatnonzero(own[start:stop] >= 0)
-            distances[hit, own[start:stop][hit]] = np.inf
-        wanted = ks[start:stop]
-        columns, values = nearest_columns(distances, max(1, int(wanted.max())))
-        ranks = np.arange(1, columns.shape[1] + 1)
-        keep = (ranks[None, :] <= wanted[:, None]) & np.isfinite(values)
-        line, place = np.nonzero(keep)
+    for start in range(0, len(first), step):
+        stop = min(start + step, len(first))
+        opposed = -queries[first[start:stop]] @ rows.T
+        lines = asking[ends[start] : ends[stop]]
+        wanted = ks[lines]
+        columns, values = nearest_columns(opposed, max(1, int(wanted.max()) + exclude_self))
+        columns, values = columns[group[lines] - start], values[group[lines] - start]
+        other = np.ones(columns.shape, bool) if own is None else columns != own[lines][:, None]
+        ranks = np.cumsum(other, axis=1, dtype=np.int32)
+        line, place = np.nonzero(other & (ranks <= wanted[:, None]))
         yield pa.record_batch(
             [
-                query_ids.take(pa.array(line + start)),
-                pa.array(ranks[place].astype(np.int32)),
+                query_ids.take(pa.array(lines[line])),
+                pa.array(ranks[line, place]),
                 ids.take(pa.array(columns[line, place])),
                 pa.array(values[line, place]),
             ],
@@ -151,8 +175,10 @@ def search_held_queries(held, block_rows, exclude_self):
 
     def run(batches):
         query_ids, queries, ks = held.value
+        most = int(ks.max()) + exclude_self
         for table in gathered(batches, block_rows):
-            ids, rows = by_id(table["id"], unit_rows(matrix(table["vector"], queries.shape[1])))
+            rows = unit_rows(matrix(table["vector"], queries.shape[1]))
+            ids, rows = by_id(table["id"], rows, most)
             yield from top_k(query_ids, queries, ks, ids, rows, exclude_self)
 
     return run
@@ -164,9 +190,10 @@ def search_tile(exclude_self, schema):
     def run(left, right):
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        ids, rows = by_id(right["id"], unit_rows(matrix(right["vector"])))
-        queries = unit_rows(matrix(left["vector"], rows.shape[1]))
         ks = left["k"].to_numpy()
+        most = int(ks.max()) + exclude_self
+        ids, rows = by_id(right["id"], unit_rows(matrix(right["vector"])), most)
+        queries = unit_rows(matrix(left["vector"], rows.shape[1]))
         found = list(top_k(left["query_id"], queries, ks, ids, rows, exclude_self))
         return pa.Table.from_batches(found).cast(schema) if found else schema.empty_table()
 

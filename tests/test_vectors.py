@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from likeness.functions import vectors as X
 from likeness.operators import blocks, cells
@@ -155,11 +156,19 @@ def test_tiles_are_bounded(spark, points):
 
 def test_nearest_columns_breaks_ties_by_column():
     distances = np.array([[0.5, 0.1, 0.5, 0.5, 0.2], [1.0, 1.0, 1.0, 1.0, 1.0]])
-    columns, values = blocks.nearest_columns(distances, 3)
+    noise = np.array([[3e-16, 0, 0, -3e-16, 0], [0, 3e-16, -3e-16, 0, -5e-16]])
+    columns, values = blocks.nearest_columns(distances - 1 + noise, 3)
     assert columns.tolist() == [[1, 4, 0], [0, 1, 2]]
     assert values.tolist() == [[0.1, 0.2, 0.5], [1.0, 1.0, 1.0]]
 
 
+def test_surplus_copies_leave_a_block():
+    rows = np.array([[1.0, 0.0], [0.0, 1.0], [1.0, 0.0], [1.0, 0.0], [0.0, 1.0]])
+    ids, kept = blocks.by_id(pa.array(["e", "d", "c", "b", "a"]), rows, 2)
+    assert ids.to_pylist() == ["a", "b", "c", "d"]
+    assert kept.tolist() == [[0.0, 1.0], [1.0, 0.0], [1.0, 0.0], [0.0, 1.0]]
+
+
 @pytest.mark.parametrize("dim", [3, 64, 150])
 def test_centroids(spark, dim):
     rng = np.random.default_rng(dim)
