@@ -41,6 +41,32 @@ def matrix(vectors, dim=None):
     return flat.astype(np.float64).reshape(len(vectors), lengths[0])
 
 
+def packed(vectors, kind):
+    """An Arrow list column as a binary column of raw values of one numpy kind.
+
+    Vectors cross shuffles and the border to Python as bytes; as arrays every value is
+    written on its own.
+    """
+    rows = np.ascontiguousarray(matrix(vectors), dtype=kind)
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.itemsize * rows.shape[1])
+    buffers = [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(rows.tobytes())]
+    return pa.Array.from_buffers(pa.binary(), len(rows), buffers)
+
+
+def unpacked(column, kind):
+    """Rows of a packed column as doubles; all must have the same length."""
+    column = combined(column).cast(pa.large_binary())
+    if not len(column):
+        return np.empty((0, 0))
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1]
+    lengths = np.unique(np.diff(ends))
+    if len(lengths) != 1:
+        raise ValueError("vectors must all have one number of dimensions")
+    values = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind)
+    return values.reshape(len(column), -1).astype(np.float64)
+
+
 def unit_rows(rows):
     """Rows scaled to length 1; zero rows stay zero, at distance 1 from everything."""
     lengths = np.sqrt(np.einsum("ij,ij->i", rows, rows))
@@ -77,29 +103,36 @@ def by_id(ids, rows, most=None):
     return ids.filter(pa.array(keep)), rows[keep]
 
 
-def nearest_columns(opposed, k):
-    """Column numbers of the k nearest per row and their distances, both in order.
+def nearest_columns(queries, rows, queries_32, rows_32, k):
+    """Column numbers of the k nearest rows per query and their distances, in order.
 
-    ``opposed`` holds negated cosines. Columns stand in id order, so ties go to the lower
-    one. Only candidates for the k nearest are rounded and sorted.
+    Rows stand in id order, so ties go to the lower column. Single precision finds the
+    candidates: whatever lies within its error bound of the k-th; their distances are
+    then computed in double precision, so the result does not depend on the first pass.
     """
-    height, width = opposed.shape
-    if width > k:
-        bound = np.partition(opposed, k - 1, axis=1)[:, k - 1 : k] + 2 * 10.0**-TIE_DECIMALS
-        close = opposed <= bound
-        crowded = np.flatnonzero(close.sum(axis=1) > k)
-        for line in crowded:
-            columns = np.flatnonzero(close[line])
-            values = np.round(1.0 + opposed[line, columns], TIE_DECIMALS)
-            close[line] = False
-            close[line, columns[np.argsort(values, kind="stable")[:k]]] = True
-        columns = np.nonzero(close)[1].reshape(height, k)
+    height, width, dim = len(queries), len(rows), queries.shape[1]
+    if width <= 4 * k:
+        line, column = np.divmod(np.arange(height * width), width)
+        cosines = (queries @ rows.T).ravel()
     else:
-        columns = np.broadcast_to(np.arange(width), (height, width))
+        opposed = -queries_32 @ rows_32.T
+        # A dot product of unit vectors errs by at most (dim + 2) roundings.
+        slack = 2 * (dim + 2) * float(np.finfo(np.float32).eps) + 10.0**-TIE_DECIMALS
+        bound = np.partition(opposed, k - 1, axis=1)[:, k - 1 : k] + np.float32(slack)
+        line, column = np.nonzero(opposed <= bound)
+        cosines = np.empty(len(line))
+        step = max(1, MATRIX_CELLS // dim)
+        for start in range(0, len(line), step):
+            part = slice(start, start + step)
+            cosines[part] = np.einsum("ij,ij->i", queries[line[part]], rows[column[part]])
     # Adding 0.0 turns -0.0 into 0.0.
-    values = np.round(1.0 + np.take_along_axis(opposed, columns, axis=1), TIE_DECIMALS) + 0.0
-    order = np.argsort(values, axis=1, kind="stable")
-    return np.take_along_axis(columns, order, axis=1), np.take_along_axis(values, order, axis=1)
+    values = np.round(1.0 - cosines, TIE_DECIMALS) + 0.0
+    order = np.lexsort((column, values, line))
+    line, column, values = line[order], column[order], values[order]
+    place = np.arange(len(line)) - np.searchsorted(line, line)
+    kept = place < k
+    shape = (height, min(k, width))
+    return column[kept].reshape(shape), values[kept].reshape(shape)
 
 
 def top_k(query_ids, queries, ks, ids, rows, exclude_self):
@@ -121,12 +154,14 @@ def top_k(query_ids, queries, ks, ids, rows, exclude_self):
     asking = np.argsort(group, kind="stable")
     ends = np.searchsorted(group[asking], np.arange(len(first) + 1))
     step = max(1, MATRIX_CELLS // len(ids))
+    rows_32 = rows.astype(np.float32)
     for start in range(0, len(first), step):
         stop = min(start + step, len(first))
-        opposed = -queries[first[start:stop]] @ rows.T
+        some = queries[first[start:stop]]
         lines = asking[ends[start] : ends[stop]]
         wanted = ks[lines]
-        columns, values = nearest_columns(opposed, max(1, int(wanted.max()) + exclude_self))
+        most = max(1, int(wanted.max()) + exclude_self)
+        columns, values = nearest_columns(some, rows, some.astype(np.float32), rows_32, most)
         columns, values = columns[group[lines] - start], values[group[lines] - start]
         other = np.ones(columns.shape, bool) if own is None else columns != own[lines][:, None]
         ranks = np.cumsum(other, axis=1, dtype=np.int32)
@@ -184,7 +219,7 @@ def search_held_queries(held, block_rows, exclude_self):
     return run
 
 
-def search_tile(exclude_self, schema):
+def search_tile(guest_kind, member_kind, exclude_self, schema):
     """Co-grouped: the queries of one tile against the vectors of the same tile."""
 
     def run(left, right):
@@ -192,8 +227,10 @@ def search_tile(exclude_self, schema):
             return schema.empty_table()
         ks = left["k"].to_numpy()
         most = int(ks.max()) + exclude_self
-        ids, rows = by_id(right["id"], unit_rows(matrix(right["vector"])), most)
-        queries = unit_rows(matrix(left["vector"], rows.shape[1]))
+        ids, rows = by_id(right["id"], unit_rows(unpacked(right["packed"], member_kind)), most)
+        queries = unit_rows(unpacked(left["packed"], guest_kind))
+        if queries.shape[1] != rows.shape[1]:
+            raise ValueError(f"queries must all have {rows.shape[1]} dimensions")
         found = list(top_k(left["query_id"], queries, ks, ids, rows, exclude_self))
         return pa.Table.from_batches(found).cast(schema) if found else schema.empty_table()
 
@@ -204,8 +241,8 @@ def angles(rows, pivots):
     return np.arccos(np.clip(rows @ pivots.T, -1.0, 1.0))
 
 
-def nearest_pivot(held, out_names):
-    """Map over vectors: adds the nearest pivot and the angle to it."""
+def nearest_pivot(held, kind):
+    """Map over vectors: (id, packed, cell, angle), by the nearest pivot."""
 
     def run(batches):
         pivots = held.value
@@ -221,9 +258,9 @@ def nearest_pivot(held, out_names):
                 cell = turn.argmin(axis=1)
                 cells[start : start + step] = cell
                 turns[start : start + step] = turn[np.arange(len(cell)), cell]
-            added = {"cell": pa.array(cells), "angle": pa.array(turns)}
             yield pa.record_batch(
-                [added[n] if n in added else batch[n] for n in out_names], names=out_names
+                [batch["id"], packed(batch["vector"], kind), pa.array(cells), pa.array(turns)],
+                names=["id", "packed", "cell", "angle"],
             )
 
     return run
@@ -247,10 +284,11 @@ def reach(turn, radius, count, kth, k, slack):
     return (turn - radius <= bound[:, None] + slack) & (count > 0)
 
 
-def visited_cells(held, k_max, probes, slack, keep_vector):
+def visited_cells(held, probes, slack, kind):
     """Map over queries: one row per cell the query has to visit.
 
-    ``probes`` None visits all that may matter (exact), else the nearest ``probes``.
+    ``probes`` None visits all that may matter (exact), else the nearest ``probes``. The
+    vectors are kept, packed, if a ``kind`` is given.
     """
 
     def run(batches):
@@ -260,11 +298,13 @@ def visited_cells(held, k_max, probes, slack, keep_vector):
                 continue
             rows = unit_rows(matrix(batch["vector"], pivots.shape[1]))
             ks = batch["k"].to_numpy(zero_copy_only=False)
-            step = max(1, MATRIX_CELLS // len(pivots))
+            raw = packed(batch["vector"], kind) if kind else None
+            # Queries at a time: bounds the angles and what one batch of visits may weigh.
+            step = max(1, MATRIX_CELLS // len(pivots) // rows.shape[1] * 8)
             for start in range(0, len(rows), step):
                 turn = angles(rows[start : start + step], pivots)
                 if probes is None:
-                    # kth is the angle of the k_max-th row, so it bounds any smaller k too.
+                    # kth is the angle of the row in the largest k's place, a bound for all.
                     visit = reach(turn, radius, count, kth, ks[start : start + step], slack)
                 else:
                     turn = np.where(count > 0, turn, np.inf)
@@ -273,11 +313,11 @@ def visited_cells(held, k_max, probes, slack, keep_vector):
                     np.put_along_axis(visit, near, True, axis=1)
                     visit &= count > 0
                 line, cell = np.nonzero(visit)
-                chosen = batch.take(pa.array(line + start))
-                names = ["query_id", "k"] + (["vector"] if keep_vector else [])
-                yield pa.record_batch(
-                    [chosen[n] for n in names] + [pa.array(cell.astype(np.int32))],
-                    names=names + ["cell"],
-                )
+                lines = pa.array(line + start)
+                columns = {"query_id": batch["query_id"].take(lines), "k": batch["k"].take(lines)}
+                if kind:
+                    columns["packed"] = raw.take(lines)
+                columns["cell"] = pa.array(cell.astype(np.int32))
+                yield pa.record_batch(list(columns.values()), names=list(columns))
 
     return run

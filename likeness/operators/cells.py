@@ -30,11 +30,17 @@ ANGLE_SLACK = 3e-6
 @dataclass(frozen=True)
 class Cells:
     """``pivots`` are unit rows on the driver (at most MAX_CELLS); ``assigned`` has
-    (id, vector, cell, angle)."""
+    (id, packed, cell, angle), where ``packed`` are the raw values of a vector, of the
+    numpy kind ``kind``."""
 
     pivots: np.ndarray
     assigned: DataFrame
-    dim: int
+    kind: str
+
+
+def value_kind(df: DataFrame) -> str:
+    """The numpy kind of the values in the column ``vector``."""
+    return "<f4" if df.schema["vector"].dataType.elementType == T.FloatType() else "<f8"
 
 
 def sample_pivots(vectors: DataFrame, n: int, total: int) -> np.ndarray:
@@ -65,18 +71,21 @@ def kmeans_pivots(vectors: DataFrame, n: int, seed: int = 7) -> np.ndarray:
 
 
 def assign(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Adds the nearest pivot as ``cell`` and the angle to it; no shuffle."""
+    """(id, packed, cell, angle): the nearest pivot and the angle to it; no shuffle."""
     held = vectors.sparkSession.sparkContext.broadcast(pivots)
-    kept = [f for f in vectors.schema.fields if f.name not in ("cell", "angle")]
     schema = T.StructType(
-        kept + [T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())]
+        [
+            vectors.schema["id"],
+            T.StructField("packed", T.BinaryType()),
+            T.StructField("cell", T.IntegerType()),
+            T.StructField("angle", T.DoubleType()),
+        ]
     )
-    return vectors.mapInArrow(blocks.nearest_pivot(held, schema.fieldNames()), schema)
+    return vectors.mapInArrow(blocks.nearest_pivot(held, value_kind(vectors)), schema)
 
 
 def build_cells(
     vectors: DataFrame,
-    dim: int,
     *,
     n_cells: int | None = None,
     pivots: np.ndarray | None = None,
@@ -87,15 +96,15 @@ def build_cells(
         total = vectors.count()
         n = n_cells or max(1, min(MAX_CELLS, math.ceil(total / block_rows)))
         pivots = sample_pivots(vectors, n, total)
-    return Cells(pivots, assign(vectors, pivots), dim)
+    return Cells(pivots, assign(vectors, pivots), value_kind(vectors))
 
 
 def write_cells(index: Cells, path: str) -> None:
     """Keep the assignment, one folder per cell, so that later searches skip folders."""
     index.assigned.write.partitionBy("cell").parquet(f"{path}/members")
     spark = index.assigned.sparkSession
-    rows = [(i, [float(x) for x in p]) for i, p in enumerate(index.pivots)]
-    pivots = spark.createDataFrame(rows, "cell int, pivot array<double>")
+    rows = [(i, [float(x) for x in p], index.kind) for i, p in enumerate(index.pivots)]
+    pivots = spark.createDataFrame(rows, "cell int, pivot array<double>, kind string")
     pivots.coalesce(1).write.parquet(f"{path}/pivots")
 
 
@@ -103,7 +112,7 @@ def read_cells(spark, path: str) -> Cells:
     rows = spark.read.parquet(f"{path}/pivots").orderBy("cell").limit(MAX_CELLS).collect()
     pivots = np.array([r["pivot"] for r in rows])
     members = spark.read.parquet(f"{path}/members")
-    return Cells(pivots, members.select("id", "vector", "cell", "angle"), pivots.shape[1])
+    return Cells(pivots, members.select("id", "packed", "cell", "angle"), rows[0]["kind"])
 
 
 def cell_facts(index: Cells, k: int):
@@ -124,17 +133,16 @@ def cell_facts(index: Cells, k: int):
 
 
 def visits(
-    index: Cells, queries: DataFrame, facts, k_max: int, probes: int | None, keep_vector: bool
+    index: Cells, queries: DataFrame, facts, probes: int | None, kind: str | None = None
 ) -> DataFrame:
-    """(query_id, k[, vector], cell): the cells each query has to look into."""
+    """(query_id, k[, packed], cell): the cells each query has to look into."""
     count, radius, within = facts
     held = queries.sparkSession.sparkContext.broadcast((index.pivots, radius, count, within))
-    names = ["query_id", "k"] + (["vector"] if keep_vector else [])
-    schema = T.StructType(
-        [queries.schema[n] for n in names] + [T.StructField("cell", T.IntegerType())]
-    )
-    work = blocks.visited_cells(held, k_max, probes, ANGLE_SLACK, keep_vector)
-    return queries.mapInArrow(work, schema)
+    fields = [queries.schema["query_id"], queries.schema["k"]]
+    fields += [T.StructField("packed", T.BinaryType())] if kind else []
+    schema = T.StructType([*fields, T.StructField("cell", T.IntegerType())])
+    work = blocks.visited_cells(held, probes, ANGLE_SLACK, kind)
+    return queries.select("query_id", "vector", "k").mapInArrow(work, schema)
 
 
 def search(
@@ -155,7 +163,7 @@ def search(
     # With the own row left out a query needs one row more to be sure of k.
     facts = cell_facts(index, k_max + int(exclude_self))
     asked = queries.withColumn("k", F.col("k") + int(exclude_self))
-    tour = visits(index, asked, facts, k_max, probes, keep_vector=False)
+    tour = visits(index, asked, facts, probes)
     # One row per cell, at most MAX_CELLS.
     guests = {r["cell"]: r["n"] for r in tour.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     cuts = [
@@ -168,18 +176,18 @@ def search(
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
     members = (
-        index.assigned.select("id", "vector", "cell")
+        index.assigned.select("id", "packed", "cell")
         .join(plan, "cell")
         .withColumn("member_part", F.pmod(F.xxhash64("id"), F.col("member_cuts")).cast("int"))
         .withColumn("guest_part", spread("guest_cuts"))
-        .select("cell", "member_part", "guest_part", "id", "vector")
+        .select("cell", "member_part", "guest_part", "id", "packed")
     )
     guests_df = (
-        visits(index, asked, facts, k_max, probes, keep_vector=True)
+        visits(index, asked, facts, probes, value_kind(asked))
         .join(plan, "cell")
         .withColumn("guest_part", F.pmod(F.xxhash64("query_id"), F.col("guest_cuts")).cast("int"))
         .withColumn("member_part", spread("member_cuts"))
-        .select("cell", "member_part", "guest_part", "query_id", "vector", "k")
+        .select("cell", "member_part", "guest_part", "query_id", "packed", "k")
     )
     schema = T.StructType(
         [
@@ -190,7 +198,8 @@ def search(
         ]
     )
     tile = ["cell", "member_part", "guest_part"]
-    work = blocks.search_tile(exclude_self, to_arrow_schema(schema))
+    kinds = value_kind(asked), index.kind
+    work = blocks.search_tile(*kinds, exclude_self, to_arrow_schema(schema))
     found = guests_df.groupBy(*tile).cogroup(members.groupBy(*tile)).applyInArrow(work, schema)
     return found, k_max
 
@@ -199,7 +208,7 @@ def candidate_share(index: Cells, queries: DataFrame, probes: int | None, k: int
     """One row: the pairs a search looks at, all pairs, and the share looked at."""
     facts = cell_facts(index, k)
     asked = queries.select("query_id", "vector", F.lit(k).cast("int").alias("k"))
-    tour = visits(index, asked, facts, k, probes, keep_vector=False)
+    tour = visits(index, asked, facts, probes)
     sizes = index.assigned.groupBy("cell").agg(F.count("*").alias("n"))
     looked_at = tour.groupBy("cell").agg(F.count("*").alias("q")).join(sizes, "cell")
     total = F.lit(int(facts[0].sum()) * queries.count())

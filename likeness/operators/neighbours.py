@@ -118,7 +118,7 @@ def nearest(
         if strategy == "hold_queries":
             raise ValueError("the queries exceed broadcast_bytes")
 
-    index = cells.build_cells(vectors, dim, n_cells=n_cells, block_rows=block_rows)
+    index = cells.build_cells(vectors, n_cells=n_cells, block_rows=block_rows)
     found, top = cells.search(index, queries, exclude_self=exclude_self, block_rows=block_rows)
     hits = rank_hits(found, top)
     return with_similarity(hits if k is not None else _own_k(hits, queries))

@@ -228,7 +228,7 @@ def _all_as_queries(vectors: DataFrame) -> DataFrame:
 @query("v6_approximate_topk")
 def v6_approximate_topk(spark, sf_dir):
     vectors = V.vectors(spark, sf_dir)
-    index = cells.build_cells(vectors, neighbours.dimension(vectors), n_cells=16)
+    index = cells.build_cells(vectors, n_cells=16)
     return rounded(neighbours.nearest_in_cells(index, _all_as_queries(vectors), 10, probes=8))
 
 
@@ -237,10 +237,7 @@ def v6_recall(spark, sf_dir):
     vectors = V.vectors(spark, sf_dir)
     queries = _all_as_queries(vectors)
     exact = neighbours.nearest(queries, vectors, 10)
-    dim = neighbours.dimension(vectors)
-    index = cells.build_cells(
-        vectors, dim, pivots=cells.kmeans_pivots(vectors, 16)
-    )
+    index = cells.build_cells(vectors, pivots=cells.kmeans_pivots(vectors, 16))
     found = neighbours.nearest_in_cells(index, queries, 10, probes=8)
     share = cells.candidate_share(index, queries, 8, 10).head()
     return neighbours.recall(found, exact).withColumns(
@@ -261,7 +258,7 @@ def v6_recall(spark, sf_dir):
 def v6_all_cells(spark, sf_dir):
     """Probing every cell, the approximate search has to find what the exact one does."""
     vectors = V.vectors(spark, sf_dir)
-    index = cells.build_cells(vectors, neighbours.dimension(vectors), n_cells=4)
+    index = cells.build_cells(vectors, n_cells=4)
     return rounded(neighbours.nearest_in_cells(index, _all_as_queries(vectors), 5, probes=4))
 
 

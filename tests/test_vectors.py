@@ -120,7 +120,7 @@ def test_exact_search_skips_cells_of_clustered_data(spark):
     vectors = frame(spark, rows, "id")
     queries = vectors.withColumnRenamed("id", "query_id")
     pivots = blocks.unit_rows(centres)
-    index = cells.build_cells(vectors, 32, pivots=pivots)
+    index = cells.build_cells(vectors, pivots=pivots)
     share = cells.candidate_share(index, queries, None, 5).head()
     assert share["candidate_share"] < 0.2
     assert got(nearest_in_cells(index, queries, 5)) == brute(rows, rows, 5)
@@ -132,7 +132,7 @@ def test_approximate_search(spark, tmp_path):
     rows = [(f"v{i:03}", centres[i % 10] + 0.2 * rng.normal(size=16)) for i in range(400)]
     vectors = frame(spark, rows, "id")
     queries = vectors.withColumnRenamed("id", "query_id")
-    index = cells.build_cells(vectors, 16, pivots=cells.kmeans_pivots(vectors, 10))
+    index = cells.build_cells(vectors, pivots=cells.kmeans_pivots(vectors, 10))
     cells.write_cells(index, str(tmp_path / "index"))
     stored = cells.read_cells(spark, str(tmp_path / "index"))
     hits = nearest_in_cells(stored, queries, 5, probes=2)
@@ -144,7 +144,7 @@ def test_approximate_search(spark, tmp_path):
 
 def test_tiles_are_bounded(spark, points):
     """Copies holding a third of all rows, and queries that all visit them, are split."""
-    index = cells.build_cells(frame(spark, points, "id"), 12, n_cells=3)
+    index = cells.build_cells(frame(spark, points, "id"), n_cells=3)
     facts = cells.cell_facts(index, 3)
     assert facts[0].sum() == len(points)
     hits, _ = cells.search(
@@ -154,12 +154,21 @@ def test_tiles_are_bounded(spark, points):
     assert hits.groupBy("query_id").count().agg(F.max("count")).head()[0] > 3
 
 
-def test_nearest_columns_breaks_ties_by_column():
-    distances = np.array([[0.5, 0.1, 0.5, 0.5, 0.2], [1.0, 1.0, 1.0, 1.0, 1.0]])
-    noise = np.array([[3e-16, 0, 0, -3e-16, 0], [0, 3e-16, -3e-16, 0, -5e-16]])
-    columns, values = blocks.nearest_columns(distances - 1 + noise, 3)
-    assert columns.tolist() == [[1, 4, 0], [0, 1, 2]]
-    assert values.tolist() == [[0.1, 0.2, 0.5], [1.0, 1.0, 1.0]]
+@pytest.mark.parametrize(("n", "k"), [(5, 3), (300, 3), (300, 40)])
+def test_nearest_columns(n, k):
+    """With exact ties, and with rows that only differ beyond single precision."""
+    rng = np.random.default_rng(n + k)
+    rows = blocks.unit_rows(rng.normal(size=(n, 6)))
+    rows[n // 2] = rows[0]
+    rows[1::7] = blocks.unit_rows(rows[2:3] + 1e-9 * rng.normal(size=(len(rows[1::7]), 6)))
+    queries = np.concatenate([rows[:3], blocks.unit_rows(rng.normal(size=(4, 6)))])
+    single = queries.astype(np.float32), rows.astype(np.float32)
+    columns, values = blocks.nearest_columns(queries, rows, *single, k)
+    for line, query in enumerate(queries):
+        exact = [(round(1 - float(query @ row), 12) + 0.0, i) for i, row in enumerate(rows)]
+        want = sorted(exact)[:k]
+        assert np.allclose(values[line], [d for d, _ in want], atol=1e-12)
+        assert columns[line].tolist() == [i for _, i in want]
 
 
 def test_surplus_copies_leave_a_block():
