@@ -135,13 +135,13 @@ def nearest_columns(queries, rows, queries_32, rows_32, k):
     return column[kept].reshape(shape), values[kept].reshape(shape)
 
 
-def top_k(query_ids, queries, ks, ids, rows, exclude_self):
+def top_k(query_ids, queries, ks, ids, rows, exclude_self, reach=None):
     """The nearest rows of one block for each query of one block.
 
     ``ids``/``rows`` come in id order and ``queries``/``rows`` at unit length. Yields
     record batches (query_id, rank, id, distance); ranks count within the block. Equal
     queries are compared once. With ``exclude_self`` one hit more is looked up, and the
-    query's own row is left out of them.
+    query's own row is left out of them. Hits beyond a query's ``reach`` are not given.
     """
     query_ids, ids = combined(query_ids), combined(ids)
     if not len(ids) or not len(query_ids):
@@ -165,7 +165,10 @@ def top_k(query_ids, queries, ks, ids, rows, exclude_self):
         columns, values = columns[group[lines] - start], values[group[lines] - start]
         other = np.ones(columns.shape, bool) if own is None else columns != own[lines][:, None]
         ranks = np.cumsum(other, axis=1, dtype=np.int32)
-        line, place = np.nonzero(other & (ranks <= wanted[:, None]))
+        given = other & (ranks <= wanted[:, None])
+        if reach is not None:
+            given &= values <= reach[lines][:, None] + 2 * 10.0**-TIE_DECIMALS
+        line, place = np.nonzero(given)
         yield pa.record_batch(
             [
                 query_ids.take(pa.array(lines[line])),
@@ -225,13 +228,13 @@ def search_tile(guest_kind, member_kind, exclude_self, schema):
     def run(left, right):
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
-        ks = left["k"].to_numpy()
+        ks, reach = left["k"].to_numpy(), left["reach"].to_numpy()
         most = int(ks.max()) + exclude_self
         ids, rows = by_id(right["id"], unit_rows(unpacked(right["packed"], member_kind)), most)
         queries = unit_rows(unpacked(left["packed"], guest_kind))
         if queries.shape[1] != rows.shape[1]:
             raise ValueError(f"queries must all have {rows.shape[1]} dimensions")
-        found = list(top_k(left["query_id"], queries, ks, ids, rows, exclude_self))
+        found = list(top_k(left["query_id"], queries, ks, ids, rows, exclude_self, reach))
         return pa.Table.from_batches(found).cast(schema) if found else schema.empty_table()
 
     return run
@@ -266,55 +269,59 @@ def nearest_pivot(held, kind):
     return run
 
 
-def reach(turn, radius, count, kth, k, slack):
-    """Cells (boolean, query × cell) that may hold one of the k nearest rows.
+def cells_near(turn, count, k, probes):
+    """Cells (boolean, query × cell) by rising angle to their pivot: ``probes`` of them,
+    or as many as it takes to hold k rows."""
+    turn = np.where(count > 0, turn, np.inf)
+    order = np.argsort(turn, axis=1, kind="stable")
+    if probes is None:
+        held = count[order]
+        take = np.cumsum(held, axis=1) - held < k[:, None]
+    else:
+        take = np.broadcast_to(np.arange(turn.shape[1]) < probes, turn.shape)
+    visit = np.zeros(turn.shape, bool)
+    np.put_along_axis(visit, order, take, axis=1)
+    return visit & (count > 0)
+
 
-    ``turn`` are the angles from queries to pivots. By the triangle inequality a row of
-    a cell lies between turn - radius and turn + radius. The k nearest rows lie within
-    the smallest angle that is sure to take in k rows; a cell further off is skipped.
+def cells_within(turn, count, radius, reach, slack):
+    """Cells that may hold a row at a distance of at most ``reach``.
+
+    By the triangle inequality no row of a cell is closer than the angle to its pivot
+    less the radius of the cell.
     """
-    far = turn + radius
-    order = np.argsort(far, axis=1)
-    enough = np.cumsum(count[order], axis=1) >= k[:, None]
-    first = enough.argmax(axis=1)
-    lines = np.arange(len(turn))
-    sure = np.where(enough.any(axis=1), far[lines, order[lines, first]], np.inf)
-    with_kth = np.where(np.isfinite(kth), turn + kth, np.inf).min(axis=1)
-    bound = np.minimum(sure, with_kth)
-    return (turn - radius <= bound[:, None] + slack) & (count > 0)
+    widest = np.arccos(np.clip(1.0 - reach, -1.0, 1.0))
+    return (turn - radius <= widest[:, None] + slack) & (count > 0)
 
 
 def visited_cells(held, probes, slack, kind):
-    """Map over queries: one row per cell the query has to visit.
+    """Map over queries (query_id, vector, k, reach): one row per cell to look into.
 
-    ``probes`` None visits all that may matter (exact), else the nearest ``probes``. The
-    vectors are kept, packed, if a ``kind`` is given.
+    Queries with a ``reach`` visit all cells that may hold a row within it; those without
+    the nearest cells. The vectors are kept, packed, if a ``kind`` is given.
     """
 
     def run(batches):
-        pivots, radius, count, kth = held.value
+        pivots, count, radius = held.value
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = unit_rows(matrix(batch["vector"], pivots.shape[1]))
             ks = batch["k"].to_numpy(zero_copy_only=False)
+            reach = batch["reach"].to_numpy(zero_copy_only=False)
             raw = packed(batch["vector"], kind) if kind else None
             # Queries at a time: bounds the angles and what one batch of visits may weigh.
             step = max(1, MATRIX_CELLS // len(pivots) // rows.shape[1] * 8)
             for start in range(0, len(rows), step):
-                turn = angles(rows[start : start + step], pivots)
-                if probes is None:
-                    # kth is the angle of the row in the largest k's place, a bound for all.
-                    visit = reach(turn, radius, count, kth, ks[start : start + step], slack)
+                part = slice(start, start + step)
+                turn = angles(rows[part], pivots)
+                if np.isfinite(reach[part]).any():
+                    visit = cells_within(turn, count, radius, reach[part], slack)
                 else:
-                    turn = np.where(count > 0, turn, np.inf)
-                    near = np.argsort(turn, axis=1, kind="stable")[:, :probes]
-                    visit = np.zeros(turn.shape, bool)
-                    np.put_along_axis(visit, near, True, axis=1)
-                    visit &= count > 0
+                    visit = cells_near(turn, count, ks[part], probes)
                 line, cell = np.nonzero(visit)
                 lines = pa.array(line + start)
-                columns = {"query_id": batch["query_id"].take(lines), "k": batch["k"].take(lines)}
+                columns = {n: batch[n].take(lines) for n in ("query_id", "k", "reach")}
                 if kind:
                     columns["packed"] = raw.take(lines)
                 columns["cell"] = pa.array(cell.astype(np.int32))

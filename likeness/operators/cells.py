@@ -20,6 +20,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from likeness.operators import blocks
 from likeness.operators.topn import first_per_group
+from likeness.session import cut
 
 MAX_CELLS = 4096
 # Distances that tie at 12 decimals may lie 1.5e-6 apart as angles, and angles near 0
@@ -115,34 +116,26 @@ def read_cells(spark, path: str) -> Cells:
     return Cells(pivots, members.select("id", "packed", "cell", "angle"), rows[0]["kind"])
 
 
-def cell_facts(index: Cells, k: int):
-    """Arrays over cells: rows, radius, and the angle of the k-th row from the pivot."""
-    members = index.assigned.select("cell", "angle")
-    sizes = members.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r"))
-    ranked = first_per_group(members, ["cell"], ["angle"], k)
-    kth = ranked.filter(F.col("rank") == k).select("cell", F.col("angle").alias("kth"))
-    count = np.zeros(len(index.pivots), np.int64)
-    radius = np.zeros(len(index.pivots))
-    within = np.full(len(index.pivots), np.inf)
-    # One row per cell, at most MAX_CELLS.
-    for row in sizes.join(kth, "cell", "left").collect():
+def cell_facts(index: Cells) -> tuple[np.ndarray, np.ndarray]:
+    """Arrays over cells: their rows and their radius. At most MAX_CELLS are fetched."""
+    sizes = index.assigned.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r"))
+    count, radius = np.zeros(len(index.pivots), np.int64), np.zeros(len(index.pivots))
+    for row in sizes.collect():
         count[row["cell"]], radius[row["cell"]] = row["n"], row["r"]
-        if row["kth"] is not None:
-            within[row["cell"]] = row["kth"]
-    return count, radius, within
+    return count, radius
 
 
 def visits(
     index: Cells, queries: DataFrame, facts, probes: int | None, kind: str | None = None
 ) -> DataFrame:
-    """(query_id, k[, packed], cell): the cells each query has to look into."""
-    count, radius, within = facts
-    held = queries.sparkSession.sparkContext.broadcast((index.pivots, radius, count, within))
-    fields = [queries.schema["query_id"], queries.schema["k"]]
+    """(query_id, k, reach[, packed], cell): the cells each query has to look into."""
+    held = queries.sparkSession.sparkContext.broadcast((index.pivots, *facts))
+    names = ["query_id", "k", "reach"]
+    fields = [queries.schema[name] for name in names]
     fields += [T.StructField("packed", T.BinaryType())] if kind else []
     schema = T.StructType([*fields, T.StructField("cell", T.IntegerType())])
     work = blocks.visited_cells(held, probes, ANGLE_SLACK, kind)
-    return queries.select("query_id", "vector", "k").mapInArrow(work, schema)
+    return queries.select("vector", *names).mapInArrow(work, schema)
 
 
 def search(
@@ -152,20 +145,54 @@ def search(
     probes: int | None = None,
     exclude_self: bool = False,
     block_rows: int = 16_384,
-) -> tuple[DataFrame, int]:
-    """Partial hits (query_id, rank, id, distance) per tile, and the largest k.
+) -> DataFrame:
+    """The nearest rows (query_id, rank, id, distance) of queries (query_id, vector, k).
 
-    ``queries`` has (query_id, vector, k) and is read several times, so it should be a
-    stored table. The caller ranks the partial hits.
+    With ``probes`` each query looks into that many cells. Without, the search is exact:
+    it first looks into the nearest cells that hold k rows, which gives every query the
+    distance its k nearest cannot exceed, and then into all cells that may have a row
+    within it. The queries are read several times and should be a stored table.
     """
-    spark = queries.sparkSession
+    facts = cell_facts(index)
     k_max = queries.agg(F.max("k")).head()[0] or 1
-    # With the own row left out a query needs one row more to be sure of k.
-    facts = cell_facts(index, k_max + int(exclude_self))
+    # With its own row left out a query needs one row more to be sure of k.
     asked = queries.withColumn("k", F.col("k") + int(exclude_self))
-    tour = visits(index, asked, facts, probes)
+    asked = asked.withColumn("reach", F.lit(float("inf")))
+    options = {"exclude_self": exclude_self, "block_rows": block_rows}
+    near = _search_tiles(index, asked, facts, probes, **options)
+    ranked = first_per_group(near, ["query_id"], ["distance", "id"], k_max)
+    if probes is not None:
+        return ranked
+    # Fewer than k hits, as there are fewer rows, leave nothing out of reach: 2 is all.
+    reach = F.when(F.count("*") >= F.col("k"), F.max("distance")).otherwise(F.lit(2.0))
+    own = queries.select("query_id", "k")
+    bounds = (
+        ranked.join(own, "query_id")
+        .filter(F.col("rank") <= F.col("k"))
+        .groupBy("query_id", "k")
+        .agg(reach.alias("reach"))
+        .select("query_id", "reach")
+    )
+    bounded = asked.drop("reach").join(bounds, "query_id", "left")
+    bounded = cut(bounded.withColumn("reach", F.coalesce("reach", F.lit(2.0))))
+    found = _search_tiles(index, bounded, facts, None, **options)
+    return first_per_group(found, ["query_id"], ["distance", "id"], k_max)
+
+
+def _search_tiles(
+    index: Cells,
+    queries: DataFrame,
+    facts,
+    probes: int | None,
+    *,
+    exclude_self: bool,
+    block_rows: int,
+) -> DataFrame:
+    """Partial hits (query_id, rank, id, distance): the nearest rows of each tile."""
+    spark = queries.sparkSession
+    tour = visits(index, queries, facts, probes).groupBy("cell").agg(F.count("*").alias("n"))
     # One row per cell, at most MAX_CELLS.
-    guests = {r["cell"]: r["n"] for r in tour.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    guests = {row["cell"]: row["n"] for row in tour.collect()}
     cuts = [
         (cell, max(1, math.ceil(int(facts[0][cell]) / block_rows)), math.ceil(n / block_rows))
         for cell, n in guests.items()
@@ -175,19 +202,23 @@ def search(
     def spread(count: str):
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
+    def part(key: str, count: str):
+        return F.pmod(F.xxhash64(key), F.col(count)).cast("int")
+
+    tile = ["cell", "member_part", "guest_part"]
     members = (
         index.assigned.select("id", "packed", "cell")
         .join(plan, "cell")
-        .withColumn("member_part", F.pmod(F.xxhash64("id"), F.col("member_cuts")).cast("int"))
+        .withColumn("member_part", part("id", "member_cuts"))
         .withColumn("guest_part", spread("guest_cuts"))
-        .select("cell", "member_part", "guest_part", "id", "packed")
+        .select(*tile, "id", "packed")
     )
-    guests_df = (
-        visits(index, asked, facts, probes, value_kind(asked))
+    asking = (
+        visits(index, queries, facts, probes, value_kind(queries))
         .join(plan, "cell")
-        .withColumn("guest_part", F.pmod(F.xxhash64("query_id"), F.col("guest_cuts")).cast("int"))
+        .withColumn("guest_part", part("query_id", "guest_cuts"))
         .withColumn("member_part", spread("member_cuts"))
-        .select("cell", "member_part", "guest_part", "query_id", "packed", "k")
+        .select(*tile, "query_id", "packed", "k", "reach")
     )
     schema = T.StructType(
         [
@@ -197,21 +228,25 @@ def search(
             T.StructField("distance", T.DoubleType()),
         ]
     )
-    tile = ["cell", "member_part", "guest_part"]
-    kinds = value_kind(asked), index.kind
+    kinds = value_kind(queries), index.kind
     work = blocks.search_tile(*kinds, exclude_self, to_arrow_schema(schema))
-    found = guests_df.groupBy(*tile).cogroup(members.groupBy(*tile)).applyInArrow(work, schema)
-    return found, k_max
+    return asking.groupBy(*tile).cogroup(members.groupBy(*tile)).applyInArrow(work, schema)
 
 
-def candidate_share(index: Cells, queries: DataFrame, probes: int | None, k: int) -> DataFrame:
-    """One row: the pairs a search looks at, all pairs, and the share looked at."""
-    facts = cell_facts(index, k)
-    asked = queries.select("query_id", "vector", F.lit(k).cast("int").alias("k"))
-    tour = visits(index, asked, facts, probes)
+def candidate_share(index: Cells, queries: DataFrame, probes: int, k: int) -> DataFrame:
+    """One row: the pairs a search with ``probes`` looks at, all pairs, and the share."""
+    facts = cell_facts(index)
+    asked = queries.select(
+        "query_id",
+        "vector",
+        F.lit(k).cast("int").alias("k"),
+        F.lit(float("inf")).alias("reach"),
+    )
     sizes = index.assigned.groupBy("cell").agg(F.count("*").alias("n"))
-    looked_at = tour.groupBy("cell").agg(F.count("*").alias("q")).join(sizes, "cell")
+    tour = visits(index, asked, facts, probes).groupBy("cell").agg(F.count("*").alias("q"))
     total = F.lit(int(facts[0].sum()) * queries.count())
-    return looked_at.agg(
-        F.sum(F.col("q") * F.col("n")).alias("pairs"), total.alias("all_pairs")
-    ).withColumn("candidate_share", F.try_divide("pairs", "all_pairs"))
+    return (
+        tour.join(sizes, "cell")
+        .agg(F.sum(F.col("q") * F.col("n")).alias("pairs"), total.alias("all_pairs"))
+        .withColumn("candidate_share", F.try_divide("pairs", "all_pairs"))
+    )

@@ -119,8 +119,7 @@ def nearest(
             raise ValueError("the queries exceed broadcast_bytes")
 
     index = cells.build_cells(vectors, n_cells=n_cells, block_rows=block_rows)
-    found, top = cells.search(index, queries, exclude_self=exclude_self, block_rows=block_rows)
-    hits = rank_hits(found, top)
+    hits = cells.search(index, queries, exclude_self=exclude_self, block_rows=block_rows)
     return with_similarity(hits if k is not None else _own_k(hits, queries))
 
 
@@ -134,8 +133,7 @@ def nearest_in_cells(
     index: cells.Cells, queries: DataFrame, k: int, probes: int | None = None, **options
 ) -> DataFrame:
     """Search an index that is there already: exact, or approximate with ``probes``."""
-    found, top = cells.search(index, cut(with_k(queries, k)), probes=probes, **options)
-    return with_similarity(rank_hits(found, top))
+    return with_similarity(cells.search(index, cut(with_k(queries, k)), probes=probes, **options))
 
 
 def with_similarity(hits: DataFrame) -> DataFrame:

@@ -121,8 +121,9 @@ def test_exact_search_skips_cells_of_clustered_data(spark):
     queries = vectors.withColumnRenamed("id", "query_id")
     pivots = blocks.unit_rows(centres)
     index = cells.build_cells(vectors, pivots=pivots)
-    share = cells.candidate_share(index, queries, None, 5).head()
-    assert share["candidate_share"] < 0.2
+    facts = cells.cell_facts(index)
+    near = queries.withColumn("k", F.lit(5)).withColumn("reach", F.lit(0.01))
+    assert cells.visits(index, near, facts, None).count() < 2 * len(rows)
     assert got(nearest_in_cells(index, queries, 5)) == brute(rows, rows, 5)
 
 
@@ -145,13 +146,16 @@ def test_approximate_search(spark, tmp_path):
 def test_tiles_are_bounded(spark, points):
     """Copies holding a third of all rows, and queries that all visit them, are split."""
     index = cells.build_cells(frame(spark, points, "id"), n_cells=3)
-    facts = cells.cell_facts(index, 3)
+    facts = cells.cell_facts(index)
     assert facts[0].sum() == len(points)
-    hits, _ = cells.search(
-        index, frame(spark, points, "query_id").withColumn("k", F.lit(3)), block_rows=30
-    )
+    queries = frame(spark, points, "query_id").withColumn("k", F.lit(3))
+    queries = queries.withColumn("reach", F.lit(2.0))
+    options = {"exclude_self": False, "block_rows": 30}
+    hits = cells._search_tiles(index, queries, facts, None, **options)
     # Each tile gives at most k hits per query, so several tiles give more than k.
     assert hits.groupBy("query_id").count().agg(F.max("count")).head()[0] > 3
+    whole = cells._search_tiles(index, queries, facts, None, exclude_self=False, block_rows=10**6)
+    assert whole.groupBy("query_id").count().agg(F.max("count")).head()[0] <= 3 * 3
 
 
 @pytest.mark.parametrize(("n", "k"), [(5, 3), (300, 3), (300, 40)])
