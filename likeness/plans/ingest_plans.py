@@ -11,7 +11,7 @@ from likeness.operators.encoders import HashingEncoder
 from likeness.operators.flatten import flatten_cards
 from likeness.plans import tables as V
 from likeness.plans.registry import query
-from likeness.plans.text_plans import SQL_TAGGED, _embedding_sql
+from likeness.plans.text_plans import SQL_TAGGED, embedding_sql
 from likeness.plans.vector_plans import sql_vector_text, vector_text
 from likeness.schema import VECTOR
 from likeness.session import cut, fresh_dir
@@ -197,7 +197,7 @@ def e4_seeded_vectors(spark, sf_dir):
 @query(
     "e6_t3_stale_inputs",
     V.with_ctes(V.SQL_RAW, SQL_TAGGED)
-    + f"""SELECT t.id, sha256({_embedding_sql(True, 2)}) AS text_hash FROM tagged t
+    + f"""SELECT t.id, sha256({embedding_sql(True, 2)}) AS text_hash FROM tagged t
     LEFT JOIN labels l ON t.id = CAST(l.doc_id AS VARCHAR)
     WHERE l.quality IS NULL OR l.quality = 0""",
 )
@@ -231,7 +231,7 @@ def _ingested(spark, sf_dir) -> vector_table.VectorTable:
 @query(
     "t1_ingest_stream",
     V.with_ctes(V.SQL_RAW, SQL_TAGGED)
-    + f"""SELECT id, sha256({_embedding_sql(True, 2)}) AS text_hash, 'hashing-64' AS model,
+    + f"""SELECT id, sha256({embedding_sql(True, 2)}) AS text_hash, 'hashing-64' AS model,
       true AS include_name, 2 AS tags_weight, 64 AS dim FROM tagged""",
 )
 def t1_ingest_stream(spark, sf_dir):

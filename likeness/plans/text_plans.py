@@ -237,7 +237,7 @@ def p10_p15_corpus_tags(spark, sf_dir):
     )
 
 
-def _embedding_sql(include_name: bool, weight: int) -> str:
+def embedding_sql(include_name: bool, weight: int) -> str:
     name = "CASE WHEN name <> '' THEN 'Name: ' || name END," if include_name else ""
     tag = "CASE WHEN len(tags) > 0 THEN 'Tags: ' || array_to_string(tags, ' ') END"
     return f"""array_to_string(list_filter([{name}
@@ -251,7 +251,7 @@ def _embedding_sql(include_name: bool, weight: int) -> str:
 @query(
     "p16_embedding_text",
     V.with_ctes(V.SQL_RAW, SQL_TAGGED)
-    + f"""SELECT id, {_embedding_sql(False, 0)} AS plain, {_embedding_sql(True, 3)} AS named
+    + f"""SELECT id, {embedding_sql(False, 0)} AS plain, {embedding_sql(True, 3)} AS named
     FROM tagged""",
 )
 def p16_embedding_text(spark, sf_dir):
