@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 
 from likeness.session import cut
 
-GRAM = 3
+# Patterns are looked up by substrings of these lengths, the longest that fits.
+SHORT_GRAM, LONG_GRAM = 3, 5
 # Names that share a frequent gram are spread over this many tasks.
 SALTS = 16
+# Up to this many patterns are tested on every name in one scan, without a join.
+FEW_PATTERNS = 16
 
 
 def first_ids(catalogue: DataFrame) -> DataFrame:
@@ -39,20 +42,22 @@ def _grams(text: Column, size: int) -> Column:
     return F.transform(starts, lambda i: F.substr(text, i, F.lit(size)))
 
 
-def name_grams(name: Column) -> Column:
-    """Every gram a pattern may be looked up by. All names hold the empty one."""
+def name_grams(name: Column, sizes: list[int]) -> Column:
+    """The grams of some sizes a name may be looked up by. All names hold the empty one."""
     text = F.lower(name)
-    sizes = [_grams(text, size) for size in range(1, GRAM + 1)]
-    return F.array_distinct(F.concat(F.array(F.lit("")), *sizes))
+    grams = [_grams(text, size) if size else F.array(F.lit("")) for size in sizes]
+    return F.array_distinct(F.concat(*grams))
 
 
 def pattern_grams(pattern: Column) -> Column:
-    """Grams that every match must hold: the long ones, else the literal pieces, else
-    the empty gram for a pattern of wildcards alone."""
+    """Grams that every match must hold: long ones, else short ones, else the literal
+    pieces, else the empty gram for a pattern of wildcards alone."""
     pieces = F.filter(F.split(F.lower(pattern), r"[*?]"), lambda p: p != "")
-    long = F.flatten(F.transform(pieces, lambda p: _grams(p, GRAM)))
+    long = F.flatten(F.transform(pieces, lambda p: _grams(p, LONG_GRAM)))
+    short = F.flatten(F.transform(pieces, lambda p: _grams(p, SHORT_GRAM)))
     return (
         F.when(F.size(long) > 0, F.array_distinct(long))
+        .when(F.size(short) > 0, F.array_distinct(short))
         .when(F.size(pieces) > 0, F.array_distinct(pieces))
         .otherwise(F.array(F.lit("")))
     )
@@ -61,11 +66,20 @@ def pattern_grams(pattern: Column) -> Column:
 def containing_names(patterns: DataFrame, names: DataFrame) -> DataFrame:
     """(pattern, name, ...) for all names that match; both inputs distinct.
 
-    Instead of trying all pairs, a pattern meets the names that hold its rarest gram;
-    the match itself is tested inside the join.
+    Few patterns become constants of one scan over the names. Else, instead of trying
+    all pairs, a pattern meets the names that hold its rarest gram, and the match itself
+    is tested inside the join.
     """
+    few = [row["pattern"] for row in patterns.limit(FEW_PATTERNS + 1).collect()]
+    if len(few) <= FEW_PATTERNS:
+        hits = [F.when(name_matches(F.col("name"), F.lit(p)), F.lit(p)) for p in few]
+        hits = F.array(*hits) if hits else F.array().cast("array<string>")
+        return names.select("*", F.explode(hits).alias("pattern")).filter("pattern IS NOT NULL")
     wanted = patterns.select("pattern", F.explode(pattern_grams(F.col("pattern"))).alias("gram"))
-    held = names.select("*", F.explode(name_grams(F.col("name"))).alias("gram"))
+    # At most one row per length up to the longest gram.
+    sizes = sorted(r[0] for r in wanted.select(F.length("gram")).distinct().collect())
+    grams = F.explode(name_grams(F.col("name"), sizes)).alias("gram")
+    held = names.select("*", grams)
     counts = (
         held.select("gram")
         .join(wanted.select("gram").distinct(), "gram", "left_semi")

@@ -38,10 +38,13 @@ def resolved(spark, cards, *names):
     return {r["name"]: (r["match_kind"], r["id"]) for r in rows}
 
 
-def test_names(spark, cards):
+@pytest.mark.parametrize("few", [0, 100])
+def test_names(spark, cards, monkeypatch, few):
+    """Both ways of matching: by constants, and by grams."""
+    monkeypatch.setattr(resolve, "FEW_PATTERNS", few)
     got = resolved(
         spark, cards, "Red Fox", "red", "JAY", "Jay", "ed*x", "r?d w", "r?dw", "no", "a.b*c", ".",
-        "*", "?????????????", "x" * 30, "[", "R",
+        "*", "?????????????", "x" * 30, "[", "R", "edwoo", "wood*", "*dwoo?",
     )
     assert got == {
         "Red Fox": ("exact", "1"),
@@ -59,6 +62,9 @@ def test_names(spark, cards):
         "x" * 30: ("none", None),
         "[": ("none", None),
         "R": ("like", "7"),
+        "edwoo": ("like", "3"),
+        "wood*": ("like", "3"),
+        "*dwoo?": ("like", "3"),
     }
 
 
