@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from likeness.llm import chat, licenses, quality, secrets
+from likeness.llm import bitplanes, chat, licenses, packing, quality, secrets, simhash
 from likeness.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
+from likeness.session import fresh_dir
 
 
 
@@ -66,6 +67,16 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_bit_planes")
+def op4_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, written as files of byte planes and read back."""
+    path = fresh_dir(spark, "planes")
+    docs = table(spark, sf_dir, "documents")
+    bitplanes.write_planes(docs, path, "byte_bpe_50k.json", end_id=2)
+    read = bitplanes.read_planes(spark, path)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query("op6_quality_bands")
 def op6_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word counts and compression ratios of every document, and the verdict."""
@@ -79,3 +90,16 @@ def op6_quality_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences of every document, by the digest of its text and of its lines."""
     return licenses.with_licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op8_best_fit_packing")
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document and their places in sequences of 2048 tokens."""
+    docs = table(spark, sf_dir, "documents")
+    return packing.pack(packing.token_pieces(docs, "word_bpe_49k.json", end_id=0))
+
+
+@query("op5_simhash_groups")
+def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    return simhash.with_groups(table(spark, sf_dir, "documents"))

@@ -76,3 +76,57 @@ def quality_row(doc_id, text):
         len(covered),
         n < 50 or 100 * len(covered) > 50 * n,
     )
+
+
+def fingerprint(text):
+    import xxhash
+
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = WORD.findall(lowered)
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components(nodes, linked):
+    """Smallest node reachable; linked(a, b) tells of a link."""
+    nodes = sorted(nodes)
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for i, a in enumerate(nodes):
+        for b in nodes[i + 1 :]:
+            if linked(a, b):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {n: find(n) for n in nodes}
+
+
+def simhash_rows(docs):
+    prints = {d: fingerprint(t) for d, t in docs}
+    groups = components(prints, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4)
+    return sorted((d, f"{prints[d]:016x}", groups[d]) for d in prints)
+
+
+def ids_of(vocabulary, text, end):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    if vocabulary not in KEPT:
+        KEPT[vocabulary] = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+    return [*KEPT[vocabulary].encode(text or "", add_special_tokens=False).ids, end]
+
+
+KEPT = {}
+
+
+def crc(ids):
+    import zlib
+
+    return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
