@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from likeness.llm import bitplanes, chat, licenses, packing, quality, secrets, simhash
+from likeness.llm import bitplanes, chat, licenses, mixing, packing, quality, secrets, simhash, topk
 from likeness.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 from likeness.session import fresh_dir
 
@@ -103,3 +103,19 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate group of every document."""
     return simhash.with_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op1_mix_sources", mixing.sql_mixture())
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of every document, and whether it is in the sample."""
+    docs = mixing.documents_with_margins(table(spark, sf_dir, "documents"))
+    slim = docs.select("doc_id", *mixing.MARGINS, "tokens")
+    mixed = mixing.with_mixture(slim, mixing.TEMPERS, "tokens")
+    return mixed.select("doc_id", "topic", "tokens", "probability", "sampled")
+
+
+@query("op10_exact_topk")
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best rows for every twentieth row."""
+    rows = table(spark, sf_dir, "embeddings")
+    return topk.top_k(rows, F.col("vec_id") % 20 == 0, 20)

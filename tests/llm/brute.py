@@ -130,3 +130,28 @@ def crc(ids):
     import zlib
 
     return zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def raked(cells, targets, sweeps):
+    """cells: {(v1, v2, ..): tokens}; targets: one {value: share} for each margin."""
+    weights = {c: float(n) for c, n in cells.items()}
+    for _ in range(sweeps):
+        for m, target in enumerate(targets):
+            held = Counter()
+            for c, w in weights.items():
+                held[c[m]] += w
+            weights = {c: w * target[c[m]] / held[c[m]] if held[c[m]] else 0.0 for c, w in weights.items()}
+    return weights
+
+
+def top(rows, asked, k, scale=64):
+    """rows: (id, vector); (query_id, rank, id, score)."""
+    import math
+
+    whole = {i: [math.floor(scale * float(x)) for x in v] for i, v in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    found = []
+    for q in whole:
+        if asked(q):
+            scores = [(-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q]
+            found += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k])]
+    return sorted(found)
