@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from likeness.llm import bitplanes, chat, licenses, mixing, packing, quality, secrets, simhash, topk
+from likeness.llm import bitplanes, chat, licenses, mixing, packing, quality, secrets, simhash
+from likeness.llm import substrings, topk
 from likeness.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 from likeness.session import fresh_dir
 
@@ -119,3 +120,9 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best rows for every twentieth row."""
     rows = table(spark, sf_dir, "embeddings")
     return topk.top_k(rows, F.col("vec_id") % 20 == 0, 20)
+
+
+@query("op9_substring_dedup")
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the passages that occurred earlier."""
+    return substrings.digests(table(spark, sf_dir, "documents"))

@@ -155,3 +155,19 @@ def top(rows, asked, k, scale=64):
             scores = [(-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q]
             found += [(q, r + 1, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k])]
     return sorted(found)
+
+
+def substring_rows(docs, window=20):
+    """docs: (doc_id, text); null ids come first."""
+    seen, found = set(), []
+    for doc_id, text in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0)):
+        words = WORD.findall(text or "")
+        gone = set()
+        for i in range(len(words) - window + 1):
+            own = tuple(words[i : i + window])
+            if own in seen:
+                gone.update(range(i, i + window))
+            seen.add(own)
+        kept = " ".join(w for i, w in enumerate(words) if i not in gone)
+        found.append((doc_id, len(words), len(gone), sha(kept)))
+    return found
