@@ -168,13 +168,13 @@ def read_planes(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of every document: ``start`` counts the ids of all
     documents before it, ``ids`` are little-endian unsigned 32-bit bytes."""
     files = spark.read.schema(FILES).parquet(path)
-    # One row for each task that wrote, so the running sum is over a bounded table.
+    # One row for each task that wrote: bounded by the number of tasks, not of documents.
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     parts = parts.select(
         F.col("part").alias("of"),
         (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("part_start"),
     )
-    placed = files.join(parts, files["part"] == parts["of"]).select(
+    placed = files.join(F.broadcast(parts), files["part"] == parts["of"]).select(
         (F.col("part_start") + F.col("before")).alias("start"), "body"
     )
 

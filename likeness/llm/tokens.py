@@ -11,7 +11,6 @@ of other letters.
 
 from __future__ import annotations
 
-import re
 import sys
 from array import array
 
@@ -19,12 +18,13 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Letters of the Latin-1 block, then what may end a word. Every Unicode version calls
-# the former letters.
-WORD = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!]*)")
-WHOLE = re.compile(r"\s\s|[^\S \n]|\s\Z|<\|")
+# White space other than space and newline, and what else keeps a text whole.
+BLANKS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    map(chr, range(0x2000, 0x200B))
+)
+WHOLE = (*BLANKS, "  ", " \n", "\n ", "\n\n", "<|")
 # Words a worker remembers in each of two generations, at about 230 bytes a word.
-REMEMBERED = 400_000
+REMEMBERED = 450_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -47,7 +47,7 @@ class Memory(dict):
         if found is None:
             found = self.find(word)
         if len(self) >= REMEMBERED:
-            self.older = dict(self)
+            self.older = self.copy()
             self.clear()
         self[word] = found
         return found
@@ -67,36 +67,39 @@ class Encoder:
         self.model = self.tokenizer.model
         self.keeps_case = self.tokenizer.normalizer is None
         self.letters = byte_letters()
-        self.marks: dict[str, bytes] = {"": b""}
-        self.stems = Memory(self.stem)
-        self.spaced = Memory(lambda word: self.word(" " + word))
-        self.bare = Memory(self.word)
+        self.marks: dict[str, bytes] = {}
+        # Words after a space, and words at the start of a line. Where white space is
+        # dropped they are the same.
+        self.spaced = Memory(lambda word: self.word(word, " "))
+        self.bare = Memory(lambda word: self.word(word, "")) if self.keeps_case else self.spaced
 
     def whole(self, text: str) -> bytes:
         (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
         return pack(found.ids)
 
-    def stem(self, letters: str) -> bytes:
-        """Ids of one run of letters, in the model's own spelling."""
+    def word(self, word: str, space: str) -> bytes:
+        letters = word.rstrip(".,!")
+        # Letters of the Latin-1 block; every Unicode version calls them letters.
+        if not letters.isalpha() or not (letters.isascii() or max(letters) < "\u0100"):
+            return self.whole(space + word)
+        if marks := word[len(letters) :]:
+            if marks not in self.marks:
+                if len(self.marks) > 1000:
+                    self.marks = {}
+                self.marks[marks] = self.whole(marks)
+            return (self.spaced if space else self.bare)[letters] + self.marks[marks]
+        if self.keeps_case:
+            letters = space + letters
+        elif letters != (lowered := letters.lower()):
+            return self.spaced[lowered]
+        # One run of letters is one piece, here in the model's own spelling.
         spelled = letters.encode().decode("latin-1").translate(self.letters)
         return pack([token.id for token in self.model.tokenize(spelled)])
 
-    def word(self, word: str) -> bytes:
-        parts = WORD.fullmatch(word)
-        if parts is None:
-            return self.whole(word)
-        space, letters, marks = parts.groups()
-        if marks not in self.marks:
-            if len(self.marks) > 1000:
-                self.marks = {"": b""}
-            self.marks[marks] = self.whole(marks)
-        stem = space + letters if self.keeps_case else letters.lower()
-        return self.stems[stem] + self.marks[marks]
-
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if WHOLE.search(text):
+        if text[-1] in " \n" or any(map(text.__contains__, WHOLE)):
             return self.whole(text)
         found, newline = [], self.bare["\n"]
         spaced, bare = self.spaced.__getitem__, self.bare.__getitem__
