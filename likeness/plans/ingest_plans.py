@@ -17,7 +17,7 @@ from likeness.schema import VECTOR
 from likeness.session import cut, fresh_dir
 from likeness.sources import batches, vector_table
 from likeness.sources.cards import read_cards
-from likeness.streaming.ingest import card_stream, run_ingest
+from likeness.streaming.ingest import card_stream, reembed_all, run_ingest
 
 DIM = 64
 CONFIG = encode.EncodeConfig(model="hashing-64", include_name=True, tags_weight=2)
@@ -212,19 +212,22 @@ def e6_t3_stale_inputs(spark, sf_dir):
     return encode.stale_inputs(inputs, stored).select("id", "text_hash")
 
 
+def _table(spark) -> vector_table.VectorTable:
+    return vector_table.VectorTable(spark, fresh_dir(spark, "vector-table"), VECTOR)
+
+
+def _source(spark, raw) -> str:
+    """The records as a folder of a few files, as they would be delivered."""
+    path = fresh_dir(spark, "stream-source")
+    raw.repartition(4, "id").write.parquet(path)
+    return path
+
+
 def _ingested(spark, sf_dir) -> vector_table.VectorTable:
-    source = fresh_dir(spark, "stream-source")
-    raw = V.raw_cards(spark, sf_dir)
-    raw.repartition(4, "id").write.parquet(source)
-    table = vector_table.VectorTable(spark, fresh_dir(spark, "vector-table"), VECTOR)
-    run_ingest(
-        card_stream(spark, source),
-        table,
-        fresh_dir(spark, "stream-checkpoint"),
-        _hashing,
-        CONFIG,
-        total=raw.count(),
-    )
+    raw, table = V.raw_cards(spark, sf_dir), _table(spark)
+    stream = card_stream(spark, _source(spark, raw))
+    checkpoint = fresh_dir(spark, "stream-checkpoint")
+    run_ingest(stream, table, checkpoint, _hashing, CONFIG, total=raw.count())
     return table
 
 
@@ -251,3 +254,63 @@ def s9_manifest_latest(spark, sf_dir):
     return steps.orderBy(F.desc("step")).limit(1).select(
         "next_offset", "total", "model", "include_name", "kind"
     )
+
+
+SQL_STORED = V.with_ctes(V.SQL_RAW, SQL_TAGGED) + (
+    f"SELECT id, sha256({embedding_sql(True, 2)}) AS text_hash FROM tagged"
+)
+
+
+@query("e5_reembed_all", SQL_STORED)
+def e5_reembed_all(spark, sf_dir):
+    """All records anew in the place of a table that has some of them with other settings."""
+    raw, table = V.raw_cards(spark, sf_dir), _table(spark)
+    older = encode.EncodeConfig(model="older", include_name=False, tags_weight=1)
+    some = encode.encoder_inputs(raw.filter(F.col("id").endswith("7")), older)
+    table.append(encode.embed(some, _hashing), 0)
+    reembed_all(raw.unionByName(raw.filter(F.col("id").endswith("3"))), table, _hashing, CONFIG)
+    return table.read().select("id", "text_hash")
+
+
+@query(
+    "t2_single_batch",
+    V.with_ctes(V.SQL_RAW)
+    + """SELECT 1::BIGINT AS steps, count(*) AS stored, 1::BIGINT AS steps_left,
+      (SELECT count(*) FROM raw) AS stored_at_last FROM raw WHERE CAST(id AS BIGINT) % 2 = 0""",
+)
+def t2_single_batch(spark, sf_dir):
+    """One step, and the rest by the next run: even ids are delivered first."""
+    raw, table = V.raw_cards(spark, sf_dir), _table(spark)
+    source, checkpoint = fresh_dir(spark, "in"), fresh_dir(spark, "stream-checkpoint")
+    even = F.col("id").cast("bigint") % 2 == 0
+    raw.filter(even).coalesce(1).write.parquet(source)
+    raw.filter(~even).coalesce(1).write.mode("append").parquet(source)
+
+    def go(most):
+        return run_ingest(card_stream(spark, source), table, checkpoint, _hashing, CONFIG, most)
+
+    steps, stored = go(1), table.read().count()
+    left = go(None)
+    facts = table.read().agg(F.count("*").alias("stored_at_last"))
+    return facts.select(
+        F.lit(steps).cast("bigint").alias("steps"),
+        F.lit(stored).cast("bigint").alias("stored"),
+        F.lit(left).cast("bigint").alias("steps_left"),
+        "stored_at_last",
+    )
+
+
+@query("t4_repeat_delivery", SQL_STORED)
+def t4_repeat_delivery(spark, sf_dir):
+    """Records delivered again, by one run and by another with a checkpoint of its own."""
+    raw, table = V.raw_cards(spark, sf_dir), _table(spark)
+    older = raw.withColumn("name", F.concat("name", F.lit(" (older)")))
+    source, checkpoint = fresh_dir(spark, "in"), fresh_dir(spark, "stream-checkpoint")
+    for rows in (older.filter(F.col("id").endswith("1")), raw):
+        rows.coalesce(2).write.mode("append").parquet(source)
+        run_ingest(card_stream(spark, source, 2), table, checkpoint, _hashing, CONFIG)
+        table.compact()
+    again = fresh_dir(spark, "in")
+    raw.filter(F.col("id").endswith("5")).coalesce(1).write.parquet(again)
+    run_ingest(card_stream(spark, again), table, fresh_dir(spark, "cp"), _hashing, CONFIG)
+    return table.read().select("id", "text_hash")

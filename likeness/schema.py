@@ -105,6 +105,8 @@ BULK_INDEX = T.StructType(
 MANIFEST = T.StructType(
     [
         T.StructField("step", T.LongType()),
+        T.StructField("run", _TEXT),
+        T.StructField("batch_id", T.LongType()),
         T.StructField("next_offset", T.LongType()),
         T.StructField("total", T.LongType()),
         T.StructField("last_batch_out", _TEXT),

@@ -40,7 +40,9 @@ def run_ingest(
     """Work through what the source holds now and stop; returns the steps done.
 
     Starting again goes on behind the last finished step. A step that was cut off runs
-    again under its number and replaces itself, so nothing is doubled. ``max_steps``
+    again under its number and replaces itself, so nothing is doubled. With a new or
+    emptied ``checkpoint`` the source is worked through again as another run: its steps
+    bring rows up to date and take none away. ``max_steps``
     ends the run after that many steps; the next run takes up the rest. Of several
     records with one id in a step the last to arrive counts. With
     ``skip_current`` records whose vector is up to date are not encoded again.
@@ -59,6 +61,7 @@ def run_ingest(
         table.append(
             embed(inputs, factory),
             batch_id,
+            run=checkpoint_id(raw.sparkSession, checkpoint),
             total=total,
             model=config.model,
             include_name=config.include_name,
@@ -80,16 +83,21 @@ def run_ingest(
     return steps
 
 
+def checkpoint_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id Spark gives a checkpoint when it is new; it tells its steps from others'."""
+    return spark.read.json(f"{checkpoint}/metadata").head()["id"]
+
+
 def reembed_all(
     raw: DataFrame, table: VectorTable, factory: Callable[[], Callable], config: EncodeConfig
 ) -> int:
-    """Forget the table and encode every record again, as one batch."""
-    table.wipe()
-    inputs = encoder_inputs(raw, config)
-    return table.append(
-        embed(inputs, factory),
-        0,
-        model=config.model,
-        include_name=config.include_name,
-        kind="batch",
+    """Encode every record again and put the result in the table's place.
+
+    The table stays as it is until the new rows are stored. Of several records with one id
+    the one with the largest hash of its fields counts.
+    """
+    content = raw.withColumn("content", F.xxhash64(F.to_json(F.struct("*"))))
+    inputs = encoder_inputs(keep_last(content, "id", "content").drop("content"), config)
+    return table.replace(
+        embed(inputs, factory), model=config.model, include_name=config.include_name
     )

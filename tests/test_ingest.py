@@ -139,13 +139,72 @@ def test_last_delivery_of_an_id_wins(spark, table, tmp_path):
     assert table.read().count() == 0 and table.latest() is None
 
 
+def embedded(spark, rows):
+    return encode.embed(encode.encoder_inputs(raw_rows(spark, rows), CONFIG), HASHING)
+
+
 def test_unrecorded_folders_are_not_read(spark, table):
-    rows = encode.embed(encode.encoder_inputs(raw_rows(spark, [("a", "x")]), CONFIG), HASHING)
+    rows = embedded(spark, [("a", "x")])
     table.append(rows, 0, kind="batch")
-    rows.write.parquet(f"{table.path}/deltas/batch_id=1")
+    table.store(rows)
     assert table.read().count() == 1
     table.append(rows, 0, kind="batch")
-    assert table.read().count() == 1 and table.manifest().count() == 1
+    assert table.read().count() == 1 and table.manifest().count() == 2
+    assert table.vacuum() == 1 and table.read().count() == 1
+
+
+def test_compacting_twice_loses_nothing(spark, table):
+    table.append(embedded(spark, [("a", "x"), ("b", "y")]), 0)
+    for _ in range(3):
+        table.compact()
+        assert contents(table) == hashes(spark, [("a", "x"), ("b", "y")])
+    assert table.vacuum() == 3
+    assert contents(VectorTable(spark, table.path, VECTOR)) == hashes(spark, [("a", "x"), ("b", "y")])
+
+
+def test_a_new_checkpoint_after_a_compaction(spark, table, tmp_path):
+    first, second = tmp_path / "first", tmp_path / "second"
+    deliver(spark, first, [("a", "x"), ("b", "y")])
+    run_ingest(card_stream(spark, str(first)), table, str(tmp_path / "cp1"), HASHING, CONFIG)
+    table.compact()
+    deliver(spark, second, [("c", "z"), ("d", "w"), ("a", "new")])
+    run_ingest(card_stream(spark, str(second)), table, str(tmp_path / "cp2"), HASHING, CONFIG)
+    want = [("a", "new"), ("b", "y"), ("c", "z"), ("d", "w")]
+    assert contents(table) == hashes(spark, want)
+
+
+def test_an_emptied_checkpoint_takes_nothing_away(spark, table, tmp_path):
+    import shutil
+
+    source, other = tmp_path / "in", tmp_path / "other"
+    deliver(spark, source, [("a", "x"), ("b", "y")])
+    run_ingest(card_stream(spark, str(source)), table, str(tmp_path / "cp"), HASHING, CONFIG)
+    shutil.rmtree(tmp_path / "cp")
+    deliver(spark, other, [("c", "z")])
+    run_ingest(card_stream(spark, str(other)), table, str(tmp_path / "cp"), HASHING, CONFIG)
+    assert contents(table) == hashes(spark, [("a", "x"), ("b", "y"), ("c", "z")])
+
+
+def test_a_stream_after_reembedding(spark, table, tmp_path):
+    reembed_all(raw_rows(spark, [("a", "x"), ("b", "y"), ("c", "z"), ("a", "x")]), table, HASHING, CONFIG)
+    assert table.read().count() == 3
+    deliver(spark, tmp_path / "in", [("d", "new")])
+    run_ingest(card_stream(spark, str(tmp_path / "in")), table, str(tmp_path / "cp"), HASHING, CONFIG)
+    assert [r["id"] for r in table.read().orderBy("id").collect()] == ["a", "b", "c", "d"]
+
+
+def test_a_failing_reembedding_leaves_the_table(spark, table, tmp_path):
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    table.append(embedded(spark, [("a", "x"), ("b", "y")]), 0)
+    flag = tmp_path / "broken"
+    flag.write_text("")
+    with pytest.raises(Exception, match="the worker broke"):
+        reembed_all(raw_rows(spark, [("a", "poison")]), table, partial(Breaking, str(flag)), CONFIG)
+    assert contents(table) == hashes(spark, [("a", "x"), ("b", "y")])
 
 
 def test_stale_inputs(spark, table):
