@@ -18,6 +18,18 @@ NO_COLOR_WORD = "Colorless"
 CARD_PAGE_ROOT = "https://scryfall.com/"
 
 
+# What counts as white space around a name.
+SPACE = (
+    " \t\n\x0b\x0c\r\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.trim(text, F.lit(SPACE))
+
+
 def or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -144,7 +156,12 @@ def mana_value_label(cmc: Column) -> Column:
 
 
 def similarity_label(similarity: Column) -> Column:
-    label = F.format_string("sim %.3f", similarity)
+    """Rounded half to even, as printf does. Only odd multiples of 1/16 lie exactly half
+    way between two numbers of three decimals."""
+    sixteenths = similarity * 16
+    half_way = (sixteenths == F.floor(sixteenths)) & (F.floor(sixteenths) % 2 != 0)
+    even = F.bround(similarity.cast("decimal(20,10)"), 3).cast("double")
+    label = F.format_string("sim %.3f", F.when(half_way, even).otherwise(similarity))
     return F.when(similarity > 0, label).otherwise(F.lit(""))
 
 

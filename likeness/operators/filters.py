@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from likeness.functions.text import or_empty, or_no_items, parse_legalities
+from likeness.functions.text import or_empty, or_no_items, parse_legalities, trimmed
 
 
 def is_legendary(type_line: Column) -> Column:
@@ -15,18 +15,18 @@ def is_legendary(type_line: Column) -> Column:
 
 def type_contains(type_line: Column, wanted: Column) -> Column:
     """Letter case aside; a blank wish matches all."""
-    wish = F.trim(or_empty(wanted))
+    wish = trimmed(or_empty(wanted))
     return (wish == "") | F.contains(F.lower(or_empty(type_line)), F.lower(wish))
 
 
 def wanted_colors(text: Column) -> Column:
     """``"w, u"`` → ``["W", "U"]``; blanks between commas do not count."""
-    items = F.split(F.replace(F.trim(or_empty(text)), F.lit(" "), F.lit("")), ",")
-    return F.filter(F.transform(items, lambda c: F.upper(F.trim(c))), lambda c: c != "")
+    items = F.split(F.replace(trimmed(or_empty(text)), F.lit(" "), F.lit("")), ",")
+    return F.filter(F.transform(items, lambda c: F.upper(trimmed(c))), lambda c: c != "")
 
 
 def has_all_colors(colors: Column, wanted: Column) -> Column:
-    have = F.transform(or_no_items(colors), lambda c: F.upper(F.trim(c)))
+    have = F.transform(or_no_items(colors), lambda c: F.upper(trimmed(c)))
     return F.size(F.array_except(wanted_colors(wanted), have)) == 0
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from likeness.functions.text import trimmed
 from likeness.session import cut
 
 # Patterns are looked up by substrings of these lengths, the longest that fits.
@@ -148,19 +149,24 @@ def named_items(requests: DataFrame) -> DataFrame:
 
 def clean_names(named: DataFrame) -> DataFrame:
     """Trimmed names, blank ones left out."""
-    trimmed = named.select("query_id", F.trim("name").alias("name"))
-    return trimmed.filter(F.col("name") != "")
+    names = named.select("query_id", trimmed(F.col("name")).alias("name"))
+    return names.filter(F.col("name") != "")
 
 
 def resolve_requests(
-    requests: DataFrame, catalogue: DataFrame, named: DataFrame | None = None
+    requests: DataFrame,
+    catalogue: DataFrame,
+    named: DataFrame | None = None,
+    usable: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Resolve requests of several names each.
 
     The names are an array ``names`` of the requests, or rows ``named`` (query_id, name).
     Returns (members, status): members (query_id, id, n) for the requests all of whose
     names were found, with n the times an item was named; status (query_id, status) for
-    every request: ``ok``, ``not_found`` (some name is unknown) or ``empty``.
+    every request: ``ok``, ``not_found`` (some name is unknown) or ``empty``. Items that
+    are not among the ids ``usable`` are left out after their names were found; a request
+    that has none left is ``empty``.
     """
     rows = clean_names(named_items(requests) if named is None else named)
     counted = cut(rows.groupBy("query_id", "name").agg(F.count("*").alias("n")))
@@ -169,20 +175,19 @@ def resolve_requests(
     verdict = resolved.groupBy("query_id").agg(
         F.bool_and(F.col("id").isNotNull()).alias("complete")
     )
-    status = (
-        requests.select("query_id")
-        .join(verdict, "query_id", "left")
-        .select(
-            "query_id",
-            F.when(F.col("complete").isNull(), "empty")
-            .when(F.col("complete"), "ok")
-            .otherwise("not_found")
-            .alias("status"),
-        )
-    )
     members = (
         resolved.join(verdict.filter("complete"), "query_id", "left_semi")
         .groupBy("query_id", "id")
         .agg(F.sum("n").alias("n"))
     )
-    return members, status
+    if usable is not None:
+        members = cut(members.join(usable.select("id"), "id", "left_semi"))
+        left = members.select("query_id").distinct().withColumn("left", F.lit(True))
+        verdict = verdict.join(left, "query_id", "left").filter("left OR NOT complete")
+    status = requests.select("query_id").join(verdict, "query_id", "left")
+    told = (
+        F.when(F.col("complete").isNull(), "empty")
+        .when(F.col("complete"), "ok")
+        .otherwise("not_found")
+    )
+    return members, status.select("query_id", told.alias("status"))

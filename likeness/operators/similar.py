@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from likeness.functions.text import trimmed
 from likeness.operators.centroid import centroids
 from likeness.operators.filters import (
     browsing_k,
@@ -27,9 +28,10 @@ HIT_FIELDS = [
 ]
 
 
-def with_vector(cards: DataFrame, vectors: DataFrame) -> DataFrame:
-    """The cards that can be found: those with a vector."""
-    return cards.join(vectors.select("id"), "id", "left_semi")
+def searchable(vectors: DataFrame, cards: DataFrame) -> DataFrame:
+    """The vectors that can be hits: those with a card. Others are left out before the
+    search, so that they take no place among the k."""
+    return vectors.join(cards.select("id"), "id", "left_semi")
 
 
 def needed_vectors(vectors: DataFrame, ids: DataFrame) -> DataFrame:
@@ -49,8 +51,9 @@ def query_vectors(
     dim: int,
     named: DataFrame | None = None,
 ):
-    """(queries, members, status) of requests with several names each."""
-    members, status = resolve_requests(requests, with_vector(cards, vectors), named)
+    """(queries, members, status) of requests with several names each. Names are looked
+    up among all cards; items without a vector are then left out."""
+    members, status = resolve_requests(requests, cards.select("name", "id"), named, vectors)
     chosen = members.join(needed_vectors(vectors, members), "id")
     return centroids(chosen, "query_id", dim, F.col("n")), members, status
 
@@ -80,11 +83,11 @@ def similar(
         inputs = members.groupBy("query_id").agg(F.count("*").cast("int").alias("inputs"))
         asked = asked.join(inputs, "query_id").withColumn("k", F.col("k") + F.col("inputs"))
     queries = queries.join(asked.select("query_id", "k"), "query_id")
-    pool = vectors if where is None else with_vector(vectors, cards.filter(where))
+    pool = searchable(vectors, cards if where is None else cards.filter(where))
     hits = exclude_inputs(nearest(queries, pool, dim=dim, **options), members)
     if refill:
         own = asked.select("query_id", (F.col("k") - F.col("inputs")).alias("k"))
-        most = own.agg(F.max("k")).head()[0] or 1
+        most = requests.agg(F.max(service_k(F.col("k")))).head()[0] or 1
         hits = first_per_group(hits, ["query_id"], ["distance", "id"], most).join(own, "query_id")
         hits = hits.filter(F.col("rank") <= F.col("k")).drop("k")
     return describe(hits, cards, fields), status
@@ -92,10 +95,10 @@ def similar(
 
 def single_queries(requests: DataFrame, cards: DataFrame, vectors: DataFrame) -> DataFrame:
     """(query_id, item_id, vector) for requests by one name or id; an id wins."""
-    by_id = requests.filter(F.trim("id") != "").select("query_id", F.trim("id").alias("item_id"))
-    by_name = requests.filter((F.coalesce(F.trim("id"), F.lit("")) == "") & (F.trim("name") != ""))
-    named = by_name.select("query_id", F.trim("name").alias("name"))
-    resolved = resolve_names(named, with_vector(cards, vectors))
+    by_id = requests.filter(trimmed(F.col("id")) != "").select("query_id", trimmed(F.col("id")).alias("item_id"))
+    by_name = requests.filter((F.coalesce(trimmed(F.col("id")), F.lit("")) == "") & (trimmed(F.col("name")) != ""))
+    named = by_name.select("query_id", trimmed(F.col("name")).alias("name"))
+    resolved = resolve_names(named, cards.select("name", "id"))
     chosen = by_id.unionByName(
         named.join(resolved.select("name", F.col("id").alias("item_id")), "name").select(
             "query_id", "item_id"
@@ -110,7 +113,8 @@ def similar_to_one(
 ) -> DataFrame:
     """The k nearest to one named item, which is not left out."""
     queries = single_queries(requests, cards, vectors)
-    return describe(nearest(queries, vectors, k, **options), cards, HIT_FIELDS)
+    hits = nearest(queries, searchable(vectors, cards), k, **options)
+    return describe(hits, cards, HIT_FIELDS)
 
 
 def browse_similar(
@@ -120,6 +124,7 @@ def browse_similar(
     own = ["legendary", "type_filter", "colors_filter", "cmc_min", "cmc_max", "sort", "order"]
     asked = requests.select("query_id", browsing_k(F.col("k")).cast("int").alias("k"))
     queries = single_queries(requests, cards, vectors).join(asked, "query_id")
-    hits = describe(nearest(queries, vectors, **options), cards, [*HIT_FIELDS, "cmc", "set", "rarity"])
+    found = nearest(queries, searchable(vectors, cards), **options)
+    hits = describe(found, cards, [*HIT_FIELDS, "cmc", "set", "rarity"])
     listed = hits.join(requests.select("query_id", *own), "query_id").filter(request_filter())
     return position_in_request(listed, similar=True).drop(*own)

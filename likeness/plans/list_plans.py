@@ -60,45 +60,61 @@ def f2_name_contains(spark, sf_dir):
     )
 
 
-@query(
-    "f2_search",
-    V.with_ctes(V.SQL_CARDS, V.SQL_BROWSE_REQUESTS)
-    + """, ranked AS (
-      SELECT b.query_id, c.id, c.name,
-        row_number() OVER (PARTITION BY b.query_id ORDER BY c.name, c.id) AS place
-      FROM browse b JOIN cards c
-        ON lower(c.name) LIKE '%' || replace(lower(trim(b.q)), '*', '%') || '%')
-    SELECT query_id, id, name FROM ranked WHERE place <= 200""",
-)
+SQL_FOUND = """, ranked AS (
+  SELECT b.query_id, c.*, count(*) OVER (PARTITION BY b.query_id) AS n_matches,
+    row_number() OVER (PARTITION BY b.query_id ORDER BY c.name, c.id) AS place
+  FROM browse b JOIN cards c
+    ON lower(c.name) LIKE '%' || replace(lower(trim(b.q)), '*', '%') || '%')"""
+SQL_SEARCH = V.with_ctes(V.SQL_CARDS, V.SQL_BROWSE_REQUESTS) + SQL_FOUND
+
+
+@query("f2_search", SQL_SEARCH + "SELECT query_id, id, name FROM ranked")
 def f2_search(spark, sf_dir):
     cards = V.cards(spark, sf_dir).select("id", "name")
     return browse.search(cards, V.browse_requests(spark, sf_dir)).select("query_id", "id", "name")
 
 
 @query(
-    "f2_search_listing",
-    V.with_ctes(V.SQL_CARDS, V.SQL_BROWSE_REQUESTS)
-    + f""", ranked AS (
-      SELECT b.query_id, c.*,
-        row_number() OVER (PARTITION BY b.query_id ORDER BY c.name, c.id) AS place
-      FROM browse b JOIN cards c
-        ON lower(c.name) LIKE '%' || replace(lower(trim(b.q)), '*', '%') || '%'),
-    kept AS (
+    "f2_search_first", SQL_SEARCH + "SELECT query_id, id, name, n_matches FROM ranked WHERE place <= 40"
+)
+def f2_search_first(spark, sf_dir):
+    cards = V.cards(spark, sf_dir).select("id", "name")
+    found = browse.search(cards, V.browse_requests(spark, sf_dir), limit=40)
+    return found.select("query_id", "id", "name", "n_matches")
+
+
+def _listing_sql(limit: str) -> str:
+    return (
+        SQL_SEARCH
+        + f""", kept AS (
       SELECT c.query_id, c.id, c.name, c.cmc, b.sort, b."order" FROM ranked c
-      JOIN browse b ON c.query_id = b.query_id WHERE place <= 200 AND {V.SQL_BROWSE_FILTER}),
+      JOIN browse b ON c.query_id = b.query_id WHERE {limit} AND {V.SQL_BROWSE_FILTER}),
     placed AS (
       SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
           CASE WHEN sort = 'cmc' THEN coalesce(cmc, 0) END, name, id) AS up,
         count(*) OVER (PARTITION BY query_id) AS n FROM kept)
     SELECT query_id, id, name, cmc,
       CAST(CASE WHEN "order" IN ('', 'desc') THEN n + 1 - up ELSE up END AS INTEGER) AS position
-    FROM placed""",
-)
-def f2_search_listing(spark, sf_dir):
-    listed = browse.search_listing(V.cards(spark, sf_dir), V.browse_requests(spark, sf_dir))
+    FROM placed"""
+    )
+
+
+def _listing(spark, sf_dir, limit):
+    cards, requests = V.cards(spark, sf_dir), V.browse_requests(spark, sf_dir)
+    listed = browse.search_listing(cards, requests, limit)
     return listed.select("query_id", "id", "name", "cmc", "position")
 
 
+@query("f2_search_listing", _listing_sql("true"))
+def f2_search_listing(spark, sf_dir):
+    return _listing(spark, sf_dir, None)
+
+
+@query("f2_search_listing_first", _listing_sql("place <= 40"))
+def f2_search_listing_first(spark, sf_dir):
+    return _listing(spark, sf_dir, 40)
+
+
 @query(
     "f3_id_equals",
     _CARDS
@@ -287,42 +303,62 @@ keyed AS (SELECT *, CASE WHEN regexp_full_match(collector_number, '[+-]?[0-9]+')
   THEN CAST(collector_number AS BIGINT) END AS number FROM cards),
 prints AS (SELECT name, id, "set", collector_number, rarity, image_normal,
   CAST(row_number() OVER (PARTITION BY name
-    ORDER BY "set", number NULLS LAST, collector_number, id) AS INTEGER) AS position FROM keyed)
+    ORDER BY "set", number NULLS LAST, collector_number, id) AS INTEGER) AS position,
+  count(*) OVER (PARTITION BY name) AS n_printings FROM keyed)
 """
 
 
 @query(
-    "a3_printings",
-    V.with_ctes(V.SQL_CARDS, SQL_PRINTINGS) + "SELECT * FROM prints WHERE position <= 200",
+    "a3_printings", V.with_ctes(V.SQL_CARDS, SQL_PRINTINGS) + "SELECT * EXCLUDE n_printings FROM prints"
 )
 def a3_printings(spark, sf_dir):
     return browse.printings(V.cards(spark, sf_dir))
 
 
 @query(
-    "a4_card_pages",
-    V.with_ctes(V.SQL_CARDS, SQL_PRINTINGS)
-    + """, lists AS (SELECT name, count(*) AS n,
+    "a3_printings_first",
+    V.with_ctes(V.SQL_CARDS, SQL_PRINTINGS) + "SELECT * FROM prints WHERE position <= 10",
+)
+def a3_printings_first(spark, sf_dir):
+    return browse.printings(V.cards(spark, sf_dir), limit=10)
+
+
+def _pages_sql(limit: str) -> str:
+    return (
+        V.with_ctes(V.SQL_CARDS, SQL_PRINTINGS)
+        + f""", lists AS (SELECT name, max(n_printings) AS n,
         string_agg("set" || '#' || collector_number, ' ' ORDER BY position) AS printings
-      FROM prints WHERE position <= 200 GROUP BY name)
+      FROM prints WHERE {limit} GROUP BY name)
     SELECT c.id, c.name, c.mana_cost, c.cmc, c.type_line, c.oracle_text, c.power, c.toughness,
       c."set", c.collector_number, c.rarity, c.image_normal,
-      CASE WHEN starts_with(c.legalities, '{')
+      CASE WHEN starts_with(c.legalities, '{{')
         THEN json_extract_string(c.legalities, '$.modern') END AS modern,
       CAST(l.n AS INTEGER) AS n_printings, l.printings
     FROM cards c JOIN lists l ON c.name = l.name
-    WHERE c.id IN (SELECT CAST(l_partkey AS VARCHAR) FROM lineitem)""",
-)
-def a4_card_pages(spark, sf_dir):
+    WHERE c.id IN (SELECT CAST(l_partkey AS VARCHAR) FROM lineitem)"""
+    )
+
+
+def _pages(spark, sf_dir, limit):
     lines = V.table(spark, sf_dir, "lineitem")
     ids = lines.select(F.col("l_partkey").cast("string").alias("id"))
     label = F.transform(
         "printings", lambda p: F.concat(p["set"], F.lit("#"), p["collector_number"])
     )
-    return browse.card_pages(V.cards(spark, sf_dir), ids).select(
+    return browse.card_pages(V.cards(spark, sf_dir), ids, limit).select(
         *["id", "name", "mana_cost", "cmc", "type_line", "oracle_text", "power", "toughness"],
         *["set", "collector_number", "rarity", "image_normal"],
         F.try_element_at("legality_map", F.lit("modern")).alias("modern"),
-        F.size("printings").alias("n_printings"),
+        "n_printings",
         F.array_join(label, " ").alias("printings"),
     )
+
+
+@query("a4_card_pages", _pages_sql("true"))
+def a4_card_pages(spark, sf_dir):
+    return _pages(spark, sf_dir, None)
+
+
+@query("a4_card_pages_first", _pages_sql("position <= 10"))
+def a4_card_pages_first(spark, sf_dir):
+    return _pages(spark, sf_dir, 10)

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from likeness.functions.text import SPACE
+
 # What a card says, by size; chosen so that every tag rule has cards it applies to.
 PHRASES = [
     "Search your library for a card, put it onto the battlefield.",
@@ -262,6 +264,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_VECTORS = """
 vectors AS (
   SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings),
+pool AS (SELECT * FROM vectors WHERE id IN (SELECT id FROM cards)),
 catalogue AS (SELECT * FROM cards WHERE id IN (SELECT id FROM vectors))
 """
 
@@ -274,11 +277,11 @@ def order_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     quantity, name = F.col("l_quantity"), F.col("p_name")
     asked = (
         F.when(quantity == 50, F.concat(F.lit("no such part "), F.col("l_suppkey").cast("string")))
-        .when(quantity == 49, "  ")
+        .when(quantity == 49, " \t\u00a0")
         .when(quantity == 48, F.replace(name, F.lit(" "), F.lit("*")))
         .when(quantity == 47, F.concat(F.lit("?"), F.substring(name, 2, 100)))
         .when(F.col("l_returnflag") == "R", F.upper(name))
-        .when(F.col("l_returnflag") == "N", F.concat(F.lit("  "), name, F.lit(" ")))
+        .when(F.col("l_returnflag") == "N", F.concat(F.lit("\t "), name, F.lit("\n\u3000")))
         .otherwise(name)
     )
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
@@ -291,19 +294,26 @@ def order_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return requests, named.join(requests, "query_id", "left_semi")
 
 
+
+
+def sql_trimmed(text: str) -> str:
+    """``trimmed`` in SQL."""
+    return f"trim({text}, {' || '.join(f'chr({ord(c)})' for c in SPACE)})"
+
+
 # One row per name asked for, as ``named``; the requests themselves as ``asked``.
 SQL_ORDER_REQUESTS = """
 asked AS (
   SELECT o_orderkey AS query_id, CAST(o_custkey % 15 - 2 AS INTEGER) AS k FROM orders),
 named AS (
-  SELECT l_orderkey AS query_id, trim(CASE
+  SELECT l_orderkey AS query_id, """ + sql_trimmed("""CASE
     WHEN l_quantity = 50 THEN 'no such part ' || l_suppkey
-    WHEN l_quantity = 49 THEN '  '
+    WHEN l_quantity = 49 THEN ' ' || chr(9) || chr(160)
     WHEN l_quantity = 48 THEN replace(p_name, ' ', '*')
     WHEN l_quantity = 47 THEN '?' || substr(p_name, 2)
     WHEN l_returnflag = 'R' THEN upper(p_name)
-    WHEN l_returnflag = 'N' THEN '  ' || p_name || ' '
-    ELSE p_name END) AS name
+    WHEN l_returnflag = 'N' THEN chr(9) || ' ' || p_name || chr(10) || chr(12288)
+    ELSE p_name END""") + """ AS name
   FROM lineitem JOIN part ON l_partkey = p_partkey
   WHERE l_orderkey IN (SELECT o_orderkey FROM orders))
 """
@@ -311,7 +321,7 @@ named AS (
 # (name, match_kind, matched_name, id) for each distinct name in ``named``.
 SQL_RESOLVED = r"""
 distinct_names AS (SELECT DISTINCT name FROM named WHERE name <> ''),
-firsts AS (SELECT name, min(id) AS id FROM catalogue GROUP BY name),
+firsts AS (SELECT name, min(id) AS id FROM cards GROUP BY name),
 candidates AS (
   SELECT d.name, f.name AS matched_name, f.id,
     row_number() OVER (PARTITION BY d.name ORDER BY f.name, f.id) AS place
@@ -327,13 +337,14 @@ resolved AS (
     LEFT JOIN candidates c ON d.name = c.name AND c.place = 1)
 """
 
-# The requests all of whose names were found, as (query_id, id, n), and every status.
+# The items with a vector of requests all of whose names were found, as (query_id, id, n).
 SQL_MEMBERS = """
 found AS (SELECT n.query_id, r.id FROM named n JOIN resolved r ON n.name = r.name),
 verdict AS (SELECT query_id, bool_and(id IS NOT NULL) AS complete FROM found GROUP BY query_id),
 members AS (
   SELECT query_id, id, count(*) AS n FROM found
-  WHERE query_id IN (SELECT query_id FROM verdict WHERE complete) GROUP BY query_id, id)
+  WHERE query_id IN (SELECT query_id FROM verdict WHERE complete)
+    AND id IN (SELECT id FROM vectors) GROUP BY query_id, id)
 """
 
 # Unit centroids (query_id, vector) of ``members``.
@@ -366,13 +377,13 @@ def browse_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(nation % 3 == 1, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"),
         F.when(nation % 4 == 0, F.upper(word))
         .when(nation % 4 == 1, F.concat(word, F.lit("*"), F.substring("p_name", -2, 2)))
-        .when(nation % 4 == 2, F.substring("p_name", 2, 2))
+        .when(nation % 4 == 2, F.concat(F.lit("\t"), F.substring("p_name", 2, 2), F.lit("\n")))
         .otherwise(F.col("p_name"))
         .alias("q"),
         F.when(nation % 5 != 0, F.col("p_size") * 12).alias("k"),
         (F.col("p_size") % 4 == 0).alias("legendary"),
-        F.when(nation % 2 == 0, " ENCHANT ").otherwise("").alias("type_filter"),
-        F.when(nation % 6 == 0, "w, u").when(nation % 6 == 1, ",").otherwise("").alias(
+        F.when(nation % 2 == 0, "\tENCHANT \n").otherwise("").alias("type_filter"),
+        F.when(nation % 6 == 0, "\nw,\tu ").when(nation % 6 == 1, ",").otherwise("").alias(
             "colors_filter"
         ),
         F.when(nation % 7 == 0, 2).otherwise(-1).alias("cmc_min"),
@@ -396,7 +407,7 @@ browse AS (
       WHEN 2 THEN substr(p_name, 2, 2) ELSE p_name END AS q,
     CASE WHEN s_nationkey % 5 <> 0 THEN p_size * 12 END AS k,
     p_size % 4 = 0 AS legendary,
-    CASE WHEN s_nationkey % 2 = 0 THEN ' ENCHANT ' ELSE '' END AS type_filter,
+    CASE WHEN s_nationkey % 2 = 0 THEN 'ENCHANT' ELSE '' END AS type_filter,
     CASE s_nationkey % 6 WHEN 0 THEN ['W', 'U'] ELSE [] END AS wanted,
     CASE WHEN s_nationkey % 7 = 0 THEN 2 ELSE -1 END AS cmc_min,
     CASE WHEN s_nationkey % 7 < 3 THEN 3 END AS cmc_max,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from likeness.operators import cells, neighbours, resolve, similar
 from likeness.operators.centroid import centroids, weighted_mean
 from likeness.operators.filters import exclude_inputs
 from likeness.plans import tables as V
-from likeness.plans.registry import query
+from likeness.plans.registry import ORACLES, query
 
 # Small blocks, so that the tiled way has many tiles on small tables as well.
 TILES = {"strategy": "cells", "block_rows": 200, "n_cells": 6}
@@ -97,8 +99,8 @@ def p18_similarity_to_label(spark, sf_dir):
 )
 def v1_resolve_names(spark, sf_dir):
     _, named = V.order_requests(spark, sf_dir)
-    catalogue = similar.with_vector(V.cards(spark, sf_dir), V.vectors(spark, sf_dir))
-    return resolve.resolve_names(resolve.clean_names(named), catalogue.select("name", "id"))
+    cards = V.cards(spark, sf_dir)
+    return resolve.resolve_names(resolve.clean_names(named), cards.select("name", "id"))
 
 
 @query(
@@ -111,7 +113,7 @@ def v1_resolve_names(spark, sf_dir):
 def v2_resolve_ids(spark, sf_dir):
     lines = V.table(spark, sf_dir, "lineitem")
     ids = lines.select(F.col("l_partkey").cast("string").alias("id"))
-    catalogue = similar.with_vector(V.cards(spark, sf_dir), V.vectors(spark, sf_dir))
+    catalogue = similar.searchable(V.cards(spark, sf_dir), V.vectors(spark, sf_dir))
     return resolve.resolve_ids(ids, catalogue).withColumn("found", F.col("id").isNotNull())
 
 
@@ -124,20 +126,21 @@ SQL_REQUESTS = V.with_ctes(
     "v3_request_status",
     SQL_REQUESTS
     + """SELECT a.query_id, CASE WHEN complete IS NULL THEN 'empty'
-      WHEN complete THEN 'ok' ELSE 'not_found' END AS status
+      WHEN NOT complete THEN 'not_found'
+      WHEN a.query_id IN (SELECT query_id FROM members) THEN 'ok' ELSE 'empty' END AS status
     FROM asked a LEFT JOIN verdict v ON a.query_id = v.query_id""",
 )
 def v3_request_status(spark, sf_dir):
     requests, named = V.order_requests(spark, sf_dir)
-    catalogue = similar.with_vector(V.cards(spark, sf_dir), V.vectors(spark, sf_dir))
-    return resolve.resolve_requests(requests, catalogue.select("name", "id"), named)[1]
+    cards, vectors = V.cards(spark, sf_dir).select("name", "id"), V.vectors(spark, sf_dir)
+    return resolve.resolve_requests(requests, cards, named, vectors)[1]
 
 
 @query("v3_request_members", SQL_REQUESTS + "SELECT query_id, id, n FROM members")
 def v3_request_members(spark, sf_dir):
     requests, named = V.order_requests(spark, sf_dir)
-    catalogue = similar.with_vector(V.cards(spark, sf_dir), V.vectors(spark, sf_dir))
-    return resolve.resolve_requests(requests, catalogue.select("name", "id"), named)[0]
+    cards, vectors = V.cards(spark, sf_dir).select("name", "id"), V.vectors(spark, sf_dir)
+    return resolve.resolve_requests(requests, cards, named, vectors)[0]
 
 
 @query(
@@ -268,7 +271,7 @@ SQL_SEARCHED = (
     pairs AS (
       SELECT q.query_id, CASE WHEN a.k > 0 THEN a.k ELSE 10 END AS k, v.id,
         {V.sql_distance('q.vector', 'v.vector')} AS distance
-      FROM centroids q JOIN asked a ON q.query_id = a.query_id, vectors v),
+      FROM centroids q JOIN asked a ON q.query_id = a.query_id, pool v),
     own AS (SELECT query_id, id FROM members)"""
 )
 _HIT_SQL = """c.name, c.type_line, c.mana_cost, c.oracle_text,
@@ -291,10 +294,10 @@ def _hit_columns(hits: DataFrame) -> DataFrame:
     WHERE r.rank <= r.k AND NOT EXISTS (
       SELECT 1 FROM own o WHERE o.query_id = r.query_id AND o.id = r.id)""",
 )
-def v7_similar(spark, sf_dir):
+def v7_similar(spark, sf_dir, **options):
     requests, named = V.order_requests(spark, sf_dir)
     cards, vectors = V.cards(spark, sf_dir), V.vectors(spark, sf_dir)
-    return _hit_columns(similar.similar(requests, cards, vectors, named=named)[0])
+    return _hit_columns(similar.similar(requests, cards, vectors, named=named, **options)[0])
 
 
 @query(
@@ -307,11 +310,11 @@ def v7_similar(spark, sf_dir):
     SELECT r.query_id, r.rank, r.id, {ROUNDED}, c.name FROM ranked r JOIN cards c ON r.id = c.id
     WHERE r.rank <= r.k""",
 )
-def v7_similar_refill(spark, sf_dir):
+def v7_similar_refill(spark, sf_dir, **options):
     requests, named = V.order_requests(spark, sf_dir)
     cards, vectors = V.cards(spark, sf_dir), V.vectors(spark, sf_dir)
     hits, _ = similar.similar(
-        requests, cards, vectors, named=named, refill=True, fields=["name"]
+        requests, cards, vectors, named=named, refill=True, fields=["name"], **options
     )
     return rounded(hits, "name")
 
@@ -348,7 +351,7 @@ def f8_exclude_inputs(spark, sf_dir):
     WHERE r.rank <= r.k AND NOT EXISTS (
       SELECT 1 FROM own o WHERE o.query_id = r.query_id AND o.id = r.id)""",
 )
-def f10_filtered_similar(spark, sf_dir):
+def f10_filtered_similar(spark, sf_dir, **options):
     from likeness.operators import filters
 
     where = (
@@ -359,7 +362,7 @@ def f10_filtered_similar(spark, sf_dir):
     requests, named = V.order_requests(spark, sf_dir)
     cards, vectors = V.cards(spark, sf_dir), V.vectors(spark, sf_dir)
     hits, _ = similar.similar(
-        requests, cards, vectors, named=named, where=where, fields=["type_line"]
+        requests, cards, vectors, named=named, where=where, fields=["type_line"], **options
     )
     return rounded(hits, "type_line")
 
@@ -380,7 +383,7 @@ SQL_BROWSED = (
     pairs AS (
       SELECT q.query_id, v.id, """
     + V.sql_distance("q.vector", "v.vector")
-    + """ AS distance FROM sought q, vectors v),
+    + """ AS distance FROM sought q, pool v),
     ranked AS (SELECT *, CAST(row_number() OVER (
       PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM pairs)"""
 )
@@ -402,10 +405,9 @@ SQL_BROWSED = (
       CAST(CASE WHEN "order" IN ('', 'desc') THEN n + 1 - up ELSE up END AS INTEGER) AS position
     FROM placed""",
 )
-def v8_browse_similar(spark, sf_dir):
-    listed = similar.browse_similar(
-        V.browse_requests(spark, sf_dir), V.cards(spark, sf_dir), V.vectors(spark, sf_dir)
-    )
+def v8_browse_similar(spark, sf_dir, **options):
+    requests, cards = V.browse_requests(spark, sf_dir), V.cards(spark, sf_dir)
+    listed = similar.browse_similar(requests, cards, V.vectors(spark, sf_dir), **options)
     close = F.round("similarity", 6).alias("similarity")
     return listed.select("query_id", "id", "name", "cmc", close, "position")
 
@@ -422,6 +424,17 @@ def v9_similar_to_one(spark, sf_dir):
     return _hit_columns(similar.similar_to_one(requests, cards, vectors, 10))
 
 
+def _other_ways() -> None:
+    """The request queries again, by the ways that large tables take."""
+    ways = {"tiles": TILES, "one_pass": {"strategy": "hold_queries", "block_rows": 200}}
+    for run in (v7_similar, v7_similar_refill, f10_filtered_similar, v8_browse_similar):
+        for way, options in ways.items():
+            query(f"{run.__name__}_{way}", ORACLES[run.__name__])(partial(run, **options))
+
+
+_other_ways()
+
+
 SQL_ALL_PAIRS = (
     V.with_ctes(V.SQL_CARDS, V.SQL_VECTORS)
     + f""", pairs AS (
