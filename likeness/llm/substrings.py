@@ -240,7 +240,8 @@ def repeats(
     own = docs.select(F.col(key(id)).cast("long").alias("doc"), F.col(key(text)).alias("text"))
     own_segments = dealt(own, window, group)
     shared = own_segments.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = shared.select(F.col("anchor").alias("of"))
+    # Written, so that the join below reads both sides from shuffles it can split.
+    shared = cut(shared.select(F.col("anchor").alias("of")))
     # Segments of an anchor that occurs more than once.
     met = own_segments.join(shared, own_segments["anchor"] == shared["of"]).drop("of")
     met = cut(met)
@@ -308,7 +309,7 @@ def repeats(
     searched = searched.groupBy("shard").applyInPandas(search, "doc long, first int, windows int")
     single = pieces.filter("shard IS NULL").select("own", "doc", "first")
     best = single.groupBy("own").agg(F.min(F.struct("doc", "first")).alias("best"))
-    best = best.withColumnRenamed("own", "of")
+    best = cut(best.withColumnRenamed("own", "of"))
     split = single.join(best, single["own"] == best["of"]).filter(~is_it)
     split = split.select("doc", "first", F.lit(1).alias("windows"))
     every = later.union(searched).union(split)
