@@ -35,21 +35,13 @@ GROUP = 6
 # is split into single windows.
 SHARD_SEGMENTS = 4096
 HOT_SEGMENTS = 16_384
-REMEMBERED = 300_000
 SPANS = "array<struct<first:int,windows:int>>"
 
 
-class WordHashes(dict):
-    """64-bit hash of each word met, kept while there is room."""
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    import xxhash
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        found = xxhash.xxh64_intdigest(word)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = found
-        return found
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -59,25 +51,49 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
-def runs_hashed(words: np.ndarray, n: int) -> np.ndarray:
-    """A hash of every n consecutive words, from those of the words."""
-    base, total = np.uint64(0x9E3779B97F4A7C15), np.zeros(len(words) - n + 1, np.uint64)
-    for k in range(n):
-        total = total * base + words[k : len(words) - n + 1 + k]
-    return mixed(total)
+BASE = 0x9E3779B97F4A7C15
+
+
+def runs_hashed(words: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """For each size, a hash of every so many consecutive words, from those of the words:
+    a polynomial, put together from runs of 1, 2, 4, ... words."""
+    runs, n = {1: words}, 1
+    while 2 * n <= max(sizes):
+        runs[2 * n] = followed(runs[n], runs[n], n, n)
+        n *= 2
+    found = []
+    for size in sizes:
+        whole, length = None, 0
+        for n in sorted(runs, reverse=True):
+            if size & n:
+                whole = runs[n] if whole is None else followed(whole, runs[n], length, n)
+                length += n
+        found.append(mixed(whole))
+    return found
+
+
+def followed(left: np.ndarray, right: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Hashes of runs of n words and the m words behind them."""
+    count = len(left) - m if left is right else min(len(left), len(right) - n)
+    return left[:count] * np.uint64(pow(BASE, m, 2**64)) + right[n : n + count]
 
 
-def segments(words: list[bytes], hashes: WordHashes, window: int, group: int):
+def segments(words: list[bytes], window: int, group: int):
     """(anchor, content, first, count) arrays of a text's segments: hashes of the anchor and
     of the segment's words, its first window and its number of windows; and the windows'
     own hashes. None for a text without a window."""
     if len(words) < window:
         return None
-    hashed = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    groups, own = runs_hashed(hashed, group), runs_hashed(hashed, window)
-    inside = window - group + 1
-    view = np.lib.stride_tricks.sliding_window_view(groups, inside)
-    at = np.arange(len(own)) + view.argmin(axis=1)
+    groups, own = runs_hashed(word_hashes(words), group, window)
+    # The high half of a hash and its place: the least is the first of the smallest.
+    least = (groups & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(groups), dtype=np.uint64)
+    inside, n = window - group + 1, 1
+    while 2 * n <= inside:
+        least = np.minimum(least[:-n], least[n:])
+        n *= 2
+    if n < inside:
+        least = np.minimum(least[: n - inside], least[inside - n :])
+    at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     count = np.diff(np.r_[first, len(own)])
     last = first + count - 1
@@ -90,11 +106,10 @@ def dealt(docs: DataFrame, window: int, group: int) -> DataFrame:
     of the hash, enough to bring together what is equal."""
 
     def find(batches):
-        hashes = WordHashes()
         for batch in batches:
             found, names = [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                one = segments((text.as_py() or "").encode().split(), hashes, window, group)
+                one = segments((text.as_py() or "").encode().split(), window, group)
                 if one:
                     found.append(one[:4])
                     names += [doc] * len(one[0])
@@ -264,7 +279,6 @@ def repeats(
     texts = own.join(asked, own["doc"].eqNullSafe(asked["whose"])).select("doc", "text", "segments")
 
     def cut_out(batches):
-        hashes = WordHashes()
         names = ["shard", "own", "doc", "first", "text"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
         for batch in batches:
@@ -278,8 +292,8 @@ def repeats(
                         continue  # a segment of another row with this id
                     if one["hot"]:
                         if hashed is None:
-                            every = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                            hashed = runs_hashed(every, window).view(np.int64)
+                            (windows,) = runs_hashed(word_hashes(words), window)
+                            hashed = windows.view(np.int64)
                         rows += [(None, int(hashed[k]), doc, k, None) for k in range(first, first + n)]
                     else:
                         part = b" ".join(words[first : first + n + window - 1]).decode()
