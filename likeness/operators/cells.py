@@ -22,7 +22,10 @@ from likeness.operators import blocks
 from likeness.operators.topn import first_per_group
 from likeness.session import cut
 
-MAX_CELLS = 4096
+# What the pivots, which every task holds, may weigh; more cells are an error.
+PIVOT_BYTES = 256 * 1024 * 1024
+# Rows of a cell that are written to one file.
+FILE_ROWS = 1_000_000
 # Distances that tie at 12 decimals may lie 1.5e-6 apart as angles, and angles near 0
 # carry an error of about 1e-8; cells within the slack are visited too.
 ANGLE_SLACK = 3e-6
@@ -30,7 +33,7 @@ ANGLE_SLACK = 3e-6
 
 @dataclass(frozen=True)
 class Cells:
-    """``pivots`` are unit rows on the driver (at most MAX_CELLS); ``assigned`` has
+    """``pivots`` are unit rows on the driver (PIVOT_BYTES at most); ``assigned`` has
     (id, packed, cell, angle), where ``packed`` are the raw values of a vector, of the
     numpy kind ``kind``."""
 
@@ -48,12 +51,12 @@ def sample_pivots(vectors: DataFrame, n: int, total: int) -> np.ndarray:
     """About ``n`` of ``total`` rows chosen by a hash of their id, equal rows once.
 
     The hash leaves some eight times as many rows as are wanted, so that ordering them
-    does not gather ``n`` rows from every partition. At most MAX_CELLS are returned.
+    does not gather ``n`` rows from every partition.
     """
-    n = min(n, MAX_CELLS)
-    place = F.xxhash64("id").cast("double") / 2.0**64 + 0.5
+    digest = F.sha2(F.col("id").cast("string"), 256)
+    place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2.0**32
     some = vectors.filter(place <= 8.0 * n / max(1, total))
-    rows = some.orderBy(F.xxhash64("id"), "id").limit(n).collect()
+    rows = some.orderBy(digest, "id").limit(n).collect()
     if not rows:
         rows = vectors.limit(1).collect()
     unit = blocks.unit_rows(np.array([r["vector"] for r in rows], dtype=np.float64))
@@ -66,13 +69,16 @@ def kmeans_pivots(vectors: DataFrame, n: int, seed: int = 7) -> np.ndarray:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    points = vectors.select(array_to_vector("vector").alias("features"))
-    model = KMeans(k=min(n, MAX_CELLS), seed=seed, distanceMeasure="cosine").fit(points)
+    # Stored, as every round of the learning reads it.
+    points = cut(vectors.select("vector")).select(array_to_vector("vector").alias("features"))
+    model = KMeans(k=n, seed=seed, distanceMeasure="cosine").fit(points)
     return blocks.unit_rows(np.array(model.clusterCenters()))
 
 
 def assign(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     """(id, packed, cell, angle): the nearest pivot and the angle to it; no shuffle."""
+    if pivots.nbytes > PIVOT_BYTES:
+        raise ValueError(f"{len(pivots)} pivots exceed {PIVOT_BYTES} bytes: ask for fewer cells")
     held = vectors.sparkSession.sparkContext.broadcast(pivots)
     schema = T.StructType(
         [
@@ -92,17 +98,34 @@ def build_cells(
     pivots: np.ndarray | None = None,
     block_rows: int = 16_384,
 ) -> Cells:
+    """Cells around given pivots, or around ``n_cells`` sampled ones: as many as the rows
+    make blocks, but no more than the root of the number of rows, where the cost of
+    choosing cells and that of looking into one are in balance. The assignment is stored,
+    since a search reads it several times."""
     vectors = vectors.select("id", "vector")
     if pivots is None:
         total = vectors.count()
-        n = n_cells or max(1, min(MAX_CELLS, math.ceil(total / block_rows)))
+        n = n_cells or max(1, math.ceil(min(total / block_rows, math.sqrt(total))))
         pivots = sample_pivots(vectors, n, total)
-    return Cells(pivots, assign(vectors, pivots), value_kind(vectors))
+    return Cells(pivots, cut(assign(vectors, pivots)), value_kind(vectors))
+
+
+def add_rows(index: Cells, vectors: DataFrame) -> Cells:
+    """The index with further rows, or other vectors of rows it has; pivots stay."""
+    if value_kind(vectors) != index.kind:
+        raise ValueError(f"the values of the index are {index.kind}")
+    fresh = cut(assign(vectors.select("id", "vector"), index.pivots))
+    kept = index.assigned.join(fresh.select("id"), "id", "left_anti")
+    return Cells(index.pivots, kept.unionByName(fresh), index.kind)
 
 
 def write_cells(index: Cells, path: str) -> None:
-    """Keep the assignment, one folder per cell, so that later searches skip folders."""
-    index.assigned.write.partitionBy("cell").parquet(f"{path}/members")
+    """Keep the assignment, one folder per cell, so that later searches skip folders. A
+    folder has one file for each FILE_ROWS rows or so of the largest cell."""
+    count, _ = cell_facts(index)
+    salt = F.pmod(F.xxhash64("id"), F.lit(math.ceil(max(1, int(count.max())) / FILE_ROWS)))
+    spread = index.assigned.repartition("cell", salt)
+    spread.write.partitionBy("cell").parquet(f"{path}/members")
     spark = index.assigned.sparkSession
     rows = [(i, [float(x) for x in p], index.kind) for i, p in enumerate(index.pivots)]
     pivots = spark.createDataFrame(rows, "cell int, pivot array<double>, kind string")
@@ -110,14 +133,14 @@ def write_cells(index: Cells, path: str) -> None:
 
 
 def read_cells(spark, path: str) -> Cells:
-    rows = spark.read.parquet(f"{path}/pivots").orderBy("cell").limit(MAX_CELLS).collect()
+    rows = spark.read.parquet(f"{path}/pivots").orderBy("cell").collect()
     pivots = np.array([r["pivot"] for r in rows])
     members = spark.read.parquet(f"{path}/members")
     return Cells(pivots, members.select("id", "packed", "cell", "angle"), rows[0]["kind"])
 
 
 def cell_facts(index: Cells) -> tuple[np.ndarray, np.ndarray]:
-    """Arrays over cells: their rows and their radius. At most MAX_CELLS are fetched."""
+    """Arrays over cells: their rows and their radius. One row per pivot is fetched."""
     sizes = index.assigned.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r"))
     count, radius = np.zeros(len(index.pivots), np.int64), np.zeros(len(index.pivots))
     for row in sizes.collect():
@@ -191,7 +214,7 @@ def _search_tiles(
     """Partial hits (query_id, rank, id, distance): the nearest rows of each tile."""
     spark = queries.sparkSession
     tour = visits(index, queries, facts, probes).groupBy("cell").agg(F.count("*").alias("n"))
-    # One row per cell, at most MAX_CELLS.
+    # One row per pivot at most.
     guests = {row["cell"]: row["n"] for row in tour.collect()}
     cuts = [
         (cell, max(1, math.ceil(int(facts[0][cell]) / block_rows)), math.ceil(n / block_rows))

@@ -93,10 +93,23 @@ def hashed_vectors(df: DataFrame, dim: int = 768) -> DataFrame:
     counts = words.select("id", spot.alias("spot")).groupBy("id", "spot").agg(F.count("spot").alias("n"))
     filled = F.when(F.col("spot").isNotNull(), F.struct("spot", "n"))
     # collect_list leaves out the NULL entry of a text without words.
-    maps = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(filled)).alias("m"))
-    places = F.sequence(F.lit(0), F.lit(dim - 1))
-    dense = F.transform(places, lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)).cast("double"))
-    return maps.select("id", l2_normalize(dense).alias("vector"))
+    lists = counts.groupBy("id").agg(F.sort_array(F.collect_list(filled)).alias("pairs"))
+    # The zeros between one count and the next, then the count: each pair is met once.
+    spots = F.concat(F.array(F.lit(-1)), F.transform("pairs", lambda p: p["spot"]))
+    lists = lists.withColumn("spots", spots)
+    zero = F.lit(0.0)
+    runs = F.zip_with(
+        "pairs",
+        F.slice("spots", F.lit(1), F.size("pairs")),
+        lambda p, before: F.concat(
+            F.array_repeat(zero, p["spot"] - before - 1), F.array(p["n"].cast("double"))
+        ),
+    )
+    tail = F.array_repeat(zero, F.lit(dim - 1) - F.element_at("spots", -1))
+    dense = F.concat(F.flatten(runs), tail)
+    return lists.select("id", dense.alias("dense")).select(
+        "id", l2_normalize(F.col("dense")).alias("vector")
+    )
 
 
 def pooled_vectors(tokens: DataFrame, token_vectors: DataFrame, dim: int) -> DataFrame:

@@ -17,10 +17,9 @@ from pyspark import cloudpickle
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Texts per model call, and the token limit of the pooling encoder.
+# Texts per model call.
 MODEL_BATCH = 64
 POOLED_BATCH = 32
-POOLED_TOKENS = 512
 
 WORD_BREAK = r"[ \t\r\n]+"
 
@@ -35,10 +34,10 @@ class PooledEncoder:
     """Mean pooling over a model's token states, for models without their own pooling.
 
     ``tokenize`` maps a text to token ids, ``states`` maps (ids, mask), both text ×
-    token, to token states. Texts are cut at ``max_tokens``, None for no limit.
+    token, to token states. Texts are cut at ``max_tokens`` where the model asks for it.
     """
 
-    def __init__(self, tokenize, states, batch=POOLED_BATCH, max_tokens=POOLED_TOKENS, pad=0):
+    def __init__(self, tokenize, states, batch=POOLED_BATCH, max_tokens=None, pad=0):
         self.tokenize, self.states = tokenize, states
         self.batch, self.max_tokens, self.pad = batch, max_tokens, pad
 

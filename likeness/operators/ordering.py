@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from likeness.functions.text import or_empty
 from likeness.session import cut
 
-# Skipping rows runs through all of them; beyond this many a page is found by position.
-SKIP_ROWS = 100_000
+# A page is found by counting rows between drawn keys, so many of them at a time, until no
+# more than SKIP_ROWS rows lie between the key below the page and the page.
+DRAWN_KEYS = 64
+SKIP_ROWS = 10_000
 
 
 def sort_key(key: str) -> str:
@@ -93,21 +95,43 @@ def window_of_rows(rows: DataFrame, offset: int, limit: int, *keys: Column | str
     return kept.filter(F.col("position") < offset + limit) if limit else kept
 
 
+def near_page(rows: DataFrame, offset: int, limit: int) -> tuple[DataFrame, int]:
+    """Rows of a range of keys that has the page and the row behind it, and the offset of
+    the page there. Each round counts the rows between some keys, drawn by a hash of the
+    id, in one pass that moves one row per task; only the range is looked at in the next."""
+    at = F.struct("name", "id")
+    while (total := rows.count()) > SKIP_ROWS:
+        share = 16.0 * DRAWN_KEYS / total
+        chance = F.xxhash64("id", F.lit(total)).cast("double") / 2.0**64 + 0.5
+        drawn = rows.filter(chance <= share).select("name", "id").distinct()
+        keys = drawn.orderBy(F.xxhash64("id", "name")).limit(DRAWN_KEYS).orderBy("name", "id")
+        keys = [(row["name"], row["id"]) for row in keys.collect()]
+        kind = [rows.schema[c].dataType for c in ("name", "id")]
+        bounds = [F.struct(*[F.lit(x).cast(t) for x, t in zip(k, kind, strict=True)]) for k in keys]
+        below = [F.count_if(at < bound) for bound in bounds]
+        counts = list(rows.agg(*below).head()) if below else []
+        first = max((i for i, n in enumerate(counts) if n <= offset), default=None)
+        end = min((i for i, n in enumerate(counts) if n > offset + limit), default=None)
+        start = 0 if first is None else counts[first]
+        size = (total if end is None else counts[end]) - start
+        if first is not None:
+            rows = rows.filter(at >= bounds[first])
+        if end is not None:
+            rows = rows.filter(at < bounds[end])
+        offset -= start
+        if size > total // 2:
+            break  # rows with one key, or a page of nearly all: no range is smaller
+    return rows, offset
+
+
 def page(rows: DataFrame, offset: int, limit: int) -> DataFrame:
     """One page in (name, id) order, with the facts a pager needs on every row."""
-    if offset + limit <= SKIP_ROWS:
-        asked = rows.orderBy("name", "id").offset(offset).limit(limit + 1)
-        seen = Window.orderBy("name", "id")
-        # At most limit + 1 rows are numbered here.
-        numbered = asked.withColumn("row", F.row_number().over(seen))
-        facts = numbered.withColumn("has_next", F.max("row").over(Window.partitionBy()) > limit)
-        kept = facts.filter(F.col("row") <= limit).drop("row")
-    else:
-        asked = window_of_rows(rows, offset, limit + 1, "name", "id")
-        more = asked.filter(F.col("position") == offset + limit).limit(1).count() > 0
-        kept = asked.filter(F.col("position") < offset + limit).drop("position")
-        kept = kept.withColumn("has_next", F.lit(more))
-    return kept.withColumns(
+    near, skipped = near_page(rows, offset, limit)
+    asked = near.orderBy("name", "id").offset(skipped).limit(limit + 1)
+    # At most limit + 1 rows are numbered here.
+    numbered = asked.withColumn("row", F.row_number().over(Window.orderBy("name", "id")))
+    facts = numbered.withColumn("has_next", F.max("row").over(Window.partitionBy()) > limit)
+    return facts.filter(F.col("row") <= limit).drop("row").withColumns(
         {
             "has_prev": F.lit(offset > 0),
             "prev_offset": F.lit(max(0, offset - limit)),

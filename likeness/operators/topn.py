@@ -22,7 +22,9 @@ def first_per_group(
     limit, or for large ``n`` by ranking a hash of the row first.
     """
     if n >= MAP_SIDE_LIMIT:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(SALTS))
+        # Maps have no hash; the other columns spread the rows well enough.
+        hashed = [f.name for f in rows.schema if "map<" not in f.dataType.simpleString()]
+        salt = F.pmod(F.xxhash64(*hashed), F.lit(SALTS))
         parts = Window.partitionBy(*keys, "salt").orderBy(*order)
         rows = rows.withColumn("salt", salt).withColumn("place", F.row_number().over(parts))
         rows = rows.filter(F.col("place") <= n).drop("salt", "place")

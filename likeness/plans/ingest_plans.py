@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from likeness.operators import encode
@@ -26,16 +27,13 @@ CONFIG = encode.EncodeConfig(model="hashing-64", include_name=True, tags_weight=
 _hashing = partial(HashingEncoder, DIM)
 
 
-@query(
-    "s1_read_card_files",
-    V.with_ctes(V.SQL_RAW)
-    + """SELECT id, name, cmc, stored_text AS oracle_text, image_normal, legalities,
-      CAST(len(coalesce(colors, [])) AS INTEGER) AS n_colors FROM stored""",
-)
-def s1_read_card_files(spark, sf_dir):
-    path = fresh_dir(spark, "cards-json")
-    V.raw_cards(spark, sf_dir).write.json(path)
-    flat = flatten_cards(read_cards(spark, path, layout="lines"))
+SQL_READ = V.with_ctes(V.SQL_RAW) + """
+    SELECT id, name, cmc, stored_text AS oracle_text, image_normal, legalities,
+      CAST(len(coalesce(colors, [])) AS INTEGER) AS n_colors FROM stored"""
+
+
+def _read(spark, path, layout):
+    flat = flatten_cards(read_cards(spark, path, layout=layout))
     return flat.select(
         F.col("scryfall_id").alias("id"),
         *["name", "cmc", "oracle_text", "image_normal", "legalities"],
@@ -43,6 +41,39 @@ def s1_read_card_files(spark, sf_dir):
     )
 
 
+def _write_arrays(spark, sf_dir) -> str:
+    """Files of one JSON array each, with one record per line."""
+    path = fresh_dir(spark, "cards-array")
+    raw = V.raw_cards(spark, sf_dir)
+    rows = raw.select("id", F.to_json(F.struct(*raw.columns)).alias("card"))
+    rows = rows.withColumn("file", F.pmod(F.xxhash64("id"), F.lit(8)))
+    of_file = Window.partitionBy("file").orderBy("id")
+    first, last = F.lag("id").over(of_file).isNull(), F.lead("id").over(of_file).isNull()
+    start = F.when(first, F.lit("[\n")).otherwise("")
+    end = F.when(last, F.lit("\n]")).otherwise(",")
+    lines = rows.withColumn("value", F.concat(start, "card", end)).select("file", "id", "value")
+    lines = lines.repartition("file").sortWithinPartitions("file", "id")
+    lines.select("file", "value").write.partitionBy("file").text(path)
+    return path
+
+
+@query("s1_read_card_files", SQL_READ)
+def s1_read_card_files(spark, sf_dir):
+    path = fresh_dir(spark, "cards-json")
+    V.raw_cards(spark, sf_dir).write.json(path)
+    return _read(spark, path, "lines")
+
+
+@query("s1_read_array_lines", SQL_READ)
+def s1_read_array_lines(spark, sf_dir):
+    return _read(spark, _write_arrays(spark, sf_dir), "array_lines")
+
+
+@query("s1_read_arrays", SQL_READ)
+def s1_read_arrays(spark, sf_dir):
+    return _read(spark, _write_arrays(spark, sf_dir), "array")
+
+
 @query(
     "s4_s5_batch_files",
     V.with_ctes(V.SQL_RAW, V.SQL_VECTORS.replace("catalogue AS", "unused AS").replace(

@@ -228,24 +228,59 @@ def _all_as_queries(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("id").alias("query_id"), "vector")
 
 
-@query("v6_approximate_topk")
+SQL_CELLS = (
+    V.with_ctes(V.SQL_CARDS, V.SQL_VECTORS)
+    + f""", pivots AS (SELECT id AS spot, vector FROM vectors ORDER BY sha256(id), id LIMIT 16),
+    near AS (
+      SELECT v.id, p.spot, row_number() OVER (PARTITION BY v.id
+        ORDER BY list_cosine_similarity(v.vector, p.vector) DESC, p.spot) AS turn
+      FROM vectors v, pivots p),
+    homes AS (SELECT id, spot FROM near WHERE turn = 1),
+    visited AS (
+      SELECT n.id AS query_id, h.id FROM near n JOIN homes h ON n.spot = h.spot WHERE n.turn <= 8),
+    pairs AS (
+      SELECT q.id AS query_id, v.id, {V.sql_distance('q.vector', 'v.vector')} AS distance
+      FROM vectors q, vectors v),
+    ranked AS (SELECT *, CAST(row_number() OVER (
+      PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank
+      FROM pairs JOIN visited USING (query_id, id))"""
+)
+
+
+@query("v6_approximate_topk", SQL_CELLS + f"SELECT query_id, rank, id, {ROUNDED} FROM ranked WHERE rank <= 10")
 def v6_approximate_topk(spark, sf_dir):
     vectors = V.vectors(spark, sf_dir)
     index = cells.build_cells(vectors, n_cells=16)
     return rounded(neighbours.nearest_in_cells(index, _all_as_queries(vectors), 10, probes=8))
 
 
-@query("v6_recall")
+@query(
+    "v6_recall",
+    SQL_CELLS
+    + """, best AS (SELECT *, row_number() OVER (
+        PARTITION BY query_id ORDER BY distance, id) AS place FROM pairs),
+    exact AS (SELECT query_id, id FROM best WHERE place <= 10),
+    hits AS (SELECT query_id, id FROM ranked WHERE rank <= 10),
+    counts AS (
+      SELECT (SELECT count(*) FROM exact) AS exact_hits,
+        (SELECT count(*) FROM exact JOIN hits USING (query_id, id)) AS found_hits,
+        (SELECT count(*) FROM visited) AS pairs, (SELECT count(*) FROM pairs) AS all_pairs)
+    SELECT exact_hits, found_hits, round(found_hits / exact_hits, 9) AS recall, pairs,
+      round(pairs / all_pairs, 9) AS candidate_share FROM counts""",
+)
 def v6_recall(spark, sf_dir):
     vectors = V.vectors(spark, sf_dir)
     queries = _all_as_queries(vectors)
     exact = neighbours.nearest(queries, vectors, 10)
-    index = cells.build_cells(vectors, pivots=cells.kmeans_pivots(vectors, 16))
+    index = cells.build_cells(vectors, n_cells=16)
     found = neighbours.nearest_in_cells(index, queries, 10, probes=8)
     share = cells.candidate_share(index, queries, 8, 10).head()
-    return neighbours.recall(found, exact).withColumns(
+    facts = neighbours.recall(found, exact).withColumns(
         {"pairs": F.lit(share["pairs"]), "candidate_share": F.lit(share["candidate_share"])}
     )
+    return facts.withColumns(
+        {c: F.round(F.col(c), 9) for c in ("recall", "candidate_share")}
+    )
 
 
 @query(

@@ -30,9 +30,13 @@ def write_batches(objects: DataFrame, path: str, batch_size: int = BATCH_SIZE) -
     documents = (
         with_position(objects, "id")
         .groupBy(number.alias("batch"))
-        .agg(F.collect_list(F.struct("class", "id", "properties", "vector")).alias("objects"))
+        .agg(F.collect_list(F.struct("position", "class", "id", "properties", "vector")).alias("o"))
     )
-    documents.select("objects").write.option("ignoreNullFields", "true").json(path)
+    in_order = F.array_sort("o", lambda a, b: (a["position"] - b["position"]).cast("int"))
+    fields = ["class", "id", "properties", "vector"]
+    objects = F.transform(in_order, lambda o: F.struct(*[o[f].alias(f) for f in fields]))
+    documents = documents.select(objects.alias("objects"))
+    documents.write.option("ignoreNullFields", "true").json(path)
 
 
 def read_batches(spark: SparkSession, path: str) -> DataFrame:
@@ -42,6 +46,7 @@ def read_batches(spark: SparkSession, path: str) -> DataFrame:
 
 
 def count_objects(spark: SparkSession, path: str) -> int:
-    return spark.read.schema(BATCH_FILE).json(path).select(
+    """A broken file is an error, as it is when it is read."""
+    return spark.read.schema(BATCH_FILE).json(path, mode="FAILFAST").select(
         F.coalesce(F.sum(F.size("objects")), F.lit(0))
     ).head()[0]

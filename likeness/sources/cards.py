@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from likeness.schema import BULK_INDEX, RAW_CARD
 
 
-def read_cards(spark: SparkSession, path: str, layout: str = "array") -> DataFrame:
+def read_cards(spark: SparkSession, path: str, layout: str = "array_lines") -> DataFrame:
     """Raw records from JSON; a broken file is an error.
 
-    ``array``: one JSON array per file, any formatting; such a file is one task, so
-    convert it once (``store_cards``). ``array_lines``: an array with one record per
-    line, as bulk files are published; it is split over tasks. ``lines``: JSON Lines.
+    ``array_lines``: an array with one record per line, as bulk files are published; it
+    is split over tasks. ``array``: a JSON array of any other formatting; such a file is
+    one task, so convert it once (``store_cards``). ``lines``: JSON Lines.
     """
     if layout == "array":
         return spark.read.schema(RAW_CARD).json(path, multiLine=True, mode="FAILFAST")

@@ -35,7 +35,7 @@ def test_no_cross_joins(spark, name):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-@pytest.mark.parametrize("name", ["a3_printings", "v5b_exact_topk_one_pass", "f2_search"])
+@pytest.mark.parametrize("name", ["a3_printings_first", "v5b_exact_topk_one_pass", "f2_search_first"])
 def test_groups_are_limited_on_the_map_side(spark, name):
     plan = queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
     assert "Partial" in plan and "WindowGroupLimit" in plan
@@ -51,3 +51,10 @@ def test_scans_read_only_what_they_need(spark):
     plan = queries()["p7_legality_rows"](spark, SF_DIR)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<p_partkey:bigint,p_size:int>" in text
+
+
+def test_the_assignment_is_computed_once(spark):
+    """A search in cells reads it several times, each time from where it was stored."""
+    plan = queries()["v5b_exact_topk_tiles"](spark, SF_DIR)
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "cell#" in text and "embeddings.parquet" not in text

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 def raw(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("raw") / "cards.json"
     path.write_text(json.dumps(RAW, indent=1))
-    return read_cards(spark, str(path)).cache()
+    return read_cards(spark, str(path), "array").cache()
 
 
 @pytest.fixture(scope="module")
@@ -44,7 +44,7 @@ def test_layouts_read_alike(spark, raw, tmp_path):
 def test_broken_file_is_an_error(spark, tmp_path):
     (tmp_path / "bad.json").write_text('[{"id": "a"}, {"id": ')
     with pytest.raises(Exception, match="MALFORMED"):
-        read_cards(spark, str(tmp_path / "bad.json")).collect()
+        read_cards(spark, str(tmp_path / "bad.json"), "array").collect()
 
 
 def test_flat_schema(raw):
@@ -172,3 +172,23 @@ def test_ensure_table(spark, tmp_path):
             ensure_table(spark, "shop.cards", T.StructType([*CARD.fields, more]))
     finally:
         spark.sql("DROP DATABASE shop CASCADE")
+
+
+def test_half_way_labels_round_to_even(spark):
+    from likeness.functions.text import similarity_label, trimmed
+
+    rows = [(0.0625,), (0.1875,), (0.3125,), (0.9375,), (0.12345,), (0.0005,), (1.0,), (-0.5,)]
+    df = spark.createDataFrame(rows, "s double").select(similarity_label(F.col("s")).alias("l"))
+    assert [r["l"] for r in df.collect()] == [
+        f"sim {s:.3f}" if s > 0 else "" for (s,) in rows
+    ]
+    names = spark.createDataFrame([("\t Bolt\n",), ("\u3000\xa0",), ("a\tb",)], "n string")
+    assert [r[0] for r in names.select(trimmed(F.col("n"))).collect()] == ["Bolt", "", "a\tb"]
+
+
+def test_a_broken_batch_file_is_not_counted(spark, tmp_path):
+    from likeness.sources.batches import count_objects
+
+    (tmp_path / "bad.json").write_text('{"objects":[{"id":"a"\n')
+    with pytest.raises(Exception, match="MALFORMED"):
+        count_objects(spark, str(tmp_path / "bad.json"))

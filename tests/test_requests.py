@@ -205,7 +205,7 @@ def test_positions(spark, keys):
     assert ordering.window_of_rows(rows.limit(0), 0, 5, "name", "id").count() == 0
 
 
-@pytest.mark.parametrize("skip", [100_000, 0])
+@pytest.mark.parametrize("skip", [100_000, 3, 0])
 def test_pages(spark, monkeypatch, skip):
     monkeypatch.setattr(ordering, "SKIP_ROWS", skip)
     rows = spark.range(45).select(F.col("id"), F.format_string("%03d", "id").alias("name"))
@@ -225,3 +225,18 @@ def test_sample(cards):
     assert sorted(first) == ["1", "4"]
     assert first == [r["id"] for r in ordering.sample_legendary(cards, 5, "a").collect()]
     assert ordering.sample_legendary(cards, 5, name_pool=400).count() == 0
+
+
+def test_a_deep_page_of_many_rows(spark, monkeypatch):
+    """Rows are counted between keys, and only a range near the page is sorted; one name
+    has half of all rows, and some rows have none."""
+    monkeypatch.setattr(ordering, "SKIP_ROWS", 100)
+    name = F.when(F.col("id") % 2 == 0, "same").when(F.col("id") % 501 != 0, F.md5(F.col("id").cast("string")))
+    rows = spark.range(6000).select("id", name.alias("name"))
+    want = [r["id"] for r in rows.orderBy("name", "id").collect()]
+    for offset in (0, 7, 2990, 5985):
+        near, skipped = ordering.near_page(rows, offset, 20)
+        assert near.count() <= 1500 and skipped < 1500
+        got = ordering.page(rows, offset, 20).orderBy("name", "id").collect()
+        assert [r["id"] for r in got] == want[offset : offset + 20]
+        assert {r["has_next"] for r in got} == {offset + 20 < 6000}

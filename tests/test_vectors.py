@@ -228,3 +228,42 @@ def test_seeded_vectors(spark):
     assert [len(v) for v in rows] == [13] * 3
     assert rows[0] == rows[2] != rows[1]
     assert np.allclose([np.linalg.norm(v) for v in rows], 1)
+
+
+def clustered(spark, n=4000, groups=60, dim=24):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(groups, dim))
+    rows = centres[rng.integers(0, groups, n)] + 0.15 * rng.normal(size=(n, dim))
+    data = [(i, [float(x) for x in row]) for i, row in enumerate(rows)]
+    return spark.createDataFrame(data, "id long, vector array<double>").repartition(4)
+
+
+def test_recall_on_clustered_rows(spark):
+    vectors = clustered(spark)
+    queries = vectors.filter("id % 10 = 0").select(F.col("id").alias("query_id"), "vector")
+    index = cells.build_cells(vectors, n_cells=64)
+    found = nearest_in_cells(index, queries, 10, probes=6)
+    exact = nearest(queries, vectors, 10)
+    assert recall(found, exact).head()["recall"] >= 0.9
+    assert cells.candidate_share(index, queries, 6, 10).head()["candidate_share"] <= 0.2
+
+
+def test_rows_are_added_to_an_index(spark, tmp_path):
+    vectors = clustered(spark, 600, 10)
+    queries = vectors.limit(20).select(F.col("id").alias("query_id"), "vector")
+    moved = vectors.filter("id >= 500").unionByName(
+        vectors.filter("id < 20").withColumn("vector", F.transform("vector", lambda x: -x))
+    )
+    index = cells.add_rows(cells.build_cells(vectors.filter("id < 500"), n_cells=7), moved)
+    cells.write_cells(index, str(tmp_path / "index"))
+    read = cells.read_cells(spark, str(tmp_path / "index"))
+    whole = vectors.filter("id BETWEEN 20 AND 499").unionByName(moved)
+    want = sorted(map(tuple, nearest(queries, whole, 5).select("query_id", "rank", "id").collect()))
+    got = nearest_in_cells(read, queries, 5).select("query_id", "rank", "id")
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_too_many_pivots_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(cells, "PIVOT_BYTES", 1000)
+    with pytest.raises(ValueError, match="fewer cells"):
+        cells.build_cells(clustered(spark, 200, 5), n_cells=50)
