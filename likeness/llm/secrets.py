@@ -192,7 +192,8 @@ def with_secrets(
     index = cut(postings(docs, key(id), key(text), rules))
     near = candidates(index, rules)
     given, bits = spare(docs, "candidate_id"), spare(docs, "candidate_rules")
-    near = near.select(F.col("id").alias(given), F.col("rules").alias(bits))
+    # Written, so that its size is known: few candidates go to where the texts are.
+    near = cut(near.select(F.col("id").alias(given), F.col("rules").alias(bits)))
     joined = docs.join(near, docs[key(id)].eqNullSafe(near[given]), "left")
     body, none = F.coalesce(F.col(key(text)), F.lit("")), F.expr(
         "CAST(array() AS array<struct<start:int,order:int,end:int>>)"
