@@ -276,7 +276,7 @@ def v6_recall(spark, sf_dir):
     found = neighbours.nearest_in_cells(index, queries, 10, probes=8)
     share = cells.candidate_share(index, queries, 8, 10).head()
     facts = neighbours.recall(found, exact).withColumns(
-        {"pairs": F.lit(share["pairs"]), "candidate_share": F.lit(share["candidate_share"])}
+        {"pairs": F.lit(share["pairs"]).cast("bigint"), "candidate_share": F.lit(share["candidate_share"])}
     )
     return facts.withColumns(
         {c: F.round(F.col(c), 9) for c in ("recall", "candidate_share")}
