@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import re
 import sys
-from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,27 +55,36 @@ class PooledEncoder:
         return np.concatenate(found)
 
 
+class Places(dict):
+    """The hashed position of each word met; -1 for the empty one."""
+
+    def __init__(self, dim):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word):
+        if len(self) > 1_000_000:
+            self.clear()
+        head = int(hashlib.md5(word.encode()).hexdigest()[:8], 16)
+        self[word] = head % self.dim if word else -1
+        return self[word]
+
+
 class HashingEncoder:
     """Word counts in hashed positions: needs no model, and knows no meaning."""
 
     def __init__(self, dim=768):
         self.dim = dim
-        self.places = {}
-
-    def place(self, word):
-        if word not in self.places:
-            if len(self.places) > 1_000_000:
-                self.places.clear()
-            self.places[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim
-        return self.places[word]
+        self.places = Places(dim)
 
     def __call__(self, texts):
-        counts = np.zeros((len(texts), self.dim))
-        for line, text in enumerate(texts):
-            for word, n in Counter(re.split(WORD_BREAK, (text or "").lower())).items():
-                if word:
-                    counts[line, self.place(word)] += n
-        return counts
+        split = [re.split(WORD_BREAK, (text or "").lower()) for text in texts]
+        words = list(chain.from_iterable(split))
+        line = np.repeat(np.arange(len(texts)), list(map(len, split)))
+        place = np.fromiter(map(self.places.__getitem__, words), np.int64, len(words))
+        spot = (line * self.dim + place)[place >= 0]
+        counts = np.bincount(spot, minlength=len(texts) * self.dim)
+        return counts.reshape(len(texts), self.dim).astype(np.float64)
 
 
 def unit(rows):

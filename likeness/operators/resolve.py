@@ -6,7 +6,7 @@ so a name shared by a third of all rows costs one row per map task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from likeness.functions.text import trimmed
@@ -105,6 +105,24 @@ def containing_names(patterns: DataFrame, names: DataFrame) -> DataFrame:
     return matched.drop("gram", "salt")
 
 
+def first_of_length(patterns: DataFrame, firsts: DataFrame) -> DataFrame:
+    """(pattern, first) for patterns of wildcards alone: the first name that has at least as
+    many characters as the pattern has question marks, from one row per length of a name."""
+    shortest = firsts.groupBy(F.length("name").alias("size")).agg(
+        F.min(F.struct("name", "id")).alias("first")
+    )
+    # At most as many rows as the longest name has characters.
+    longer = Window.orderBy(F.desc("size")).rowsBetween(Window.unboundedPreceding, 0)
+    before = F.lag("size", 1, -1).over(Window.orderBy("size"))
+    best = shortest.select(
+        F.min("first").over(longer).alias("first"), before.alias("below"), "size"
+    ).select(F.explode(F.sequence(F.col("below") + 1, F.col("size"))).alias("least"), "first")
+    marks = F.length(F.regexp_replace("pattern", r"[^?]", ""))
+    return patterns.select("pattern", marks.alias("least")).join(best, "least").select(
+        "pattern", "first"
+    )
+
+
 def resolve_names(names: DataFrame, catalogue: DataFrame) -> DataFrame:
     """(name, match_kind, matched_name, id) for each distinct name asked for.
 
@@ -120,11 +138,12 @@ def resolve_names(names: DataFrame, catalogue: DataFrame) -> DataFrame:
     missing = looked_up.filter(F.col("id").isNull()).select(F.col("name").alias("pattern"))
     if missing.isEmpty():
         return exact
+    bare = F.col("pattern").rlike(r"^[*?]+$")
     found = (
-        containing_names(missing, firsts)
+        containing_names(missing.filter(~bare), firsts)
         .groupBy("pattern")
         .agg(F.min(F.struct("name", "id")).alias("first"))
-    )
+    ).unionByName(first_of_length(missing.filter(bare), firsts))
     like = missing.join(found, "pattern", "left").select(
         F.col("pattern").alias("name"),
         F.when(F.col("first").isNull(), "none").otherwise("like").alias("match_kind"),

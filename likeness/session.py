@@ -25,9 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def own_dir(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_dir(spark)}/likeness-{spark.sparkContext.applicationId}"
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession) -> bool:
+    """Delete all intermediate results of this application. Results that are still to be
+    computed may need them, so this is for its end, or for when all are written."""
+    return delete_path(spark, own_dir(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:

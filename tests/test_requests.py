@@ -240,3 +240,25 @@ def test_a_deep_page_of_many_rows(spark, monkeypatch):
         got = ordering.page(rows, offset, 20).orderBy("name", "id").collect()
         assert [r["id"] for r in got] == want[offset : offset + 20]
         assert {r["has_next"] for r in got} == {offset + 20 < 6000}
+
+
+def test_patterns_of_wildcards_alone(spark):
+    from likeness.operators.resolve import resolve_names
+
+    cards = spark.createDataFrame([("bb", "2"), ("a", "1"), ("cccc", "3"), ("bb", "0")], "name string, id string")
+    asked = spark.createDataFrame([(p,) for p in ("*", "?", "??", "?*?*?", "*****?????", "b*")], "name string")
+    got = {r["name"]: (r["match_kind"], r["id"]) for r in resolve_names(asked, cards).collect()}
+    assert got == {
+        "*": ("like", "1"), "?": ("like", "1"), "??": ("like", "0"), "?*?*?": ("like", "3"),
+        "*****?????": ("none", None), "b*": ("like", "0"),
+    }
+
+
+def test_intermediate_results_can_be_discarded(spark):
+    from likeness import session
+
+    path = session.fresh_dir(spark, "some")
+    spark.range(3).write.parquet(path)
+    assert session.path_exists(spark, path) and path.startswith(session.own_dir(spark))
+    kept = session.delete_path(spark, path)
+    assert kept and not session.path_exists(spark, path)
