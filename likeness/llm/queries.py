@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from likeness.llm import bitplanes, chat, licenses, mixing, packing, quality, secrets, simhash
-from likeness.llm import substrings, topk
+from likeness.llm import bitplanes, chat, licenses, mixing, oracles, packing, quality, secrets
+from likeness.llm import simhash, substrings, topk
 from likeness.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 from likeness.session import fresh_dir
 
 
 
 
-@query("op2_secret_scan")
+@query("op2_secret_scan", oracles.sql_secrets())
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, by base rule and in all."""
     found = secrets.with_secrets(table(spark, sf_dir, "documents"), name="secrets")
@@ -43,7 +43,7 @@ def breakout(spark: SparkSession) -> DataFrame:
     )
 
 
-@query("op3_chat_format")
+@query("op3_chat_format", oracles.sql_chats())
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, formatted, and what can be read back from the format."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -115,14 +115,14 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "topic", "tokens", "probability", "sampled")
 
 
-@query("op10_exact_topk")
+@query("op10_exact_topk", oracles.SQL_TOPK)
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best rows for every twentieth row."""
     rows = table(spark, sf_dir, "embeddings")
     return topk.top_k(rows, F.col("vec_id") % 20 == 0, 20)
 
 
-@query("op9_substring_dedup")
+@query("op9_substring_dedup", oracles.sql_substrings())
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the passages that occurred earlier."""
     return substrings.digests(table(spark, sf_dir, "documents"))
