@@ -11,8 +11,6 @@ from likeness.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 from likeness.session import fresh_dir
 
 
-
-
 @query("op2_secret_scan", oracles.sql_secrets())
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, by base rule and in all."""
@@ -56,7 +54,9 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         chat.read_turns(F.col("formatted")).alias("turns"),
         chat.read_loss(F.col("formatted"), F.col("loss")).alias("learnt"),
     )
-    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    line = F.lit("\n")
+    each = F.transform("turns", lambda t: F.concat(t["role"], line, t["text"], line))
+    told = F.array_join(each, "")
     return read.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -9,7 +9,6 @@ whose regex forces no trigram is run on every text.
 
 from __future__ import annotations
 
-
 from collections.abc import Sequence
 from itertools import product
 from re import _constants as op

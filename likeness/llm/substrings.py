@@ -305,22 +305,22 @@ def repeats(
 
     pieces = cut(texts.mapInArrow(cut_out, "shard long, own long, doc long, first int, text string"))
 
+    # Null is the smallest id; inside the shards the smallest long stands for it, since
+    # pandas would turn ids beside a null into floats.
+    smallest = F.lit(-(2**63))
+
     def search(frame: pd.DataFrame) -> pd.DataFrame:
-        # Null is the smallest id.
-        whose = frame["doc"].to_numpy(object)
-        missing = np.array([d is None or d != d for d in whose], bool)
-        number = np.array([np.iinfo(np.int64).min if m else int(d) for d, m in zip(whose, missing, strict=True)], np.int64)
-        first = frame["first"].to_numpy(np.int64)
-        again = repeated(number, first, frame["text"].tolist(), window)
-        found = [s for d, f, a in zip(number.tolist(), first.tolist(), again, strict=True) for s in spans_of(d, f, a)]
-        result = pd.DataFrame(found, columns=["doc", "first", "windows"])
-        result["doc"] = result["doc"].astype("Int64")
-        if missing.any():
-            result.loc[result["doc"] == np.iinfo(np.int64).min, "doc"] = pd.NA
-        return result
-
-    searched = pieces.filter("shard IS NOT NULL").select("shard", "doc", "first", "text")
+        doc, first = frame["doc"].to_numpy(np.int64), frame["first"].to_numpy(np.int64)
+        again = repeated(doc, first, frame["text"].tolist(), window)
+        found = []
+        for d, f, a in zip(doc.tolist(), first.tolist(), again, strict=True):
+            found += spans_of(d, f, a)
+        return pd.DataFrame(found, columns=["doc", "first", "windows"])
+
+    searched = pieces.filter("shard IS NOT NULL")
+    searched = searched.select("shard", F.coalesce("doc", smallest).alias("doc"), "first", "text")
     searched = searched.groupBy("shard").applyInPandas(search, "doc long, first int, windows int")
+    searched = searched.withColumn("doc", F.nullif("doc", smallest))
     single = pieces.filter("shard IS NULL").select("own", "doc", "first")
     best = single.groupBy("own").agg(F.min(F.struct("doc", "first")).alias("best"))
     best = cut(best.withColumnRenamed("own", "of"))
