@@ -25,6 +25,8 @@ BLANKS = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u30
 WHOLE = (*BLANKS, "  ", " \n", "\n ", "\n\n", "<|")
 # Words a worker remembers in each of two generations, at about 230 bytes a word.
 REMEMBERED = 450_000
+# Longer words are rare and not remembered, so that memory is bounded.
+LONGEST = 64
 
 
 def byte_letters() -> dict[int, str]:
@@ -46,6 +48,8 @@ class Memory(dict):
         found = self.older.get(word)
         if found is None:
             found = self.find(word)
+        if len(word) > LONGEST:
+            return found
         if len(self) >= REMEMBERED:
             self.older = self.copy()
             self.clear()

@@ -52,6 +52,8 @@ def test_memory_is_bounded(monkeypatch):
     for _ in range(3):
         text = " ".join(words)
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == brute.ids_of("word_bpe_49k.json", text, 0)[:-1]
+    encoder.ids("x" * 5000 + " " + "y," * 300)
+    assert all(len(w) <= 64 for w in encoder.spaced)
     assert len(encoder.spaced) <= 10 and len(encoder.spaced.older) <= 10
 
 
