@@ -52,15 +52,13 @@ def value(column: str) -> Column:
 
 
 def shares(cells: DataFrame, margin: str, target: float | Mapping[str, float]) -> DataFrame:
-    """(value, share): the target shares of a margin over the values that occur."""
+    """(value, share): the target shares of a margin over the values that occur, in any
+    unit; a common factor of one margin's shares is a common factor of all weights."""
     found = cells.groupBy(F.col(margin).alias("value")).agg(F.sum("tokens").alias("n"))
     if isinstance(target, Mapping):
         wanted = F.create_map(*[F.lit(x) for pair in target.items() for x in pair])
-        found = found.select("value", F.coalesce(wanted[F.col("value")], F.lit(0.0)).alias("n"))
-    else:
-        found = found.select("value", F.pow(F.col("n").cast("double"), F.lit(target)).alias("n"))
-    whole = found.agg(F.sum("n").alias("whole"))
-    return found.crossJoin(F.broadcast(whole)).select("value", (F.col("n") / F.col("whole")).alias("share"))
+        return found.select("value", F.coalesce(wanted[F.col("value")], F.lit(0.0)).alias("share"))
+    return found.select("value", F.pow(F.col("n").cast("double"), F.lit(target)).alias("share"))
 
 
 def raked(cells: DataFrame, targets: Mapping, sweeps: int = SWEEPS) -> DataFrame:
