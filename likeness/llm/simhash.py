@@ -31,6 +31,14 @@ SHINGLE = 4
 SEED = 42
 RADIUS = 4
 SPACES = 3
+# For texts that are near in words though not in 4 bits: texts whose five-word shingles have
+# a similarity of 0.8 are 10 bits apart on average, and few are more than 12. Links then
+# need the similarity as well, as estimated from a sketch of so many values.
+NEAR_RADIUS = 12
+NEAR_SPACES = 13
+SIMILAR = 0.8
+SKETCH_SHINGLE = 5
+SKETCH = 128
 # Fingerprints a shard should have as its own; the trees are fitted on a sample of so many
 # fingerprints a shard, and of MOST_SAMPLE at most.
 SHARD_ROWS = 8192
@@ -62,6 +70,36 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(chosen.view("<i8")[0])
 
 
+def sketch(text: str | None, shingle: int = SKETCH_SHINGLE) -> bytes:
+    """One byte of the smallest hash in each of SKETCH parts of the hash range, over the
+    distinct shingles of the whole text; 0 where a part has none."""
+    import xxhash
+
+    words = (text or "").encode().lower().split()
+    found = np.zeros(SKETCH, np.uint8)
+    if words:
+        joined = b" ".join(words)
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        starts = [0, *(ends[:-1] + 1).tolist()]
+        ends = ends[min(shingle, len(words)) - 1 :].tolist()
+        hashed = (xxhash.xxh64_intdigest(joined[s:e]) for s, e in zip(starts, ends))  # noqa: B905
+        values = np.sort(np.fromiter(hashed, np.uint64, len(ends)))
+        part = (values >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+        first = np.r_[True, part[1:] != part[:-1]]
+        found[part[first]] = (values[first] % np.uint64(255)).astype(np.uint8) + 1
+    return found.tobytes()
+
+
+def alike(sketches: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Estimated similarity of pairs: equal values by parts that either text has."""
+    found = np.empty(len(a))
+    for at in range(0, len(a), 1 << 16):
+        x, y = sketches[a[at : at + (1 << 16)]], sketches[b[at : at + (1 << 16)]]
+        there = (x | y) != 0
+        found[at : at + (1 << 16)] = ((x == y) & there).sum(axis=1) / np.maximum(1, there.sum(axis=1))
+    return found
+
+
 def masks(spaces: int = SPACES) -> list[int]:
     """Disjoint sets of bits that make up all 64."""
     cuts = [round(64 * k / spaces) for k in range(spaces + 1)]
@@ -168,9 +206,18 @@ class Groups:
             self.label = root[self.label]
 
 
-def linked(values: np.ndarray, own: np.ndarray, mask: int, small: int, radius: int) -> np.ndarray:
+def linked(
+    values: np.ndarray,
+    own: np.ndarray,
+    mask: int,
+    small: int,
+    radius: int,
+    sketches: np.ndarray | None = None,
+    similar: float = 0.0,
+) -> np.ndarray:
     """Labels of the values after joining all pairs of an own value and any value that
-    differ in at most ``radius`` bits, and in at most ``small`` bits of ``mask``."""
+    differ in at most ``radius`` bits, and in at most ``small`` bits of ``mask``; with
+    sketches, only pairs that are ``similar`` enough or equal."""
     groups, mask = Groups(len(values)), np.uint64(mask)
     stack = [(np.flatnonzero(own), np.arange(len(values)))]
     while stack:
@@ -184,7 +231,13 @@ def linked(values: np.ndarray, own: np.ndarray, mask: int, small: int, radius: i
                 some = asked[at : at + step]
                 far = np.bitwise_count(values[some][:, None] ^ values[kept][None, :])
                 x, y = np.nonzero(far <= radius)
-                groups.join(some[x], kept[y])
+                x, y = some[x], kept[y]
+                if sketches is not None:
+                    new = groups.label[x] != groups.label[y]
+                    x, y = x[new], y[new]
+                    near = (values[x] == values[y]) | (alike(sketches, x, y) >= similar)
+                    x, y = x[near], y[near]
+                groups.join(x, y)
             continue
         point, threshold = chosen
         d, q = apart(values[kept], point, mask), apart(values[asked], point, mask)
@@ -198,9 +251,11 @@ def links(
     radius: int = RADIUS,
     spaces: int = SPACES,
     shard_rows: int = SHARD_ROWS,
+    similar: float | None = None,
 ) -> DataFrame:
     """Edges (a, b) that connect the nodes of ``prints`` (fingerprint, node; fingerprints are
-    distinct) just as all pairs within the radius do. A shard sends one edge for each node
+    distinct) just as all pairs within the radius do; with ``similar`` (and a column
+    ``sketch``) as all pairs do whose estimated similarity is that high too. A shard sends one edge for each node
     that it joins to another, not one for each pair."""
     spark, small = prints.sparkSession, radius // spaces
     shards = -(-prints.count() // shard_rows)
@@ -225,6 +280,7 @@ def links(
                         "own": own,
                         "fingerprint": frame["fingerprint"].to_numpy()[rows],
                         "node": frame["node"].to_numpy()[rows],
+                        **({} if similar is None else {"sketch": frame["sketch"].to_numpy()[rows]}),
                     }
                 )
 
@@ -233,11 +289,16 @@ def links(
         node = frame["node"].to_numpy()
         values = frame["fingerprint"].to_numpy(np.int64).view(np.uint64)
         mask = masks(spaces)[int(frame["space"].iloc[0])]
-        label = linked(values, frame["own"].to_numpy(bool), mask, small, radius)
+        sketches = None
+        if similar is not None:
+            sketches = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), -1)
+        own = frame["own"].to_numpy(bool)
+        label = linked(values, own, mask, small, radius, sketches, similar or 0.0)
         other = label != np.arange(len(label))
         return pd.DataFrame({"a": node[other], "b": node[label[other]]})
 
-    dealt = prints.mapInPandas(deal, "space int, shard long, own boolean, fingerprint long, node long")
+    kinds = "space int, shard long, own boolean, fingerprint long, node long"
+    dealt = prints.mapInPandas(deal, kinds if similar is None else kinds + ", sketch binary")
     return dealt.groupBy("space", "shard").applyInPandas(search, "a long, b long")
 
 
@@ -249,6 +310,7 @@ def with_groups(
     radius: int = RADIUS,
     spaces: int = SPACES,
     shard_rows: int = SHARD_ROWS,
+    similar: float | None = None,
 ) -> DataFrame:
     """(id, fingerprint, component_id) for every row: the fingerprint as 16 lowercase hex
     digits, and the smallest id that can be reached over links, the own one included.
@@ -256,16 +318,31 @@ def with_groups(
     Texts without words, null ones too, have fingerprint zero and are linked like others.
     Rows without id take no part: their component is null. Rows with equal ids are linked
     as their fingerprints are, through the id as well. Other columns are left out. Equal
-    fingerprints are reduced to their smallest id before anything is compared.
+    fingerprints are reduced to their smallest id before anything is compared. With
+    ``similar`` unequal fingerprints are linked only if the texts' five-word shingles have
+    that similarity, as estimated from sketches.
     """
 
     @F.pandas_udf("long")
     def prints(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
 
-    each = cut(docs.select(F.col(key(id)).cast("long").alias("id"), prints(F.col(key(text))).alias("fingerprint")))
+    @F.pandas_udf("fingerprint long, sketch binary")
+    def both(texts: pd.Series) -> pd.DataFrame:
+        rows = [(fingerprint(t, shingle), sketch(t)) for t in texts]
+        return pd.DataFrame(rows, columns=["fingerprint", "sketch"])
+
+    body, own = F.col(key(text)), F.col(key(id)).cast("long").alias("id")
+    if similar is None:
+        each = cut(docs.select(own, prints(body).alias("fingerprint")))
+        first = F.min("id").alias("node")
+    else:
+        each = cut(docs.select(own, both(body).alias("b")).select("id", "b.*"))
+        least = F.min(F.struct("id", "sketch"))
+        first = (least["id"].alias("node"), least["sketch"].alias("sketch"))
     named = each.filter("id IS NOT NULL")
-    nodes = cut(named.groupBy("fingerprint").agg(F.min("id").alias("node")))
+    nodes = named.groupBy("fingerprint").agg(*([first] if similar is None else first))
+    nodes = cut(nodes)
     # An id with several texts ties their fingerprints together.
     several = named.groupBy("id").agg(
         F.min("fingerprint").alias("x"), F.max("fingerprint").alias("y")
@@ -273,7 +350,7 @@ def with_groups(
     several = several.filter("x <> y").select("id")
     tied = named.join(several, "id").join(nodes, "fingerprint")
     tied = tied.select(F.col("id").alias("a"), F.col("node").alias("b"))
-    near = links(nodes, radius, spaces, shard_rows)
+    near = links(nodes, radius, spaces, shard_rows, similar)
     reached = connected(near.union(tied)).withColumnRenamed("node", "of")
     known = nodes.join(reached, nodes["node"] == reached["of"], "left").select(
         F.col("fingerprint").alias("known"), F.coalesce("component", "node").alias("component")
@@ -286,11 +363,13 @@ def with_groups(
     )
 
 
-def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One document of each group, the one with the smallest id, with its columns; of rows
-    with one id, the first by a hash of the text. Rows without id stay."""
+    with one id, the first by a hash of the text. Rows without id stay. ``how`` goes to
+    ``with_groups``; by default texts are linked that are similar in words."""
     lost, rank = spare(docs, "lost"), spare(docs, "rank")
-    groups = with_groups(docs, id, text)
+    how = how or {"radius": NEAR_RADIUS, "spaces": NEAR_SPACES, "similar": SIMILAR}
+    groups = with_groups(docs, id, text, **how)
     others = groups.filter(F.col(key(id)) != F.col("component_id"))
     others = others.select(F.col(key(id)).alias(lost)).distinct()
     left = docs.join(others, docs[key(id)] == others[lost], "left_anti")
