@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from likeness.llm.common import key, spare
 from likeness.llm.components import connected
+from likeness.llm.shingles import with_similar
 from likeness.session import cut
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -31,12 +32,9 @@ SHINGLE = 4
 SEED = 42
 RADIUS = 4
 SPACES = 3
-# For texts that are near in words though not in 4 bits: texts whose five-word shingles have
-# a similarity of 0.8 are 10 bits apart on average, and few are more than 12. Links then
-# need the similarity as well, as estimated from a sketch of so many values.
-NEAR_RADIUS = 12
-NEAR_SPACES = 13
+# Texts that are near in words though not in 4 bits: what ``keep_one`` links.
 SIMILAR = 0.8
+# For ``similar`` in ``with_groups``: an estimate, of so many values of a sketch.
 SKETCH_SHINGLE = 5
 SKETCH = 128
 # Fingerprints a shard should have as its own; the trees are fitted on a sample of so many
@@ -366,10 +364,10 @@ def with_groups(
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One document of each group, the one with the smallest id, with its columns; of rows
     with one id, the first by a hash of the text. Rows without id stay. ``how`` goes to
-    ``with_groups``; by default texts are linked that are similar in words."""
+    ``with_groups``; by default texts are linked whose five-word shingles have a similarity
+    of SIMILAR, which is decided on all of them."""
     lost, rank = spare(docs, "lost"), spare(docs, "rank")
-    how = how or {"radius": NEAR_RADIUS, "spaces": NEAR_SPACES, "similar": SIMILAR}
-    groups = with_groups(docs, id, text, **how)
+    groups = with_groups(docs, id, text, **how) if how else with_similar(docs, SIMILAR, id, text)
     others = groups.filter(F.col(key(id)) != F.col("component_id"))
     others = others.select(F.col(key(id)).alias(lost)).distinct()
     left = docs.join(others, docs[key(id)] == others[lost], "left_anti")

@@ -1,0 +1,78 @@
+"""Near copies against the true Jaccard similarity of all pairs."""
+
+import random
+
+import brute
+import pytest
+
+from likeness.llm import shingles, simhash
+
+SF = "/root/testdata/sf0.01"
+
+
+def words_of(text, shingle=5):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + shingle]) for i in range(max(1, len(words) - shingle + 1))) if words else frozenset()
+
+
+def true_groups(rows, similar=0.8):
+    """Smallest id reachable over pairs of that similarity in whole sets of shingles."""
+    sets = {d: words_of(t) for d, t in rows}
+
+    def linked(a, b):
+        x, y = sets[a], sets[b]
+        both = len(x & y)
+        return x == y or both / (len(x) + len(y) - both) >= similar
+
+    return brute.components(sorted(sets), linked)
+
+
+def edited(pick, size, changes, tag):
+    """A text and a copy with so many words changed."""
+    base = [f"w{pick.randrange(10**6)}" for _ in range(size)]
+    copy = list(base)
+    for at in pick.sample(range(size), changes):
+        copy[at] = f"{tag}{at}"
+    return " ".join(base), " ".join(copy)
+
+
+def near_the_threshold():
+    """Pairs on both sides of a similarity of 0.8, short and long, and a chain."""
+    pick, rows = random.Random(4), []
+    for size in (8, 30, 60, 150, 400):
+        for changes in range(1, max(2, size // 20)):
+            for _ in range(6):
+                rows += [(len(rows) + k, t) for k, t in enumerate(edited(pick, size, changes, "n"))]
+    chain = [f"c{i}" for i in range(100)]
+    for k in range(20):
+        rows.append((len(rows), " ".join(chain)))
+        chain[5 * k] = "other"
+    line = " ".join(f"line{i}" for i in range(40))
+    rows += [(len(rows) + k, f"{line} own{k} " * 2 + f"x{k} y{k} z{k}") for k in range(12)]
+    return rows
+
+
+@pytest.mark.parametrize("hot,turns", [(256, 2), (2, 1), (3, 2)])
+def test_groups_are_those_of_true_similarity(spark, hot, turns):
+    rows = near_the_threshold()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dict(map(tuple, shingles.with_similar(docs, 0.8, hot_rows=hot, turns=turns).collect()))
+    want = true_groups(rows)
+    assert got == want
+    # What the sketch of the fingerprints near by decides is not the same.
+    assert brute.near_groups(rows) != want
+
+
+def test_keep_one_goes_by_true_similarity(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    kept = sorted(r.doc_id for r in simhash.keep_one(docs).collect())
+    assert kept == sorted(d for d, c in true_groups(rows).items() if d == c)
+
+
+def test_rows_without_words_or_id(spark):
+    rows = [(5, None), (3, ""), (4, " \t"), (None, "a b"), (8, "a b"), (7, "A B"), (9, "c"), (9, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = dict(map(tuple, shingles.with_similar(docs, 0.8).collect()))
+    assert got == {3: 3, 4: 3, 5: 3, 7: 7, 8: 7, 9: 7}
+    assert shingles.with_similar(docs.limit(0), 0.8).count() == 0
