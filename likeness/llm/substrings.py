@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from likeness.llm.common import key, spare
@@ -102,31 +102,35 @@ def segments(words: list[bytes], window: int, group: int):
 
 
 def dealt(docs: DataFrame, window: int, group: int) -> DataFrame:
-    """(anchor, content, doc, first, windows) of every segment; ``anchor`` is the high half
+    """(anchor, content, doc, row, first, windows) of every segment; ``anchor`` is the high half
     of the hash, enough to bring together what is equal."""
 
     def find(batches):
         for batch in batches:
-            found, names = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            found, names, keys = [], [], []
+            docs, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for doc, row, text in zip(docs, rows, batch.column(2), strict=True):
                 one = segments((text.as_py() or "").encode().split(), window, group)
                 if one:
                     found.append(one[:4])
                     names += [doc] * len(one[0])
+                    keys += [row] * len(one[0])
             if found:
                 anchor, content, first, count = map(np.concatenate, zip(*found, strict=True))
                 columns = [
                     pa.array((anchor >> np.uint64(32)).astype(np.uint32).view(np.int32)),
                     pa.array(content.view(np.int64)),
                     pa.array(names, pa.int64()),
+                    pa.array(keys, pa.int64()),
                     pa.array(first.astype(np.int32)),
                     pa.array(count.astype(np.int32)),
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    columns, ["anchor", "content", "doc", "first", "windows"]
+                    columns, ["anchor", "content", "doc", "row", "first", "windows"]
                 )
 
-    return docs.mapInArrow(find, "anchor int, content long, doc long, first int, windows int")
+    kinds = "anchor int, content long, doc long, row long, first int, windows int"
+    return docs.mapInArrow(find, kinds)
 
 
 class WaveletTree:
@@ -232,10 +236,16 @@ def repeated(doc: np.ndarray, first: np.ndarray, texts: list[str], window: int)
     return result
 
 
-def spans_of(doc: int, first: int, again: np.ndarray) -> list[tuple[int, int, int]]:
-    """(doc, first, windows) of each run of repeated windows."""
+def row_key(text: Column) -> Column:
+    """What tells rows of one id apart. Rows with one id and one text have the same passages
+    in the same places, so they may share a key."""
+    return F.xxhash64(text)
+
+
+def spans_of(doc: int, row: int, first: int, again: np.ndarray) -> list[tuple[int, ...]]:
+    """(doc, row, first, windows) of each run of repeated windows."""
     edges = np.flatnonzero(np.diff(np.r_[0, again.astype(np.int8), 0]))
-    return [(doc, first + int(a), int(b - a)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+    return [(doc, row, first + int(a), int(b - a)) for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
 def repeats(
@@ -247,12 +257,16 @@ def repeats(
     shard_segments: int = SHARD_SEGMENTS,
     hot_segments: int = HOT_SEGMENTS,
 ) -> DataFrame:
-    """(doc, spans): for each id with repeated windows, the runs of windows (first word,
-    number of windows) whose words occur earlier: at a smaller id, or at the same id and an
-    earlier word. Null texts have no words; null is the smallest id; rows of one id are not
+    """(doc, row, spans): for each id and ``row_key`` with repeated windows, the runs of
+    windows (first word, number of windows) whose words occur earlier: at a smaller id, in
+    the same text at an earlier word, or in another text of the same id whose key is smaller.
+    Null texts have no words; null is the smallest id; rows with one id and one text are not
     earlier than each other, but each is judged against the rest.
     """
-    own = docs.select(F.col(key(id)).cast("long").alias("doc"), F.col(key(text)).alias("text"))
+    body = F.col(key(text))
+    own = docs.select(
+        F.col(key(id)).cast("long").alias("doc"), row_key(body).alias("row"), body.alias("text")
+    )
     own_segments = dealt(own, window, group)
     shared = own_segments.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1")
     # Written, so that the join below reads both sides from shuffles it can split.
@@ -261,49 +275,53 @@ def repeats(
     met = own_segments.join(shared, own_segments["anchor"] == shared["of"]).drop("of")
     met = cut(met)
     earliest = met.groupBy("anchor", "content").agg(
-        F.min(F.struct("doc", "first", "windows")).alias("best")
+        F.min(F.struct("doc", "row", "first", "windows")).alias("best")
     )
     earliest = cut(earliest.select(F.col("anchor").alias("a"), F.col("content").alias("c"), "best"))
-    is_it = F.col("doc").eqNullSafe(F.col("best.doc")) & (F.col("first") == F.col("best.first"))
+    is_it = F.col("doc").eqNullSafe(F.col("best.doc")) & (F.col("row") == F.col("best.row"))
+    is_it = is_it & (F.col("first") == F.col("best.first"))
     later = met.join(earliest, (met["anchor"] == earliest["a"]) & (met["content"] == earliest["c"]))
-    later = later.filter(~is_it).select("doc", "first", "windows")
+    later = later.filter(~is_it).select("doc", "row", "first", "windows")
     # Anchors with different segments, whose windows may still be equal.
     kinds = earliest.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1")
     kinds = cut(kinds.select(F.col("a").alias("of"), (F.col("n") > hot_segments).alias("hot")))
     shards = max(1, -(-kinds.agg(F.count("*")).first()[0] * 3 // shard_segments))
     asked = earliest.join(kinds, earliest["a"] == kinds["of"]).select(
         F.col("best.doc").alias("doc"),
+        F.col("best.row").alias("key"),
         F.struct("best.first", "best.windows", "a", "hot").alias("segment"),
     )
-    asked = asked.groupBy(F.col("doc").alias("whose")).agg(F.collect_list("segment").alias("segments"))
-    texts = own.join(asked, own["doc"].eqNullSafe(asked["whose"])).select("doc", "text", "segments")
+    asked = asked.groupBy(F.col("doc").alias("whose"), "key")
+    asked = asked.agg(F.collect_list("segment").alias("segments"))
+    met_row = own["doc"].eqNullSafe(asked["whose"]) & (own["row"] == asked["key"])
+    texts = own.join(asked, met_row)
+    texts = texts.select("doc", "row", "text", "segments")
 
     def cut_out(batches):
-        names = ["shard", "own", "doc", "first", "text"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+        names = ["shard", "own", "doc", "row", "first", "text"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
         for batch in batches:
             rows = []
-            for doc, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for doc, row, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 words = (text or "").encode().split()
                 hashed = None
                 for one in wanted:
                     first, n = one["first"], one["windows"]
-                    if first + n + window - 1 > len(words):
-                        continue  # a segment of another row with this id
                     if one["hot"]:
                         if hashed is None:
                             (windows,) = runs_hashed(word_hashes(words), window)
                             hashed = windows.view(np.int64)
-                        rows += [(None, int(hashed[k]), doc, k, None) for k in range(first, first + n)]
+                        rows += [(None, int(hashed[k]), doc, row, k, None) for k in range(first, first + n)]
                     else:
                         part = b" ".join(words[first : first + n + window - 1]).decode()
-                        rows.append((one["a"] % shards, None, doc, first, part))
+                        rows.append((one["a"] % shards, None, doc, row, first, part))
             columns = zip(*rows, strict=True) if rows else [[] for _ in names]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names
             )
 
-    pieces = cut(texts.mapInArrow(cut_out, "shard long, own long, doc long, first int, text string"))
+    kinds = "shard long, own long, doc long, row long, first int, text string"
+    pieces = cut(texts.mapInArrow(cut_out, kinds))
 
     # Null is the smallest id; inside the shards the smallest long stands for it, since
     # pandas would turn ids beside a null into floats.
@@ -311,23 +329,25 @@ def repeats(
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         doc, first = frame["doc"].to_numpy(np.int64), frame["first"].to_numpy(np.int64)
-        again = repeated(doc, first, frame["text"].tolist(), window)
+        row = frame["row"].to_numpy(np.int64)
+        _, place = np.unique(np.stack([doc, row], axis=1), axis=0, return_inverse=True)
+        again = repeated(place.reshape(-1), first, frame["text"].tolist(), window)
         found = []
-        for d, f, a in zip(doc.tolist(), first.tolist(), again, strict=True):
-            found += spans_of(d, f, a)
-        return pd.DataFrame(found, columns=["doc", "first", "windows"])
+        for d, r, f, a in zip(doc.tolist(), row.tolist(), first.tolist(), again, strict=True):
+            found += spans_of(d, r, f, a)
+        return pd.DataFrame(found, columns=["doc", "row", "first", "windows"])
 
     searched = pieces.filter("shard IS NOT NULL")
-    searched = searched.select("shard", F.coalesce("doc", smallest).alias("doc"), "first", "text")
-    searched = searched.groupBy("shard").applyInPandas(search, "doc long, first int, windows int")
+    searched = searched.select("shard", F.coalesce("doc", smallest).alias("doc"), "row", "first", "text")
+    searched = searched.groupBy("shard").applyInPandas(search, "doc long, row long, first int, windows int")
     searched = searched.withColumn("doc", F.nullif("doc", smallest))
-    single = pieces.filter("shard IS NULL").select("own", "doc", "first")
-    best = single.groupBy("own").agg(F.min(F.struct("doc", "first")).alias("best"))
+    single = pieces.filter("shard IS NULL").select("own", "doc", "row", "first")
+    best = single.groupBy("own").agg(F.min(F.struct("doc", "row", "first")).alias("best"))
     best = cut(best.withColumnRenamed("own", "of"))
     split = single.join(best, single["own"] == best["of"]).filter(~is_it)
-    split = split.select("doc", "first", F.lit(1).alias("windows"))
+    split = split.select("doc", "row", "first", F.lit(1).alias("windows"))
     every = later.union(searched).union(split)
-    return every.groupBy("doc").agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
+    return every.groupBy("doc", "row").agg(F.collect_list(F.struct("first", "windows")).alias("spans"))
 
 
 def covered(n: int, spans, window: int) -> np.ndarray:
@@ -353,9 +373,10 @@ def with_spans(docs: DataFrame, name: str, id: str = "doc_id", text: str = "text
     """``docs`` with the repeated spans of each; null where there is none."""
     if spare(docs, name) != name:
         raise ValueError(f"documents have a column {name!r} already")
-    found, whose = repeats(docs, id, text, **how), spare(docs, "whose")
-    found = found.select(F.col("doc").alias(whose), F.col("spans").alias(name))
-    joined = docs.join(found, docs[key(id)].eqNullSafe(found[key(whose)]), "left")
+    found, whose, row = repeats(docs, id, text, **how), spare(docs, "whose"), spare(docs, "row")
+    found = found.select(F.col("doc").alias(whose), F.col("row").alias(row), F.col("spans").alias(name))
+    same = docs[key(id)].eqNullSafe(found[key(whose)]) & (row_key(docs[key(text)]) == found[key(row)])
+    joined = docs.join(found, same, "left")
     return joined.select(*[docs[key(c)] for c in docs.columns], key(name))
 
 

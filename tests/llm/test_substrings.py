@@ -95,3 +95,22 @@ def test_wavelet_rank():
     ends, asked = rng.integers(0, 1001, 200), rng.integers(0, 37, 200)
     want = [(codes[:e] == c).sum() for e, c in zip(ends, asked)]
     assert tree.rank(asked, ends).tolist() == want
+
+
+@pytest.mark.parametrize("how", [{}, {"hot_segments": 1}])
+def test_rows_of_one_id_keep_their_own_words(spark, how):
+    """A passage is cut where it stands in a row, not at its places in other rows of the id."""
+    passage = [f"p{i}" for i in range(40)]
+    other = [f"x{i}" for i in range(160)]
+    long = " ".join(other[:100] + passage + other[100:])
+    edited = " ".join([*passage[:25], "new", *passage[26:]])
+    for doc_id in (None, 7):
+        rows = [(doc_id, " ".join(passage)), (doc_id, long), (doc_id, edited), (9, "z " * 10)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = substrings.without_repeats(docs, **how).collect()
+        kept = [w for r in got for w in r.text.split()]
+        # Nothing is lost: all words of all rows are still there, the passage's own ones too.
+        assert {*passage, *other, "new"} <= set(kept)
+        assert sum(w in set(other) for w in kept) == len(other)
+        # The first 25 words of the passage, which all three have, are left once.
+        assert [kept.count(w) for w in passage[:25]] == [1] * 25
