@@ -171,25 +171,3 @@ def substring_rows(docs, window=20):
         kept = " ".join(w for i, w in enumerate(words) if i not in gone)
         found.append((doc_id, len(words), len(gone), sha(kept)))
     return found
-
-
-def near_groups(docs, radius=12, similar=0.8):
-    """Smallest id reachable: fingerprints equal, or near and sketches alike."""
-    import numpy as np
-
-    from likeness.llm.simhash import alike, sketch
-
-    first = {}
-    for d, t in sorted(docs):
-        first.setdefault(fingerprint(t), (d, sketch(t)))
-    prints = list(first)
-    matrix = np.frombuffer(b"".join(first[p][1] for p in prints), np.uint8).reshape(len(prints), -1)
-    at = {first[p][0]: i for i, p in enumerate(prints)}
-
-    def linked(a, b):
-        if (prints[at[a]] ^ prints[at[b]]).bit_count() > radius:
-            return False
-        return alike(matrix, np.array([at[a]]), np.array([at[b]]))[0] >= similar
-
-    groups = components(at, linked)
-    return {d: groups[first[fingerprint(t)][0]] for d, t in docs}

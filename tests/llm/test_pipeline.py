@@ -69,8 +69,8 @@ def test_every_stage_is_brute_force(spark):
         assert got == sorted(want, key=lambda d: d["doc_id"]) and got
 
     step("quality rules", [d for d in now if quality.measured(d["text"], compress, *bands)[6]])
-    groups = brute.near_groups([(d["doc_id"], d["text"]) for d in now])
-    one = {d for d, c in groups.items() if d == c}
+    groups = brute.simhash_rows([(d["doc_id"], d["text"]) for d in now])
+    one = {d for d, _, c in groups if d == c}
     step("SimHash near-dedup", [d for d in now if d["doc_id"] in one])
     hidden = []
     for d in now:
