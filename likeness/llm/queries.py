@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from likeness.llm import bitplanes, chat, licenses, mixing, oracles, packing, quality, secrets
-from likeness.llm import simhash, substrings, topk
+from likeness.llm import bitplanes, chat, licenses, mixing, oracles, packing, prefixes, quality
+from likeness.llm import secrets, simhash, substrings, topk, whitening
 from likeness.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 from likeness.session import fresh_dir
 
@@ -126,3 +126,19 @@ def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the passages that occurred earlier."""
     return substrings.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first eight components, with variance one. ``deviation`` is null
+    where it is too large for a long; ``deviation_exact`` has it as text."""
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("deviation", "deviation_exact").withColumn(
+        "deviation", F.expr("try_cast(deviation_exact AS bigint)")
+    )
+
+
+@query("op13_prefix_trie", prefixes.sql_trie())
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct beginning of the rebuilt conversations."""
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
