@@ -419,7 +419,7 @@ def sql_trie(block: int = BLOCK, most: int = MOST_SHARED) -> str:
         count(*) FILTER (WHERE up.path NOT IN (SELECT path FROM below)) AS n_leaves
       FROM up GROUP BY 1)
     SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs,
-      coalesce(b.n, 0) AS n_children, n_leaves, saved_tokens, ends_sha256
+      coalesce(b.n, 0) AS n_children, n_leaves, saved_tokens, n.ends_sha256
     FROM nodes n JOIN sums USING (path) LEFT JOIN below b USING (path)
       LEFT JOIN up u ON u.path = n.path AND u.above_depth = n.depth - 1
       LEFT JOIN nodes p ON p.path = u.above"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from likeness.llm import bitplanes, chat, licenses, mixing, oracles, packing, prefixes, quality
-from likeness.llm import secrets, simhash, substrings, topk, whitening
+from likeness.llm import secrets, simhash, substrings, topk, toxicity, whitening
 from likeness.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
 from likeness.session import fresh_dir
 
@@ -138,6 +138,13 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op12_toxicity")
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from four fifths of the labels."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.with_toxicity(table(spark, sf_dir, "documents"), labels)
+
+
 @query("op13_prefix_trie", prefixes.sql_trie())
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every distinct beginning of the rebuilt conversations."""
