@@ -50,6 +50,8 @@ SIGN, AGAIN, APART, EDGE = 1.0, 0.3, 0.3, 5.0
 # among which an unseen one is any.
 ORDERS = (1 << 16, 1 << 18, 1 << 20)
 BACK, LETTERS = 2.0, 64
+# Characters that are counted at once.
+AT_ONCE = 1 << 21
 # Paths that are followed at once, characters of words that are remembered, and words.
 PATHS, LONGEST, REMEMBERED = 24, 40, 200_000
 # Slots of the odds of words; what each count is raised by; times that a word counts in a text.
@@ -88,16 +90,15 @@ def letters() -> np.ndarray:
 
 def character_counts(texts, points: np.ndarray, counts: list[np.ndarray]) -> None:
     """Adds the characters of whole texts to ``counts``; whatever is no letter is a blank, and
-    blanks in a row are one."""
-    for text in texts:
-        if not text:
-            continue
-        raw = text.lower().encode("utf-32-le", "surrogatepass")
-        found = np.concatenate([[0, 0], points[np.frombuffer(raw, np.uint32)], [0]]).astype(np.uint64)
-        found = found[np.concatenate([[True, True], (found[2:] != 0) | (found[1:-1] != 0)])]
-        for order in range(3):
-            codes = [found[2 - back : len(found) - back] for back in range(order + 1)]
-            counts[order] += np.bincount(slot(codes, order), minlength=ORDERS[order])
+    between words there are always two, so that no word depends on the one before."""
+    raw = "\n".join(text.lower() for text in texts if text).encode("utf-32-le", "surrogatepass")
+    found = points[np.frombuffer(raw, np.uint32)]
+    found = np.concatenate([[0], found, [0]]).astype(np.uint64)
+    found = found[np.concatenate([[True], (found[1:] != 0) | (found[:-1] != 0)])]
+    found = np.repeat(found, np.where(found == 0, 2, 1))
+    for order in range(3):
+        codes = [found[2 - back : len(found) - back] for back in range(order + 1)]
+        counts[order] += np.bincount(slot(codes, order), minlength=ORDERS[order])
 
 
 def language_model(docs: DataFrame, text: str) -> list[np.ndarray]:
@@ -107,7 +108,14 @@ def language_model(docs: DataFrame, text: str) -> list[np.ndarray]:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         points, counts = letters(), [np.zeros(n, np.int64) for n in ORDERS]
         for batch in batches:
-            character_counts(batch.column(0).to_pylist(), points, counts)
+            texts, size = [], 0
+            for text in batch.column(0).to_pylist():
+                texts.append(text)
+                size += len(text or "")
+                if size >= AT_ONCE:
+                    character_counts(texts, points, counts)
+                    texts, size = [], 0
+            character_counts(texts, points, counts)
         for part, found in enumerate(counts):
             at = np.flatnonzero(found)
             columns = [np.full(len(at), part, np.int32), at.astype(np.int32), found[at]]
@@ -179,7 +187,7 @@ class Reader:
                     if not meant or (meant == " " and b == " "):
                         state, total, longer = (a, b), cost + extra, way
                     else:
-                        state = (b, meant)
+                        state = (b, meant) if meant != " " else (" ", " ")
                         total = cost + extra + self.cost(a, b, meant)
                         longer = (meant, way)
                     if state not in ahead or total < ahead[state][0]:
@@ -238,17 +246,17 @@ def features(word: str) -> list[int]:
 
 def measures(bag: Counter, odds: np.ndarray, known: dict) -> list[float]:
     """What the regression weighs: each word has the odds of its most telling feature."""
-    values, times = np.empty(len(bag)), np.empty(len(bag))
-    for at, (word, n) in enumerate(bag.items()):
+    values = []
+    for word in bag:
         found = known.get(word)
         if found is None:
-            mine = odds[features(word)]
-            found = float(mine[np.abs(mine).argmax()])
-            if len(known) >= REMEMBERED:
-                known.clear()
+            found = max((float(odds[at]) for at in features(word)), key=abs)
             if len(word) <= LONGEST:
+                if len(known) >= REMEMBERED:
+                    known.clear()
                 known[word] = found
-        values[at], times[at] = found, n
+        values.append(found)
+    values, times = np.array(values, float), np.array(list(bag.values()), float)
     total = times.sum()
     size = max(1.0, total)
     hits = [float(times[values > level].sum()) for level in LEVELS]

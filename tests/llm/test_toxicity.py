@@ -19,13 +19,13 @@ def counts(spark):
     return toxicity.language_model(spark.read.parquet(f"{SF}/documents.parquet").repartition(3), "text")
 
 
-def test_counts_are_brute_force(spark, counts):
+def test_counts_are_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    counts = toxicity.language_model(docs.repartition(3), "text")
     want = [np.zeros(n, np.int64) for n in toxicity.ORDERS]
-    for (text,) in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect():
-        kept = ""
-        for c in (text or "").lower() + "\n":
-            kept += c if c.isalpha() else "" if kept.endswith(" ") or not kept else " "
-        codes = [0, 0, *(0 if c == " " else ord(c) for c in kept)]
+    for (text,) in docs.select("text").collect():
+        words = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+        codes = [0, 0, *(code for word in words for code in (*map(ord, word), 0, 0))]
         for at in range(2, len(codes)):
             for order in range(3):
                 mine = [codes[at - back] for back in range(order + 1)]
@@ -38,7 +38,7 @@ def spoken(reader, text):
     for c in text + " ":
         if not (c == " " and b == " "):
             cost += reader.cost(a, b, c)
-            a, b = b, c
+            a, b = (b, c) if c != " " else (" ", " ")
     return cost
 
 
@@ -87,8 +87,9 @@ def test_hidden_insults_are_read(counts):
 
 
 def test_held_out_rows(spark):
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
-    got = {r.doc_id: r for r in queries.op12_toxicity(spark, "/root/testdata/sf0.1").collect()}
+    sf = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = {r.doc_id: r for r in queries.op12_toxicity(spark, sf).collect()}
     assert len(got) == 10_000
     for d, r in got.items():
         assert r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0)
@@ -100,9 +101,12 @@ def test_held_out_rows(spark):
 
 
 def test_disguised_texts_are_toxic_and_clean_ones_are_not(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
-    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
-    clean = [r.text for r in docs.join(labels.filter("quality = 1 AND toxic = 0 AND doc_id < 600"), "doc_id").filter("lang = 'en'" if "lang" in docs.columns else "length(text) > 600").limit(40).collect()]
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("length(text) < 4000")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    some = docs.filter("lang = 'en'").join(labels.filter("quality = 1 AND toxic = 0"), "doc_id")
+    clean = [r.text for r in some.orderBy("doc_id").limit(40).collect()]
+    docs = docs.select("doc_id", "text")
     pick, rows = random.Random(4), []
     table = str.maketrans({"o": "0", "i": "1", "s": "$", "a": "@"})
     for at, text in enumerate(clean):
