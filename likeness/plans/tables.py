@@ -261,6 +261,25 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def grouped_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``embeddings``, each pulled towards the first row of its label: vectors that lie
+    in groups, as the given ones do not."""
+    rows = table(spark, sf_dir, "embeddings").select(
+        "label", "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("own")
+    )
+    first = rows.groupBy("label").agg(F.min_by("own", "vec_id").alias("first"))
+    pulled = F.zip_with("own", "first", lambda x, y: x + 2 * y)
+    return rows.join(first, "label").select(F.col("vec_id").cast("string").alias("id"), pulled.alias("vector"))
+
+
+SQL_GROUPED_VECTORS = """
+vectors AS (
+  SELECT CAST(vec_id AS VARCHAR) AS id,
+    list_transform(list_zip(own, first), lambda z: z[1] + 2 * z[2]) AS vector
+  FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS own, first_value(CAST(embedding AS DOUBLE[]))
+    OVER (PARTITION BY label ORDER BY vec_id) AS first FROM embeddings))
+"""
+
 SQL_VECTORS = """
 vectors AS (
   SELECT CAST(vec_id AS VARCHAR) AS id, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings),

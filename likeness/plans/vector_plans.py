@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from likeness.functions import vectors as X
-from likeness.operators import cells, neighbours, resolve, similar
+from likeness.operators import approximate, cells, neighbours, resolve, similar
 from likeness.operators.centroid import centroids, weighted_mean
 from likeness.operators.filters import exclude_inputs
 from likeness.plans import tables as V
@@ -228,59 +228,123 @@ def _all_as_queries(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("id").alias("query_id"), "vector")
 
 
-SQL_CELLS = (
-    V.with_ctes(V.SQL_CARDS, V.SQL_VECTORS)
-    + f""", pivots AS (SELECT id AS spot, vector FROM vectors ORDER BY sha256(id), id LIMIT 16),
+def sql_calibrated(*ctes: str) -> str:
+    """Cells around sampled rows, and how many of them the drawn queries need: the least number
+    at which they find 0.9 of their true neighbours, less two standard errors."""
+    return (
+        V.with_ctes(*ctes)
+        + f""", total AS (SELECT count(*) AS n FROM vectors),
+    pivots AS (
+      SELECT id AS spot, vector FROM vectors
+      ORDER BY sha256(id), id LIMIT (SELECT CAST(ceil(sqrt(n)) AS BIGINT) FROM total)),
     near AS (
       SELECT v.id, p.spot, row_number() OVER (PARTITION BY v.id
         ORDER BY list_cosine_similarity(v.vector, p.vector) DESC, p.spot) AS turn
       FROM vectors v, pivots p),
     homes AS (SELECT id, spot FROM near WHERE turn = 1),
-    visited AS (
-      SELECT n.id AS query_id, h.id FROM near n JOIN homes h ON n.spot = h.spot WHERE n.turn <= 8),
-    pairs AS (
+    pairs AS MATERIALIZED (
       SELECT q.id AS query_id, v.id, {V.sql_distance('q.vector', 'v.vector')} AS distance
       FROM vectors q, vectors v),
-    ranked AS (SELECT *, CAST(row_number() OVER (
+    best AS MATERIALIZED (
+      SELECT query_id, id, distance, CAST(row_number() OVER (
+        PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank FROM pairs),
+    exact AS (SELECT * FROM best WHERE rank <= 10),
+    drawn AS (SELECT id AS query_id FROM vectors ORDER BY sha256('drawn:' || id), id LIMIT 256),
+    lies AS (
+      SELECT e.query_id, n.turn FROM exact e JOIN drawn USING (query_id)
+        JOIN homes h ON e.id = h.id JOIN near n ON n.id = e.query_id AND n.spot = h.spot),
+    sizes AS (SELECT spot, count(*) AS n FROM homes GROUP BY 1),
+    held AS (
+      SELECT d.query_id, turn, sum(n) OVER (PARTITION BY d.query_id ORDER BY turn) AS n
+      FROM near JOIN drawn d ON near.id = d.query_id JOIN sizes USING (spot)),
+    parts AS (
+      SELECT p.turn AS probes, l.query_id, count(*) FILTER (WHERE l.turn <= p.turn) / count(*) AS part
+      FROM (SELECT DISTINCT turn FROM lies) p, lies l GROUP BY ALL),
+    tried AS (
+      SELECT probes, avg(part) AS recall, stddev_pop(part) / sqrt(count(*)) AS error
+      FROM parts GROUP BY 1),
+    plan AS (
+      SELECT probes, recall, error, (SELECT avg(h.n / t.n) FROM held h, total t WHERE h.turn = probes)
+        AS share FROM tried WHERE recall - 2 * error >= 0.9 ORDER BY probes LIMIT 1),
+    chosen AS (SELECT *, share > 0.5 AS exact FROM plan),
+    visited AS (
+      SELECT n.id AS query_id, h.id FROM near n JOIN homes h ON n.spot = h.spot, chosen c
+      WHERE c.exact OR n.turn <= c.probes),
+    ranked AS (SELECT query_id, id, distance, CAST(row_number() OVER (
       PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank
       FROM pairs JOIN visited USING (query_id, id))"""
-)
-
-
-@query("v6_approximate_topk", SQL_CELLS + f"SELECT query_id, rank, id, {ROUNDED} FROM ranked WHERE rank <= 10")
-def v6_approximate_topk(spark, sf_dir):
-    vectors = V.vectors(spark, sf_dir)
-    index = cells.build_cells(vectors, n_cells=16)
-    return rounded(neighbours.nearest_in_cells(index, _all_as_queries(vectors), 10, probes=8))
+    )
 
 
-@query(
-    "v6_recall",
-    SQL_CELLS
-    + """, best AS (SELECT *, row_number() OVER (
-        PARTITION BY query_id ORDER BY distance, id) AS place FROM pairs),
-    exact AS (SELECT query_id, id FROM best WHERE place <= 10),
-    hits AS (SELECT query_id, id FROM ranked WHERE rank <= 10),
+SQL_CELLS = sql_calibrated(V.SQL_CARDS, V.SQL_VECTORS)
+SQL_GROUPED_CELLS = sql_calibrated(V.SQL_GROUPED_VECTORS)
+SQL_FOUND = f"SELECT query_id, rank, id, {ROUNDED} FROM ranked WHERE rank <= 10"
+SQL_CALIBRATION = """
+    SELECT (SELECT CAST(count(*) AS INTEGER) FROM pivots) AS cells,
+      (SELECT CAST(count(*) AS INTEGER) FROM drawn) AS drawn, CAST(probes AS INTEGER) AS probes,
+      round(recall, 9) AS recall, round(error, 9) AS error, round(share, 9) AS share, exact
+    FROM chosen"""
+SQL_RECALL = """, hits AS (SELECT query_id, id FROM ranked WHERE rank <= 10),
     counts AS (
       SELECT (SELECT count(*) FROM exact) AS exact_hits,
         (SELECT count(*) FROM exact JOIN hits USING (query_id, id)) AS found_hits,
         (SELECT count(*) FROM visited) AS pairs, (SELECT count(*) FROM pairs) AS all_pairs)
     SELECT exact_hits, found_hits, round(found_hits / exact_hits, 9) AS recall, pairs,
-      round(pairs / all_pairs, 9) AS candidate_share FROM counts""",
-)
-def v6_recall(spark, sf_dir):
-    vectors = V.vectors(spark, sf_dir)
+      round(pairs / all_pairs, 9) AS candidate_share FROM counts"""
+
+
+def _approximate(vectors: DataFrame) -> DataFrame:
+    return rounded(approximate.approximate(_all_as_queries(vectors), vectors, 10)[0])
+
+
+def _calibration(vectors: DataFrame) -> DataFrame:
+    _, how = approximate.approximate(_all_as_queries(vectors), vectors, 10)
+    told = approximate.as_table(vectors.sparkSession, how)
+    return told.withColumns({c: F.round(F.col(c), 9) for c in ("recall", "error", "share")})
+
+
+def _recall(vectors: DataFrame) -> DataFrame:
+    """How much of the exact result was found, over all queries, and with how many pairs."""
     queries = _all_as_queries(vectors)
-    exact = neighbours.nearest(queries, vectors, 10)
-    index = cells.build_cells(vectors, n_cells=16)
-    found = neighbours.nearest_in_cells(index, queries, 10, probes=8)
-    share = cells.candidate_share(index, queries, 8, 10).head()
-    facts = neighbours.recall(found, exact).withColumns(
+    index = approximate.cells_for(vectors)
+    found, how = approximate.approximate(queries, vectors, 10, index=index)
+    probes = how.cells if how.exact else how.probes
+    share = cells.candidate_share(index, queries, probes, 10).head()
+    facts = neighbours.recall(found, neighbours.nearest(queries, vectors, 10)).withColumns(
         {"pairs": F.lit(share["pairs"]).cast("bigint"), "candidate_share": F.lit(share["candidate_share"])}
     )
-    return facts.withColumns(
-        {c: F.round(F.col(c), 9) for c in ("recall", "candidate_share")}
-    )
+    return facts.withColumns({c: F.round(F.col(c), 9) for c in ("recall", "candidate_share")})
+
+
+@query("v6_approximate_topk", SQL_CELLS + SQL_FOUND)
+def v6_approximate_topk(spark, sf_dir):
+    """These vectors form no groups, so the calibration goes the exact way."""
+    return _approximate(V.vectors(spark, sf_dir))
+
+
+@query("v6_calibration", SQL_CELLS + SQL_CALIBRATION)
+def v6_calibration(spark, sf_dir):
+    return _calibration(V.vectors(spark, sf_dir))
+
+
+@query("v6_recall", SQL_CELLS + SQL_RECALL)
+def v6_recall(spark, sf_dir):
+    return _recall(V.vectors(spark, sf_dir))
+
+
+@query("v6_grouped_topk", SQL_GROUPED_CELLS + SQL_FOUND)
+def v6_grouped_topk(spark, sf_dir):
+    return _approximate(V.grouped_vectors(spark, sf_dir))
+
+
+@query("v6_grouped_calibration", SQL_GROUPED_CELLS + SQL_CALIBRATION)
+def v6_grouped_calibration(spark, sf_dir):
+    return _calibration(V.grouped_vectors(spark, sf_dir))
+
+
+@query("v6_grouped_recall", SQL_GROUPED_CELLS + SQL_RECALL)
+def v6_grouped_recall(spark, sf_dir):
+    return _recall(V.grouped_vectors(spark, sf_dir))
 
 
 @query(

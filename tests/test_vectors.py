@@ -267,3 +267,34 @@ def test_too_many_pivots_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(cells, "PIVOT_BYTES", 1000)
     with pytest.raises(ValueError, match="fewer cells"):
         cells.build_cells(clustered(spark, 200, 5), n_cells=50)
+
+
+def test_calibrated_search_reaches_its_recall_and_says_when_it_cannot(spark):
+    from likeness.operators import approximate
+
+    pick = np.random.default_rng(4)
+    centres = pick.normal(size=(30, 24))
+    near = centres[pick.integers(0, 30, 3000)] + 0.25 * pick.normal(size=(3000, 24))
+    grouped = spark.createDataFrame([(i, v) for i, v in enumerate(near.tolist())], "id long, vector array<double>")
+    queries = grouped.select(F.col("id").alias("query_id"), "vector")
+    exact = nearest(queries, grouped, 8, exclude_self=True)
+    for target in (0.7, 0.9, 0.99):
+        hits, how = approximate.approximate(queries, grouped, 8, recall=target, exclude_self=True, drawn=100)
+        assert not how.exact and how.drawn == 100 and how.share < 0.5
+        assert recall(hits, exact).head()["recall"] >= target - 0.02
+    even = spark.createDataFrame([(i, v) for i, v in enumerate(pick.normal(size=(600, 64)).tolist())], "id long, vector array<double>")
+    hits, how = approximate.approximate(even.withColumnRenamed("id", "query_id"), even, 5)
+    assert how.exact and how.share > 0.5
+    assert recall(hits, nearest(even.withColumnRenamed("id", "query_id"), even, 5)).head()["recall"] == 1
+
+
+def test_calibration_of_few_rows(spark):
+    from likeness.operators import approximate
+
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])], "id long, vector array<double>")
+    queries = rows.withColumnRenamed("id", "query_id")
+    for some, vectors in ((queries, rows), (queries.limit(0), rows), (queries, rows.limit(1)), (queries, rows.limit(0))):
+        hits, how = approximate.approximate(some, vectors, 2, exclude_self=True)
+        assert how.recall == 1.0
+        want = nearest(some, vectors, 2, exclude_self=True)
+        assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, want.collect()))
