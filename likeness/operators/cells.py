@@ -221,6 +221,22 @@ def _search_tiles(
         for cell, n in guests.items()
     ]
     plan = F.broadcast(spark.createDataFrame(cuts, "cell int, member_cuts int, guest_cuts int"))
+    asking = visits(index, queries, facts, probes, value_kind(queries))
+    kinds = value_kind(queries), index.kind
+    return search_tiles(index.assigned, asking, plan, kinds, exclude_self=exclude_self)
+
+
+def search_tiles(
+    members: DataFrame,
+    asking: DataFrame,
+    plan: DataFrame,
+    kinds: tuple[str, str],
+    *,
+    exclude_self: bool,
+) -> DataFrame:
+    """Partial hits of queries (query_id, packed, k, reach, cell) among members (id, packed,
+    cell). ``plan`` (cell, member_cuts, guest_cuts) says into how many parts each side of a cell
+    is cut; each pair of parts is one tile. ``kinds`` are the numpy kinds of both sides."""
 
     def spread(count: str):
         return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
@@ -230,28 +246,26 @@ def _search_tiles(
 
     tile = ["cell", "member_part", "guest_part"]
     members = (
-        index.assigned.select("id", "packed", "cell")
+        members.select("id", "packed", "cell")
         .join(plan, "cell")
         .withColumn("member_part", part("id", "member_cuts"))
         .withColumn("guest_part", spread("guest_cuts"))
         .select(*tile, "id", "packed")
     )
     asking = (
-        visits(index, queries, facts, probes, value_kind(queries))
-        .join(plan, "cell")
+        asking.join(plan, "cell")
         .withColumn("guest_part", part("query_id", "guest_cuts"))
         .withColumn("member_part", spread("member_cuts"))
         .select(*tile, "query_id", "packed", "k", "reach")
     )
     schema = T.StructType(
         [
-            queries.schema["query_id"],
+            asking.schema["query_id"],
             T.StructField("rank", T.IntegerType()),
-            index.assigned.schema["id"],
+            members.schema["id"],
             T.StructField("distance", T.DoubleType()),
         ]
     )
-    kinds = value_kind(queries), index.kind
     work = blocks.search_tile(*kinds, exclude_self, to_arrow_schema(schema))
     return asking.groupBy(*tile).cogroup(members.groupBy(*tile)).applyInArrow(work, schema)
 

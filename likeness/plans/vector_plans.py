@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from likeness.functions import vectors as X
-from likeness.operators import approximate, cells, neighbours, resolve, similar
+from likeness.operators import approximate, cells, hashing, neighbours, resolve, similar
 from likeness.operators.centroid import centroids, weighted_mean
 from likeness.operators.filters import exclude_inputs
 from likeness.plans import tables as V
@@ -347,6 +347,117 @@ def v6_grouped_recall(spark, sf_dir):
     return _recall(V.grouped_vectors(spark, sf_dir))
 
 
+def sql_hashed(*ctes: str) -> str:
+    """Codes by hyperplanes, 12 tables at most, about 32 rows a code, five codes a query."""
+    choices = ", ".join(
+        f"({n}, {[n >> r & 1 for r in range(hashing.NEAR_PLANES)]})" for n in range(1 << hashing.NEAR_PLANES)
+    )
+    return (
+        V.with_ctes(*ctes)
+        + f""", total AS (
+      SELECT count(*) AS n, greatest(2, CAST(round(log2(count(*) / 32.0)) AS INTEGER)) AS bits FROM vectors),
+    planes AS (
+      SELECT t, b, list(CASE WHEN ('0x' || substr(md5(t || ':' || b || ':' || d), 1, 2))::INTEGER < 128
+        THEN 1.0::DOUBLE ELSE -1.0 END ORDER BY d) AS normal
+      FROM range(12) AS ts(t), (SELECT unnest(range(bits)) AS b FROM total),
+        (SELECT unnest(range(len(vector))) AS d FROM (SELECT vector FROM vectors LIMIT 1)) GROUP BY t, b),
+    sides AS MATERIALIZED (
+      SELECT id, t, b, list_dot_product(vector, normal) AS side FROM vectors, planes),
+    codes AS MATERIALIZED (
+      SELECT id, t, CAST(sum(CASE WHEN side > 0 THEN 1 << b ELSE 0 END) AS BIGINT) AS code
+      FROM sides GROUP BY ALL),
+    nearby AS (
+      SELECT id, t, list(side * side ORDER BY abs(side), b) AS squares, list(1 << b ORDER BY abs(side), b) AS bit
+      FROM sides GROUP BY ALL),
+    choices(mask, flips) AS (VALUES {choices}),
+    tried AS (
+      SELECT id, t, mask,
+        list_sum(list_transform(range(1, len(flips) + 1), lambda r: flips[r] * coalesce(squares[r], 0))) AS score,
+        CAST(list_sum(list_transform(range(1, len(flips) + 1), lambda r: flips[r] * coalesce(bit[r], 0)))
+          AS BIGINT) AS flip
+      FROM nearby, choices, total WHERE mask < 1 << bits),
+    probed AS MATERIALIZED (
+      SELECT id AS query_id, t, xor(code, flip) AS code FROM (
+        SELECT *, row_number() OVER (PARTITION BY id, t ORDER BY score, mask) AS place FROM tried)
+      JOIN codes USING (id, t) WHERE place <= 5),
+    pairs AS MATERIALIZED (
+      SELECT q.id AS query_id, v.id, {V.sql_distance('q.vector', 'v.vector')} AS distance
+      FROM vectors q, vectors v),
+    best AS (SELECT query_id, id, row_number() OVER (
+      PARTITION BY query_id ORDER BY distance, id) AS rank FROM pairs),
+    exact AS MATERIALIZED (SELECT * FROM best WHERE rank <= 10),
+    drawn AS (SELECT id AS query_id FROM vectors ORDER BY sha256('drawn:' || id), id LIMIT 256),
+    met AS MATERIALIZED (
+      SELECT p.query_id, c.id, p.t FROM probed p JOIN codes c ON p.t = c.t AND p.code = c.code),
+    first_met AS (
+      SELECT e.query_id, e.id, min(m.t) AS t FROM exact e JOIN drawn USING (query_id)
+        LEFT JOIN met m ON m.query_id = e.query_id AND m.id = e.id GROUP BY ALL),
+    parts AS (
+      SELECT k.t, f.query_id, count(*) FILTER (WHERE f.t <= k.t) / count(*) AS part
+      FROM range(12) AS k(t), first_met f GROUP BY ALL),
+    shown AS (SELECT t, avg(part) AS recall, stddev_pop(part) / sqrt(count(*)) AS error FROM parts GROUP BY 1),
+    chosen AS (
+      SELECT * FROM shown WHERE t = coalesce(
+        (SELECT min(t) FROM shown WHERE recall - 2 * error >= 0.9), 11)),
+    visited AS MATERIALIZED (SELECT m.* FROM met m, chosen c WHERE m.t <= c.t),
+    ranked AS (SELECT query_id, id, distance, CAST(row_number() OVER (
+      PARTITION BY query_id ORDER BY distance, id) AS INTEGER) AS rank
+      FROM pairs JOIN (SELECT DISTINCT query_id, id FROM visited) USING (query_id, id))"""
+    )
+
+
+SQL_HASHED = sql_hashed(V.SQL_CARDS, V.SQL_VECTORS)
+SQL_GROUPED_HASHED = sql_hashed(V.SQL_GROUPED_VECTORS)
+SQL_HASHED_RECALL = """, hits AS (SELECT query_id, id FROM ranked WHERE rank <= 10)
+    SELECT (SELECT bits FROM total) AS bits, CAST(t + 1 AS INTEGER) AS tables,
+      round(c.recall, 9) AS measured_recall,
+      (SELECT count(*) FROM exact) AS exact_hits,
+      (SELECT count(*) FROM exact JOIN hits USING (query_id, id)) AS found_hits,
+      round((SELECT count(*) FROM exact JOIN hits USING (query_id, id)) / (SELECT count(*) FROM exact), 9)
+        AS recall,
+      (SELECT count(*) FROM visited) AS pairs,
+      round((SELECT count(*) FROM visited) / (SELECT count(*) FROM pairs), 9) AS pair_share FROM chosen c"""
+
+
+def _hashed(vectors: DataFrame) -> hashing.Hashed:
+    return hashing.build_hashed(vectors, _all_as_queries(vectors), 10, tables=12, bucket_rows=32)
+
+
+def _hashed_recall(vectors: DataFrame) -> DataFrame:
+    """How much of the exact result the tables found, and with how many pairs."""
+    index, queries = _hashed(vectors), _all_as_queries(vectors)
+    found = hashing.search_hashed(index, queries, 10)
+    share = hashing.pair_share(index, queries).head()
+    tables, bits, _ = index.normals.shape
+    facts = neighbours.recall(found, neighbours.nearest(queries, vectors, 10))
+    return facts.select(
+        F.lit(bits).alias("bits"),
+        F.lit(tables).alias("tables"),
+        F.round(F.lit(index.recall), 9).alias("measured_recall"),
+        "exact_hits",
+        "found_hits",
+        F.round("recall", 9).alias("recall"),
+        F.lit(share["pairs"]).cast("bigint").alias("pairs"),
+        F.round(F.lit(share["pair_share"]), 9).alias("pair_share"),
+    )
+
+
+@query("v6_hashed_topk", SQL_HASHED + SQL_FOUND)
+def v6_hashed_topk(spark, sf_dir):
+    vectors = V.vectors(spark, sf_dir)
+    return rounded(hashing.search_hashed(_hashed(vectors), _all_as_queries(vectors), 10))
+
+
+@query("v6_hashed_recall", SQL_HASHED + SQL_HASHED_RECALL)
+def v6_hashed_recall(spark, sf_dir):
+    return _hashed_recall(V.vectors(spark, sf_dir))
+
+
+@query("v6_hashed_grouped_recall", SQL_GROUPED_HASHED + SQL_HASHED_RECALL)
+def v6_hashed_grouped_recall(spark, sf_dir):
+    return _hashed_recall(V.grouped_vectors(spark, sf_dir))
+
+
 @query(
     "v6_all_cells",
     V.with_ctes(V.SQL_CARDS, V.SQL_VECTORS)
