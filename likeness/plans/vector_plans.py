@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from likeness.functions import vectors as X
-from likeness.operators import approximate, cells, hashing, neighbours, resolve, similar
+from likeness.operators import approximate, cells, hashing, neighbours, refine, resolve, similar
 from likeness.operators.centroid import centroids, weighted_mean
 from likeness.operators.filters import exclude_inputs
 from likeness.plans import tables as V
@@ -664,3 +664,21 @@ def v10_neighbours_of_all(spark, sf_dir):
 @query("v10_neighbours_of_all_tiles", SQL_ALL_PAIRS)
 def v10_neighbours_of_all_tiles(spark, sf_dir):
     return rounded(neighbours.neighbours_of_all(V.vectors(spark, sf_dir), 10, **TILES))
+
+
+@query("v10_neighbour_graph")
+def v10_neighbour_graph(spark, sf_dir):
+    """The same by refinement; what it finds is measured by ``v10_graph_recall``."""
+    return rounded(refine.neighbour_graph(V.vectors(spark, sf_dir), 10))
+
+
+@query(
+    "v10_graph_recall",
+    V.with_ctes(V.SQL_CARDS, V.SQL_VECTORS)
+    + """SELECT count(*) * least(10, count(*) - 1) AS exact_hits, true AS reaches_nine_tenths FROM vectors""",
+)
+def v10_graph_recall(spark, sf_dir):
+    """Whether the refined graph has nine tenths of all vectors' true neighbours."""
+    vectors = V.vectors(spark, sf_dir)
+    facts = neighbours.recall(refine.neighbour_graph(vectors, 10), neighbours.neighbours_of_all(vectors, 10))
+    return facts.select("exact_hits", (F.col("recall") >= 0.9).alias("reaches_nine_tenths"))
