@@ -123,14 +123,15 @@ def first_of_length(patterns: DataFrame, firsts: DataFrame) -> DataFrame:
     )
 
 
-def resolve_names(names: DataFrame, catalogue: DataFrame) -> DataFrame:
+def resolve_names(names: DataFrame, catalogue: DataFrame, index=None) -> DataFrame:
     """(name, match_kind, matched_name, id) for each distinct name asked for.
 
     An equal name wins (``exact``); only without one the first name that contains it
-    (``like``), in (name, id) order; else ``none``.
+    (``like``), in (name, id) order; else ``none``. With a stored ``index`` (a NameIndex) the
+    names and their grams are taken from there instead of the catalogue.
     """
     asked = names.select("name").distinct()
-    firsts = cut(first_ids(catalogue))
+    firsts = cut(first_ids(catalogue) if index is None else index.names())
     looked_up = cut(asked.join(firsts, "name", "left"))
     exact = looked_up.filter(F.col("id").isNotNull()).select(
         "name", F.lit("exact").alias("match_kind"), F.col("name").alias("matched_name"), "id"
@@ -139,9 +140,13 @@ def resolve_names(names: DataFrame, catalogue: DataFrame) -> DataFrame:
     if missing.isEmpty():
         return exact
     bare = F.col("pattern").rlike(r"^[*?]+$")
+    plain = missing.filter(~bare)
+    if index is None:
+        matched = containing_names(plain, firsts)
+    else:
+        matched = index.containing(plain).join(firsts, "name")
     found = (
-        containing_names(missing.filter(~bare), firsts)
-        .groupBy("pattern")
+        matched.groupBy("pattern")
         .agg(F.min(F.struct("name", "id")).alias("first"))
     ).unionByName(first_of_length(missing.filter(bare), firsts))
     like = missing.join(found, "pattern", "left").select(

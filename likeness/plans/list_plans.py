@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from likeness.operators import browse, filters, ordering
-from likeness.operators.resolve import clean_names, name_matches
+from likeness.operators.resolve import clean_names, name_matches, resolve_names
 from likeness.plans import tables as V
 from likeness.plans.registry import query
+from likeness.session import fresh_dir
+from likeness.sources.name_index import NameIndex
 
 _CARDS = V.with_ctes(V.SQL_CARDS)
 
@@ -74,6 +76,24 @@ def f2_search(spark, sf_dir):
     return browse.search(cards, V.browse_requests(spark, sf_dir)).select("query_id", "id", "name")
 
 
+def stored_names(spark, sf_dir) -> NameIndex:
+    """The cards' names in two steps; a third one delivers the first again."""
+    index, cards = NameIndex(spark, fresh_dir(spark, "names")), V.cards(spark, sf_dir)
+    odd = F.col("id").cast("bigint") % 2 == 1
+    index.add(cards.filter(odd), "odd")
+    index.add(cards.filter(~odd), "even")
+    index.add(cards.filter(odd), "odd")
+    return index
+
+
+@query("f2_search_stored", SQL_SEARCH + "SELECT query_id, id, name FROM ranked")
+def f2_search_stored(spark, sf_dir):
+    """The same over a stored index of the names."""
+    cards, index = V.cards(spark, sf_dir).select("id", "name"), stored_names(spark, sf_dir)
+    found = browse.search(cards, V.browse_requests(spark, sf_dir), index=index)
+    return found.select("query_id", "id", "name")
+
+
 @query(
     "f2_search_first", SQL_SEARCH + "SELECT query_id, id, name, n_matches FROM ranked WHERE place <= 40"
 )
@@ -362,3 +382,17 @@ def a4_card_pages(spark, sf_dir):
 @query("a4_card_pages_first", _pages_sql("position <= 10"))
 def a4_card_pages_first(spark, sf_dir):
     return _pages(spark, sf_dir, 10)
+
+
+def sql_resolved() -> str:
+    return V.with_ctes(V.SQL_CARDS, V.SQL_VECTORS, V.SQL_ORDER_REQUESTS, V.SQL_RESOLVED) + (
+        "SELECT name, match_kind, matched_name, id FROM resolved"
+    )
+
+
+@query("v1_resolve_stored", sql_resolved())
+def v1_resolve_stored(spark, sf_dir):
+    """Names resolved over a stored index of the catalogue's names."""
+    _, named = V.order_requests(spark, sf_dir)
+    index = stored_names(spark, sf_dir)
+    return resolve_names(clean_names(named), V.cards(spark, sf_dir).select("name", "id"), index)
