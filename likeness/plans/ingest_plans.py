@@ -32,8 +32,8 @@ SQL_READ = V.with_ctes(V.SQL_RAW) + """
       CAST(len(coalesce(colors, [])) AS INTEGER) AS n_colors FROM stored"""
 
 
-def _read(spark, path, layout):
-    flat = flatten_cards(read_cards(spark, path, layout=layout))
+def _read(spark, path, layout, **how):
+    flat = flatten_cards(read_cards(spark, path, layout=layout, **how))
     return flat.select(
         F.col("scryfall_id").alias("id"),
         *["name", "cmc", "oracle_text", "image_normal", "legalities"],
@@ -41,11 +41,12 @@ def _read(spark, path, layout):
     )
 
 
-def _write_arrays(spark, sf_dir) -> str:
-    """Files of one JSON array each, with one record per line."""
+def _write_arrays(spark, sf_dir, pretty: bool = False) -> str:
+    """Files of one JSON array each, with one record per line, or one value per line."""
     path = fresh_dir(spark, "cards-array")
     raw = V.raw_cards(spark, sf_dir)
-    rows = raw.select("id", F.to_json(F.struct(*raw.columns)).alias("card"))
+    how = {"pretty": str(pretty).lower()}
+    rows = raw.select("id", F.to_json(F.struct(*raw.columns), how).alias("card"))
     rows = rows.withColumn("file", F.pmod(F.xxhash64("id"), F.lit(8)))
     of_file = Window.partitionBy("file").orderBy("id")
     first, last = F.lag("id").over(of_file).isNull(), F.lead("id").over(of_file).isNull()
@@ -74,6 +75,13 @@ def s1_read_arrays(spark, sf_dir):
     return _read(spark, _write_arrays(spark, sf_dir), "array")
 
 
+@query("s1_read_array_ranges", SQL_READ)
+def s1_read_array_ranges(spark, sf_dir):
+    """Formatted arrays, each file read by many tasks."""
+    path = _write_arrays(spark, sf_dir, pretty=True)
+    return _read(spark, path, "array_ranges", range_bytes=16 * 1024)
+
+
 @query(
     "s4_s5_batch_files",
     V.with_ctes(V.SQL_RAW, V.SQL_VECTORS.replace("catalogue AS", "unused AS").replace(

@@ -6,19 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from likeness.schema import BULK_INDEX, RAW_CARD
+from likeness.sources.arrays import RANGE_BYTES, array_records
 
 
-def read_cards(spark: SparkSession, path: str, layout: str = "array_lines") -> DataFrame:
+def read_cards(
+    spark: SparkSession, path: str, layout: str = "array_lines", range_bytes: int = RANGE_BYTES
+) -> DataFrame:
     """Raw records from JSON; a broken file is an error.
 
     ``array_lines``: an array with one record per line, as bulk files are published; it
-    is split over tasks. ``array``: a JSON array of any other formatting; such a file is
-    one task, so convert it once (``store_cards``). ``lines``: JSON Lines.
+    is split over tasks. ``array_ranges``: a JSON array of any formatting, split over tasks by
+    byte ranges; for plain files that pyarrow can open. ``array``: the same read by Spark, one
+    task a file, from wherever Spark reads. ``lines``: JSON Lines.
     """
     if layout == "array":
         return spark.read.schema(RAW_CARD).json(path, multiLine=True, mode="FAILFAST")
     if layout == "lines":
         return spark.read.schema(RAW_CARD).json(path, mode="FAILFAST")
+    if layout == "array_ranges":
+        parsed = F.from_json("value", RAW_CARD, {"mode": "FAILFAST"}).alias("card")
+        return array_records(spark, path, range_bytes).select(parsed).select("card.*")
     if layout == "array_lines":
         line = F.regexp_replace(F.trim("value"), r"^\[|,$|\]$", "")
         bare = spark.read.text(path).select(F.trim(line).alias("value")).filter("value <> ''")
