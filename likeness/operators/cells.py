@@ -100,12 +100,15 @@ def build_cells(
 ) -> Cells:
     """Cells around given pivots, or around ``n_cells`` sampled ones: as many as the rows
     make blocks, but no more than the root of the number of rows, where the cost of
-    choosing cells and that of looking into one are in balance. The assignment is stored,
-    since a search reads it several times."""
+    choosing cells and that of looking into one are in balance, and no more than every task
+    can hold; cells only become larger then. The assignment is stored, since a search reads
+    it several times."""
     vectors = vectors.select("id", "vector")
     if pivots is None:
         total = vectors.count()
-        n = n_cells or max(1, math.ceil(min(total / block_rows, math.sqrt(total))))
+        first = vectors.select(F.size("vector").alias("d")).head(1)
+        held = PIVOT_BYTES // (8 * max(1, first[0]["d"] if first else 1))
+        n = n_cells or max(1, min(math.ceil(min(total / block_rows, math.sqrt(total))), held))
         pivots = sample_pivots(vectors, n, total)
     return Cells(pivots, cut(assign(vectors, pivots)), value_kind(vectors))
 

@@ -34,21 +34,43 @@ def sort_hits(hits: DataFrame, key: str = "", order: str = "", similar: bool = F
     return hits.orderBy(*[k.desc() if is_descending(order) else k.asc() for k in keys])
 
 
-def position_in_request(hits: DataFrame, similar: bool) -> DataFrame:
+def position_in_request(hits: DataFrame, similar: bool, limited: bool = True) -> DataFrame:
     """Adds ``position`` within each query by the query's own sort and order columns.
 
-    For hits that are limited per query already. Descending is the ascending order
-    read backwards, so one window serves both.
+    Descending is the ascending order read backwards, so one order serves both. For hits that
+    are ``limited`` per query a window places them; others are sorted over all tasks, so that a
+    query which nearly everything matches is no single task.
     """
     key = F.coalesce(F.nullif("sort", F.lit("")), F.lit("similarity" if similar else "name"))
     number = F.when(key == "cmc", F.coalesce("cmc", F.lit(0.0)))
     if similar:
         number = number.when(key == "similarity", F.col("similarity"))
-    ascending = Window.partitionBy("query_id").orderBy(number.asc_nulls_first(), "name", "id")
-    whole = Window.partitionBy("query_id")
+    keys = [number.asc_nulls_first(), F.col("name"), F.col("id")]
+    if limited:
+        ascending, whole = Window.partitionBy("query_id").orderBy(*keys), Window.partitionBy("query_id")
+        place, size = F.row_number().over(ascending), F.count("*").over(whole).cast("int")
+        placed = hits.withColumns({"place_in_group": place, "rows_in_group": size})
+    else:
+        placed = position_in_group(hits, "query_id", *keys)
     down = or_empty(F.col("order")).isin("", "desc")
-    place, size = F.row_number().over(ascending), F.count("*").over(whole).cast("int")
-    return hits.withColumn("position", F.when(down, size + 1 - place).otherwise(place))
+    place, size = F.col("place_in_group"), F.col("rows_in_group")
+    position = F.when(down, size + 1 - place).otherwise(place).cast("int")
+    return placed.withColumn("position", position).drop("place_in_group", "rows_in_group")
+
+
+def position_in_group(rows: DataFrame, group: str, *keys: Column | str) -> DataFrame:
+    """Adds ``place_in_group``, counted from 1 in the order of ``keys``, and ``rows_in_group``.
+
+    One range sort by group and keys serves all groups: a group of any size lies in several
+    tasks, and its places are positions in the whole less the first one of the group.
+    """
+    placed = with_position(rows, group, *keys)
+    facts = placed.groupBy(F.col(group).alias("group_")).agg(
+        F.min("position").alias("group_start"), F.count("*").alias("rows_in_group")
+    )
+    joined = placed.join(facts, placed[group].eqNullSafe(facts["group_"]))
+    place = F.col("position") - F.col("group_start") + 1
+    return joined.withColumn("place_in_group", place).drop("group_", "group_start", "position")
 
 
 def collector_keys() -> list[Column]:

@@ -58,3 +58,19 @@ def test_the_assignment_is_computed_once(spark):
     plan = queries()["v5b_exact_topk_tiles"](spark, SF_DIR)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "cell#" in text and "embeddings.parquet" not in text
+
+
+def test_unlimited_listings_have_no_window(spark):
+    """Nor have printings: a request that matches nearly all, or a name that a third of all
+    cards have, is sorted over all tasks."""
+    from likeness.operators import browse
+    from likeness.plans import tables as V
+
+    sf = "/root/testdata/sf0.001"
+    cards, requests = V.cards(spark, sf), V.browse_requests(spark, sf)
+    everything = requests.withColumn("q", F.lit("*"))
+    for found in (browse.search_listing(cards, everything), browse.printings(cards.withColumn("name", F.lit("x")))):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan
+    placed = browse.printings(cards.withColumn("name", F.lit("x"))).select("position").collect()
+    assert sorted(r["position"] for r in placed) == list(range(1, cards.count() + 1))
