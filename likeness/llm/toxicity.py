@@ -18,6 +18,7 @@ import math
 import re
 import sys
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -53,11 +54,11 @@ BACK, LETTERS = 2.0, 64
 # Characters that are counted at once.
 AT_ONCE = 1 << 21
 # Paths that are followed at once, characters of words that are remembered, and words.
-PATHS, LONGEST, REMEMBERED = 24, 40, 200_000
+PATHS, LONGEST, REMEMBERED = 24, 40, 400_000
 # Slots of the odds of words; what each count is raised by; times that a word counts in a text.
 SLOTS = 1 << 20
 ALPHA, MOST_TIMES = 0.5, 99
-PREFIXES = (4, 5, 6)
+PREFIXES, MARK = (4, 5, 6), zlib.crc32(b"^")
 LEVELS = (1.0, 2.0, 3.0)
 RIDGE = 1.0
 MEASURES = 2 + 2 * len(LEVELS) + 3
@@ -220,56 +221,107 @@ class Reader:
                 self.known[token] = found
         return found
 
-    def bag(self, text: str | None) -> tuple[Counter, int]:
-        """How often the whole text has each restored word, and how many words were hidden."""
-        text, hidden = (text or "").lower(), 0
-        bag: Counter = Counter()
+    def parts(self, text: str | None) -> tuple[list[str], list[str]]:
+        """(tokens, spelt): the whole text's tokens, and the words that were spelt letter by
+        letter, read."""
+        text, found = (text or "").lower(), []
         spelt = SPELT.findall(text)
         if spelt:
             text = SPELT.sub(" ", text)
             for run in spelt:
-                words = self.decode(run).split()
-                hidden += sum(len(w) > 1 for w in words)
-                bag.update(words)
-        for token, n in Counter(text.split()).items():
+                found += self.decode(run).split()
+        return text.split(), found
+
+    def bag(self, text: str | None) -> Counter:
+        """How often the whole text has each restored word."""
+        tokens, spelt = self.parts(text)
+        bag = Counter(spelt)
+        for token, n in Counter(tokens).items():
             for word in self.words(token):
                 bag[word] += n
-                hidden += 0 if word in token else n
-        return bag, hidden
+        return bag
 
 
 def features(word: str) -> list[int]:
-    """Slots of the word and of its beginnings."""
-    names = [word, *("^" + word[:n] for n in PREFIXES if len(word) > n)]
-    return [zlib.crc32(name.encode("utf-8", "surrogatepass")) % SLOTS for name in names]
-
-
-def measures(bag: Counter, odds: np.ndarray, known: dict) -> list[float]:
-    """What the regression weighs: each word has the odds of its most telling feature."""
-    values = []
-    for word in bag:
-        found = known.get(word)
+    """Slots of the word and of its beginnings, which are marked."""
+    raw = word.encode("utf-8", "surrogatepass")
+    found = [zlib.crc32(raw) % SLOTS]
+    narrow = len(raw) == len(word)
+    for n in PREFIXES:
+        if len(word) <= n:
+            break
+        start = raw[:n] if narrow else word[:n].encode("utf-8", "surrogatepass")
+        found.append(zlib.crc32(start, MARK) % SLOTS)
+    return found
+
+
+def telling(word: str, odds) -> float:
+    """The odds of a word's most telling feature."""
+    best = 0.0
+    for at in features(word):
+        value = odds[at]
+        if abs(value) > abs(best):
+            best = value
+    return best
+
+
+class Odds(dict):
+    """The odds of tokens that are one plain word; not-a-number for all others, whose words'
+    odds and number of hidden ones are in ``others``. Filled as tokens come, and bounded."""
+
+    def __init__(self, reader: Reader, odds: np.ndarray):
+        self.reader, self.odds = reader, array("d", odds.astype(float).tobytes())
+        self.others: dict[str, tuple[list[float], int]] = {}
+
+    def __missing__(self, token: str) -> float:
+        words = self.reader.words(token)
+        plain = len(words) == 1 and words[0] in token
+        value = telling(words[0], self.odds) if plain else math.nan
+        if len(token) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[token] = value
+        return value
+
+    def other(self, token: str) -> tuple[list[float], int]:
+        found = self.others.get(token)
         if found is None:
-            found = max((float(odds[at]) for at in features(word)), key=abs)
-            if len(word) <= LONGEST:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[word] = found
-        values.append(found)
-    values, times = np.array(values, float), np.array(list(bag.values()), float)
-    total = times.sum()
-    size = max(1.0, total)
-    hits = [float(times[values > level].sum()) for level in LEVELS]
-    order = np.argsort(-values, kind="stable")
-    most = np.repeat(values[order[:5]], np.minimum(times[order[:5]], 5).astype(int))[:5]
+            words = self.reader.words(token)
+            found = [telling(w, self.odds) for w in words], sum(w not in token for w in words)
+            if len(token) <= LONGEST:
+                if len(self.others) >= REMEMBERED:
+                    self.others.clear()
+                self.others[token] = found
+        return found
+
+    def of_text(self, text: str | None) -> tuple[np.ndarray, int]:
+        """The odds of each word of the whole text, in any order, and how many were hidden."""
+        rest, spelt = self.reader.parts(text)
+        values = np.fromiter(map(self.__getitem__, rest), float, len(rest))
+        more, hidden = [telling(w, self.odds) for w in spelt], sum(len(w) > 1 for w in spelt)
+        odd = np.isnan(values)
+        if odd.any():
+            for at in np.flatnonzero(odd).tolist():
+                found, n = self.other(rest[at])
+                more += found
+                hidden += n
+            values = values[~odd]
+        return np.concatenate([values, more]), hidden
+
+
+def measures(values: np.ndarray) -> list[float]:
+    """What the regression weighs, from the odds of a text's words."""
+    size = max(1, len(values))
+    hits = [int((values > level).sum()) for level in LEVELS]
+    most = np.partition(values, len(values) - 5)[-5:] if len(values) > 5 else values
     return [
         1.0,
         math.log(size),
         *(math.log1p(h) for h in hits),
         *(100 * h / size for h in hits),
-        10 * float((values * times).sum()) / size,
-        float(most.mean()) if len(most) else 0.0,
-        float(most[0]) if len(most) else 0.0,
+        10 * float(values.sum()) / size,
+        float(np.sort(most).mean()) if len(most) else 0.0,
+        float(most.max()) if len(most) else 0.0,
     ]
 
 
@@ -339,7 +391,7 @@ def training_bags(
     def restored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(held.value)
         for batch in batches:
-            bags = [reader.bag(t)[0] for t in batch.column("text").to_pylist()]
+            bags = [reader.bag(t) for t in batch.column("text").to_pylist()]
             columns = [
                 batch.column("toxic"), batch.column("half"),
                 pa.array([list(b) for b in bags], target.field("words").type),
@@ -383,17 +435,18 @@ def fitted(bags: DataFrame) -> Model:
     shape = to_arrow_schema(T._parse_datatype_string(told))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: list[dict] = [{}, {}]
+        tables = [array("d", odds.astype(float).tobytes()) for odds in by_half.value]
         for batch in batches:
             rows = []
             columns = (batch.column(c).to_pylist() for c in ("half", "words", "times"))
             for half, words, times in zip(*columns, strict=True):
-                bag = Counter(dict(zip(words, times, strict=True)))
-                rows.append(measures(bag, by_half.value[1 - half], known[half]))
+                odds = tables[1 - half]
+                values = np.array([telling(word, odds) for word in words], float)
+                rows.append(measures(np.repeat(values, times)))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, shape.field("row").type)], schema=shape)
 
     # MOST_LABELLED rows of MEASURES numbers at most.
-    rows = bags.mapInArrow(measured, told).orderBy("toxic", "row").collect()
+    rows = sorted(bags.mapInArrow(measured, told).collect())
     matrix = np.array([r.row for r in rows]).reshape(-1, MEASURES)
     if not len(rows):
         matrix = np.zeros((1, MEASURES))
@@ -435,12 +488,12 @@ def with_toxicity(
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, model = held.value
-        reader, known = Reader(counts), {}
+        odds = Odds(Reader(counts), model.odds)
         for batch in batches:
             rows, hidden = [], []
             for body in batch.column(2).to_pylist():
-                bag, n = reader.bag(body)
-                rows.append(measures(bag, model.odds, known))
+                values, n = odds.of_text(body)
+                rows.append(measures(values))
                 hidden.append(n)
             score = model.score(np.array(rows).reshape(-1, MEASURES))
             columns = [
