@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from likeness.llm import bitplanes, chat, licenses, mixing, oracles, packing, prefixes, quality
 from likeness.llm import secrets, simhash, substrings, topk, toxicity, whitening
 from likeness.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
-from likeness.session import fresh_dir
+from likeness.session import cut, fresh_dir
 
 
 @query("op2_secret_scan", oracles.sql_secrets())
@@ -110,8 +110,8 @@ def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability of every document, and whether it is in the sample."""
     docs = mixing.documents_with_margins(table(spark, sf_dir, "documents"))
-    slim = docs.select("doc_id", *mixing.MARGINS, "tokens")
-    mixed = mixing.with_mixture(slim, mixing.TEMPERS, "tokens")
+    slim = cut(docs.select("doc_id", *mixing.MARGINS, "tokens"))  # the texts are read once
+    mixed = mixing.with_mixture(slim, mixing.TEMPERS, "tokens", keep=mixing.KEEP)
     return mixed.select("doc_id", "topic", "tokens", "probability", "sampled")
 
 

@@ -144,6 +144,18 @@ def raked(cells, targets, sweeps):
     return weights
 
 
+def clipped(cells, weights, keep):
+    """{cell: probability}: the factor found by halving."""
+    wanted, low, high = keep * sum(cells.values()), 0.0, 1e12
+    for _ in range(400):
+        middle = (low + high) / 2
+        if sum(min(n, middle * weights[c]) for c, n in cells.items()) < wanted:
+            low = middle
+        else:
+            high = middle
+    return {c: min(1.0, high * weights[c] / n) if n else 0.0 for c, n in cells.items()}
+
+
 def top(rows, asked, k, scale=64):
     """rows: (id, vector); (query_id, rank, id, score)."""
     import math

@@ -42,8 +42,8 @@ def chances(docs):
             held[c[m]] = held.get(c[m], 0) + n
         targets.append({v: n**power / sum(n**power for n in held.values()) for v, n in held.items()})
     weights = brute.raked(cells, targets, mixing.SWEEPS)
-    top = max(weights[c] / cells[c] for c in cells)
-    return {d: weights[c] / cells[c] / top for d, c in of.items()}
+    found = brute.clipped(cells, weights, mixing.KEEP)
+    return {d: found[c] for d, c in of.items()}
 
 
 def test_every_stage_is_brute_force(spark):

@@ -82,16 +82,39 @@ def test_expected_tokens_keep_the_targets(spark):
         whole = sum(n**power for n in held.values())
         targets.append({v: n**power / whole for v, n in held.items()})
     want = brute.raked(cells, targets, mixing.SWEEPS)
-    top = max(want[c] / cells[c] for c in cells)
+    chance = brute.clipped(cells, want, mixing.KEEP)
     for r in rows:
-        cell = (r.source, r.lang, r.topic)
-        assert r.probability == pytest.approx(want[cell] / cells[cell] / top, abs=2e-9)
+        assert r.probability == pytest.approx(chance[r.source, r.lang, r.topic], abs=2e-9)
+    assert sum(r.tokens * r.probability for r in rows) == pytest.approx(mixing.KEEP * sum(cells.values()), rel=1e-6)
     expected, whole = {}, 0
     for r in rows:
         expected[r.lang] = expected.get(r.lang, 0) + r.tokens * r.probability
         whole += r.tokens * r.probability
     for lang, tokens in expected.items():
-        assert tokens / whole == pytest.approx(targets[1][lang], abs=1e-3)
+        assert tokens / whole == pytest.approx(targets[1][lang], abs=0.02)
+
+
+def test_one_odd_document_does_not_change_the_sample(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(10**9, "some words", "xx", "odd", 10)], docs.schema)
+    plain = mixing.sample(docs).agg(F.sum(F.length("text"))).first()[0]
+    with_odd = mixing.sample(docs.union(odd))
+    assert with_odd.filter("doc_id = 1000000000").count() == 1  # taken whole
+    assert with_odd.agg(F.sum(F.length("text"))).first()[0] == pytest.approx(plain, rel=0.01)
+
+
+def test_targets_that_contradict_each_other_are_told(spark):
+    rows = [(i, "a" if i % 2 else "b", "en" if i % 2 else "de", 10) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, tokens long")
+    given = {"source": {"a": 0.9, "b": 0.1}, "lang": {"en": 0.1, "de": 0.9}}
+    with pytest.warns(UserWarning, match="off its target"):
+        assert mixing.with_mixture(docs, given, "tokens", keep=0.5).count() == 100
+    with pytest.raises(ValueError, match="off its target"):
+        mixing.with_mixture(docs, given, "tokens", strict=True)
+    fine = mixing.with_mixture(docs, {"source": {"a": 0.9, "b": 0.1}}, "tokens", keep=0.5, strict=True)
+    assert {(r.source, r.probability) for r in fine.collect()} == {("a", 0.9), ("b", 0.1)}
+    all_of_it = mixing.with_mixture(docs, {"source": 1.0}, "tokens", keep=1.0)
+    assert {r.probability for r in all_of_it.collect()} == {1.0}
 
 
 def test_mixing_edges(spark):
@@ -109,7 +132,7 @@ def test_mixing_edges(spark):
     assert 30 < kept < 110
     assert mixing.with_mixture(docs.limit(0), given, "tokens").count() == 0
     text = docs.withColumn("text", F.lit("words")).withColumn("Topic", F.lit(1))
-    kept = mixing.sample(text, {"source": 1.0, "topic": 1.0})
+    kept = mixing.sample(text, {"source": 1.0, "topic": 1.0}, keep=None)
     assert kept.columns == text.columns and kept.count() == 603
     assert mixing.sample(text.limit(0)).count() == 0
     with pytest.raises(ValueError):
