@@ -27,6 +27,9 @@ PART = (
 # Tokens an attachment expands to: image patches of this many pixels a side, audio tokens
 # a second, tokens a document page.
 PATCH, AUDIO_RATE, PAGE_TOKENS = 28, 12.5, 256
+KINDS = ("text", "image", "audio", "document")
+# Placeholders of one part at most; more is an error, as the text would hold them all.
+MOST_TOKENS = 100_000
 NONE = "CAST(array() AS array<struct<kind:string,uri:string,tokens:int>>)"
 
 
@@ -58,14 +61,22 @@ def text_parts(text: Column) -> Column:
 
 
 def part_tokens(part: Column) -> Column:
-    """Placeholders of one part: 0 for text, else at least 1."""
+    """Placeholders of one part: 0 for text, else at least 1. A part without a type is text; an
+    unknown type and more than MOST_TOKENS placeholders are errors that say so."""
     across = F.ceil(F.coalesce(part["width"], F.lit(1)) / F.lit(PATCH))
     down = F.ceil(F.coalesce(part["height"], F.lit(1)) / F.lit(PATCH))
     heard = F.ceil(F.coalesce(part["seconds"], F.lit(0.0)) * F.lit(AUDIO_RATE))
     read = F.coalesce(part["pages"], F.lit(1)) * F.lit(PAGE_TOKENS)
     kinds = F.when(part["type"] == "image", across * down)
     kinds = kinds.when(part["type"] == "audio", heard).when(part["type"] == "document", read)
-    return F.when(kinds.isNull(), 0).otherwise(F.greatest(kinds.cast("int"), F.lit(1)))
+    strange = F.raise_error(F.concat(F.lit("unknown type of a part: "), part["type"])).cast("int")
+    large = F.raise_error(F.concat(F.lit("too large a part: "), kinds.cast("string"))).cast("int")
+    return (
+        F.when(~F.coalesce(part["type"], F.lit("text")).isin(*KINDS), strange)
+        .when(kinds.isNull(), 0)
+        .when(kinds > MOST_TOKENS, large)
+        .otherwise(F.greatest(kinds.cast("int"), F.lit(1)))
+    )
 
 
 def flattened(parts: Column, first: Column) -> Column:

@@ -64,7 +64,7 @@ KNOWN = {
         "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
     ),
 }
-# A table of licences is a constant of the plan up to this many, at 64 bytes a digest.
+# Up to this many licences are sent to every task, at 64 bytes a digest; more are joined.
 MOST_KNOWN = 10_000
 
 # Only \n ends a line, in Java and in RE2 alike.
@@ -88,14 +88,15 @@ def digest(text: Column) -> Column:
 def known_digests(spark, known: dict[str, str]) -> DataFrame:
     """(license, digest); of equal canonical texts the first name stays."""
     if len(known) > MOST_KNOWN:
-        raise ValueError(f"more than {MOST_KNOWN} licences: join with a table instead")
-    pairs = [
-        F.struct(F.lit(name).alias("license"), F.lit(text).alias("text"))
-        for name, text in known.items()
-    ]
-    kind = "array<struct<license:string,text:string>>"
-    listed = F.array(*pairs) if pairs else F.expr(f"CAST(array() AS {kind})")
-    rows = spark.range(1).select(F.explode(listed).alias("l")).select("l.*")
+        rows = spark.createDataFrame(list(known.items()), "license string, text string")
+    else:
+        pairs = [
+            F.struct(F.lit(name).alias("license"), F.lit(text).alias("text"))
+            for name, text in known.items()
+        ]
+        kind = "array<struct<license:string,text:string>>"
+        listed = F.array(*pairs) if pairs else F.expr(f"CAST(array() AS {kind})")
+        rows = spark.range(1).select(F.explode(listed).alias("l")).select("l.*")
     return rows.groupBy(digest(F.col("text")).alias("digest")).agg(F.min("license").alias("license"))
 
 
@@ -110,29 +111,33 @@ def with_licenses(
     (sorted distinct names, comma-joined) of its lines that are known notices as a whole.
 
     Null and empty texts have the digest of the empty text, and no licence unless a known
-    text is empty too. Repeated rows each give a row; rows with one id, or with none, share
-    the findings in their lines. Other columns are left out. The known digests are at most
-    ``MOST_KNOWN`` rows and are sent to every task; the texts are not shuffled.
+    text is empty too. Repeated rows each give a row with the same findings; rows of one id, or
+    of none, with different texts have their own. Other columns are left out. The texts are not
+    shuffled.
     """
-    table = F.broadcast(known_digests(docs.sparkSession, KNOWN if known is None else known))
+    known = KNOWN if known is None else known
+    table = known_digests(docs.sparkSession, known)
+    table = F.broadcast(table) if len(known) <= MOST_KNOWN else table
     body = F.coalesce(F.col(key(text)), F.lit(""))
-    whole = docs.select(F.col(key(id)).alias(id), digest(body).alias("digest"))
+    name, raw = F.col(key(id)), F.sha2(body, 256)
+    whole = docs.select(name.alias(id), digest(body).alias("digest"), raw.alias("raw"))
     whole = whole.join(table, "digest", "left")
     lines = docs.select(
-        F.col(key(id)).alias("line_id"), F.explode(F.split(body, "\n")).alias("line")
+        name.alias("line_id"), raw.alias("line_raw"), F.posexplode(F.split(body, "\n")).alias("at", "line")
     )
     found = (
-        lines.select("line_id", digest(F.col("line")).alias("digest"))
+        lines.select("line_id", "line_raw", "at", digest(F.col("line")).alias("digest"))
         .join(table, "digest")
-        .groupBy("line_id", F.col("license").alias("name"))
-        .agg(F.count("*").alias("n"))
-        .groupBy("line_id")
+        .groupBy("line_id", "line_raw", "at", "license")  # repeated rows count once
+        .agg(F.count("*"))
+        .groupBy("line_id", "line_raw")
         .agg(
-            F.sum("n").alias("n_license_lines"),
-            F.array_join(F.sort_array(F.collect_list("name")), ",").alias("line_licenses"),
+            F.count("*").alias("n_license_lines"),
+            F.array_join(F.sort_array(F.collect_set("license")), ",").alias("line_licenses"),
         )
     )
-    return whole.join(found, whole[key(id)].eqNullSafe(found["line_id"]), "left").select(
+    same = whole[key(id)].eqNullSafe(found["line_id"]) & (whole["raw"] == found["line_raw"])
+    return whole.join(found, same, "left").select(
         key(id),
         "digest",
         "license",

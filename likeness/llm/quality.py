@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from likeness.llm.common import spare
+from likeness.llm.common import key, spare
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -116,12 +116,12 @@ def with_quality(
         rows = [measured(t, compress, text_bands, chunk_band, chunk_share) for t in texts]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in MEASURES.split(", ")])
 
-    if name in docs.columns:
+    if spare(docs, name) != name:
         raise ValueError(f"documents have a column {name!r} already")
-    return docs.withColumn(name, measure.asNondeterministic()(F.col(text)))
+    return docs.withColumn(name, measure.asNondeterministic()(F.col(key(text))))
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that pass, with their columns."""
     name = spare(docs, "quality")
-    return with_quality(docs, text, name).filter(F.col(name)["kept"]).select(*docs.columns)
+    return with_quality(docs, text, name).filter(F.col(name)["kept"]).select(*[key(c) for c in docs.columns])

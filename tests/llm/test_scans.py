@@ -186,12 +186,13 @@ def test_licence_digests(spark):
     )
     got = {(r.doc_id, r.license): (r.n_license_lines, r.line_licenses) for r in licenses.with_licenses(docs.withColumn("digest", F.lit(1))).collect()}
     assert got[0, "MIT"] == (0, "") and got[4, None] == (0, "")
-    assert got[1, None] == (1, "MIT-notice")
+    assert got[1, None] == (0, "")  # the row with the text "x"; the other one has a notice
+    assert [r.line_licenses for r in licenses.with_licenses(docs).collect() if r.doc_id == 1 and r.n_license_lines == 1] == ["MIT-notice"]
     assert got[None, "CC-BY-NC-4.0-notice"] == (1, "CC-BY-NC-4.0-notice")
     assert licenses.with_licenses(docs.limit(0)).count() == 0
     assert licenses.with_licenses(docs, known={}).filter("license IS NOT NULL").count() == 0
-    with pytest.raises(ValueError):
-        licenses.with_licenses(docs, known={str(i): "" for i in range(10_001)})
+    many = licenses.with_licenses(docs, known={str(i): "" for i in range(10_001)})
+    assert many.filter("license = '0'").count() == 2
 
 
 def test_licence_sql(spark):
@@ -201,6 +202,48 @@ def test_licence_sql(spark):
     assert compare(spark, oracle(SF), SF, name, queries.QUERIES[name], queries.ORACLES[name]) is None
 
 
+def test_rows_of_one_id_have_their_own_licences(spark):
+    line = "Released under the MIT License."
+    rows = [(7, line), (7, "plain words"), (None, f"{line}\n{line}"), (None, "plain"), (7, line)]
+    got = licenses.with_licenses(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = sorted(((r.doc_id, r.n_license_lines, r.line_licenses) for r in got.collect()), key=repr)
+    name = "MIT-notice"
+    assert found == sorted([(7, 1, name), (7, 0, ""), (None, 2, name), (None, 0, ""), (7, 1, name)], key=repr)
+
+
+def test_more_licences_than_are_sent_to_every_task(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "licence number 4"), (2, "other")], "doc_id long, text string")
+    known = {f"L{n}": f"license number {n}" for n in range(9)}
+    want = sorted(map(tuple, licenses.with_licenses(docs, known=known).collect()))
+    monkeypatch.setattr(licenses, "MOST_KNOWN", 5)
+    assert sorted(map(tuple, licenses.with_licenses(docs, known=known).collect())) == want
+    assert want[0][2] == "L4"
+
+
+@pytest.mark.parametrize(
+    "part,told",
+    [({"type": "video", "uri": "v"}, "unknown type"), ({"type": "image", "width": 10**6, "height": 10**6}, "too large")],
+)
+def test_parts_that_cannot_be_shown_are_errors(spark, part, told):
+    names = [c.split(":")[0] for c in chat.PART.removeprefix("struct<").removesuffix(">").split(",")]
+    row = (1, 0, "user", [tuple(part.get(n) for n in names)])
+    df = spark.createDataFrame([row], f"conv_id long, turn long, role string, content array<{chat.PART}>")
+    with pytest.raises(Exception, match=told):
+        chat.format_chats(df).collect()
+
+
+def test_clashing_names_of_any_case_and_odd_names(spark):
+    text = " ".join(f"word{i} other{i * 7}" for i in range(200))
+    df = spark.createDataFrame([(1, text, 5, 6)], "doc_id long, text string, Quality long, `a.b` long")
+    with pytest.raises(ValueError):
+        quality.with_quality(df, name="quality")
+    assert quality.keep_good(df).columns == df.columns
+    again = df.withColumnRenamed("Quality", "Secrets")
+    with pytest.raises(ValueError):
+        secrets.with_secrets(again, name="secrets")
+    assert secrets.hide_secrets(again).columns == again.columns
+
+
 def test_schemas_are_stable(spark):
     kinds = {f.name: f.dataType for f in queries.op2_secret_scan(spark, SF).schema}
     assert kinds["n_hex"] == T.LongType() and kinds["spans"] == T.StringType()
