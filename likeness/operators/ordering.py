@@ -149,7 +149,11 @@ def near_page(rows: DataFrame, offset: int, limit: int) -> tuple[DataFrame, int]
 def page(rows: DataFrame, offset: int, limit: int) -> DataFrame:
     """One page in (name, id) order, with the facts a pager needs on every row."""
     near, skipped = near_page(rows, offset, limit)
-    asked = near.orderBy("name", "id").offset(skipped).limit(limit + 1)
+    return page_facts(near.orderBy("name", "id").offset(skipped).limit(limit + 1), offset, limit)
+
+
+def page_facts(asked: DataFrame, offset: int, limit: int) -> DataFrame:
+    """The page and what a pager needs, from its rows and the one behind them."""
     # At most limit + 1 rows are numbered here.
     numbered = asked.withColumn("row", F.row_number().over(Window.orderBy("name", "id")))
     facts = numbered.withColumn("has_next", F.max("row").over(Window.partitionBy()) > limit)

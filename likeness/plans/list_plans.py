@@ -10,6 +10,7 @@ from likeness.plans import tables as V
 from likeness.plans.registry import query
 from likeness.session import fresh_dir
 from likeness.sources.name_index import NameIndex
+from likeness.sources.sorted_rows import SortedRows
 
 _CARDS = V.with_ctes(V.SQL_CARDS)
 
@@ -272,6 +273,34 @@ def o4_pages(spark, sf_dir):
     return ordering.pages(V.cards(spark, sf_dir).select("id", "name"), 20)
 
 
+def _stored_pages(spark, sf_dir):
+    cards = V.cards(spark, sf_dir).select("id", "name")
+    stored = SortedRows(spark, fresh_dir(spark, "sorted"))
+    stored.write(cards, run_rows=300)
+    return cards, stored
+
+
+@query(
+    "o4_stored_pages",
+    _CARDS
+    + """, placed AS (SELECT id, name, row_number() OVER (ORDER BY name, id) - 1 AS position,
+      count(*) OVER () AS n FROM cards),
+    depths AS (SELECT unnest([1, 50, 99]) AS percent)
+    SELECT percent, id, name, true AS has_prev, n * percent // 100 + 20 < n AS has_next
+    FROM placed, depths WHERE position >= n * percent // 100 AND position < n * percent // 100 + 20""",
+)
+def o4_stored_pages(spark, sf_dir):
+    """Pages at three depths of rows that are stored in sorted runs."""
+    cards, stored = _stored_pages(spark, sf_dir)
+    n, found = cards.count(), None
+    for percent in (1, 50, 99):
+        page = stored.page(n * percent // 100, 20).select(
+            F.lit(percent).alias("percent"), "id", "name", "has_prev", "has_next"
+        )
+        found = page if found is None else found.unionByName(page)
+    return found
+
+
 @query(
     "o4_page_after",
     _CARDS
