@@ -223,7 +223,8 @@ def search_held_queries(held, block_rows, exclude_self):
 
 
 def search_tile(guest_kind, member_kind, exclude_self, schema):
-    """Co-grouped: the queries of one tile against the vectors of the same tile."""
+    """Co-grouped: the queries of one tile against the vectors of the same tile. The vectors of
+    the queries are unpacked a part at a time, so that a tile may have many of them."""
 
     def run(left, right):
         if not left.num_rows or not right.num_rows:
@@ -231,10 +232,13 @@ def search_tile(guest_kind, member_kind, exclude_self, schema):
         ks, reach = left["k"].to_numpy(), left["reach"].to_numpy()
         most = int(ks.max()) + exclude_self
         ids, rows = by_id(right["id"], unit_rows(unpacked(right["packed"], member_kind)), most)
-        queries = unit_rows(unpacked(left["packed"], guest_kind))
-        if queries.shape[1] != rows.shape[1]:
-            raise ValueError(f"queries must all have {rows.shape[1]} dimensions")
-        found = list(top_k(left["query_id"], queries, ks, ids, rows, exclude_self, reach))
+        found, step = [], max(1, 8 * MATRIX_CELLS // max(1, rows.shape[1]))
+        for start in range(0, left.num_rows, step):
+            some, part = left.slice(start, step), slice(start, start + step)
+            queries = unit_rows(unpacked(some["packed"], guest_kind))
+            if queries.shape[1] != rows.shape[1]:
+                raise ValueError(f"queries must all have {rows.shape[1]} dimensions")
+            found += top_k(some["query_id"], queries, ks[part], ids, rows, exclude_self, reach[part])
         return pa.Table.from_batches(found).cast(schema) if found else schema.empty_table()
 
     return run
@@ -298,11 +302,12 @@ def visited_cells(held, probes, slack, kind):
     """Map over queries (query_id, vector, k, reach): one row per cell to look into.
 
     Queries with a ``reach`` visit all cells that may hold a row within it; those without
-    the nearest cells. The vectors are kept, packed, if a ``kind`` is given.
+    the nearest cells. Cells that were put together (``homes``, if any) are one row. The
+    vectors are kept, packed, if a ``kind`` is given.
     """
 
     def run(batches):
-        pivots, count, radius = held.value
+        pivots, count, radius, homes = held.value
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -320,6 +325,10 @@ def visited_cells(held, probes, slack, kind):
                 else:
                     visit = cells_near(turn, count, ks[part], probes)
                 line, cell = np.nonzero(visit)
+                if homes is not None:
+                    joint = np.zeros((len(visit), int(homes.max()) + 1), bool)
+                    joint[line, homes[cell]] = True
+                    line, cell = np.nonzero(joint)
                 lines = pa.array(line + start)
                 columns = {n: batch[n].take(lines) for n in ("query_id", "k", "reach")}
                 if kind:

@@ -29,6 +29,13 @@ FILE_ROWS = 1_000_000
 # Distances that tie at 12 decimals may lie 1.5e-6 apart as angles, and angles near 0
 # carry an error of about 1e-8; cells within the slack are visited too.
 ANGLE_SLACK = 3e-6
+# Copies that tiles may make of a row on the average, and what all copies may weigh at any rate.
+COPIES = 2
+COPY_BYTES = 256 * 1024 * 1024
+# What the vectors of one tile may weigh as doubles, and its queries and their hits.
+MEMBER_BYTES = 64 * 1024 * 1024
+GUEST_BYTES = 128 * 1024 * 1024
+HIT_BYTES = 32
 
 
 @dataclass(frozen=True)
@@ -152,10 +159,11 @@ def cell_facts(index: Cells) -> tuple[np.ndarray, np.ndarray]:
 
 
 def visits(
-    index: Cells, queries: DataFrame, facts, probes: int | None, kind: str | None = None
+    index: Cells, queries: DataFrame, facts, probes: int | None, kind: str | None = None, homes=None
 ) -> DataFrame:
-    """(query_id, k, reach[, packed], cell): the cells each query has to look into."""
-    held = queries.sparkSession.sparkContext.broadcast((index.pivots, *facts))
+    """(query_id, k, reach[, packed], cell): the cells each query has to look into, or the
+    ``homes`` of these, each once."""
+    held = queries.sparkSession.sparkContext.broadcast((index.pivots, *facts, homes))
     names = ["query_id", "k", "reach"]
     fields = [queries.schema[name] for name in names]
     fields += [T.StructField("packed", T.BinaryType())] if kind else []
@@ -215,18 +223,67 @@ def _search_tiles(
     block_rows: int,
 ) -> DataFrame:
     """Partial hits (query_id, rank, id, distance): the nearest rows of each tile."""
-    spark = queries.sparkSession
-    tour = visits(index, queries, facts, probes).groupBy("cell").agg(F.count("*").alias("n"))
+    spark, dim = queries.sparkSession, index.pivots.shape[1]
+    kinds = value_kind(queries), index.kind
+    guest_bytes, member_bytes = (np.dtype(kind).itemsize * dim + 64 for kind in kinds)
+    most_members = MEMBER_BYTES // (8 * dim)
+    asked = queries.agg(F.count("*").alias("n"), F.max("k").alias("k")).head()
+    members, homes = facts[0], None
+    guests = _guests(visits(index, queries, facts, probes), len(members))
+    # A fixed number of cells is what an approximate search is asked for; these stay apart.
+    if probes is None and guests.sum() > COPIES * asked["n"] and guests.sum() * guest_bytes > COPY_BYTES:
+        wanted = COPIES * asked["n"] * len(members) // int(guests.sum())
+        homes = joint_cells(index.pivots, max(math.ceil(members.sum() / most_members), int(wanted)))
+        members = np.bincount(homes, members, len(members)).astype(np.int64)
+        guests = _guests(visits(index, queries, facts, probes, homes=homes), len(members))
+    most_guests = GUEST_BYTES // (guest_bytes + HIT_BYTES * ((asked["k"] or 1) + exclude_self))
+    cut_members, cut_guests = tile_cuts(
+        members, guests, block_rows, (max(block_rows, most_members), max(1, most_guests)), (member_bytes, guest_bytes)
+    )
     # One row per pivot at most.
-    guests = {row["cell"]: row["n"] for row in tour.collect()}
-    cuts = [
-        (cell, max(1, math.ceil(int(facts[0][cell]) / block_rows)), math.ceil(n / block_rows))
-        for cell, n in guests.items()
-    ]
+    cuts = [(int(c), int(cut_members[c]), int(cut_guests[c])) for c in np.flatnonzero(guests)]
     plan = F.broadcast(spark.createDataFrame(cuts, "cell int, member_cuts int, guest_cuts int"))
-    asking = visits(index, queries, facts, probes, value_kind(queries))
-    kinds = value_kind(queries), index.kind
-    return search_tiles(index.assigned, asking, plan, kinds, exclude_self=exclude_self)
+    assigned = index.assigned
+    if homes is not None:
+        rows = [(cell, int(home)) for cell, home in enumerate(homes)]
+        to_home = F.broadcast(spark.createDataFrame(rows, "cell int, home int"))
+        assigned = assigned.join(to_home, "cell").select("id", "packed", F.col("home").alias("cell"))
+    asking = visits(index, queries, facts, probes, kinds[0], homes)
+    return search_tiles(assigned, asking, plan, kinds, exclude_self=exclude_self)
+
+
+def _guests(tour: DataFrame, n: int) -> np.ndarray:
+    """How many queries visit each of ``n`` cells."""
+    guests = np.zeros(n, np.int64)
+    for row in tour.groupBy("cell").agg(F.count("*").alias("n")).collect():
+        guests[row["cell"]] = row["n"]
+    return guests
+
+
+def joint_cells(pivots: np.ndarray, n: int) -> np.ndarray:
+    """For each cell which of about ``n`` it is put together with: the nearest of as many pivots."""
+    n = max(1, min(n, len(pivots)))
+    homes = np.empty(len(pivots), np.int64)
+    step = max(1, blocks.MATRIX_CELLS // n)
+    for start in range(0, len(pivots), step):
+        homes[start : start + step] = (pivots[start : start + step] @ pivots[:n].T).argmax(axis=1)
+    return homes
+
+
+def tile_cuts(members, guests, block_rows: int, most: tuple[int, int], weights: tuple[int, int]):
+    """Into how many parts the members and the guests of each cell are cut. A member goes to all
+    parts of the guests and a guest to all parts of the members, so parts of ``block_rows`` would
+    multiply both sides as the tables grow: they are doubled, up to the ``most`` that a task can
+    hold, until the copies weigh no more than COPIES of the rows themselves, or COPY_BYTES."""
+    rows = np.minimum(block_rows, most)
+    allowed = max(COPY_BYTES, COPIES * int(members.sum() * weights[0] + guests.sum() * weights[1]))
+    while True:
+        cuts = [np.maximum(1, -(-side // part)) for side, part in zip((members, guests), rows, strict=True)]
+        here = guests > 0
+        weight = (members * cuts[1] * weights[0] + guests * cuts[0] * weights[1])[here].sum()
+        if weight <= allowed or (rows >= most).all():
+            return cuts
+        rows = np.minimum(2 * rows, most)
 
 
 def search_tiles(

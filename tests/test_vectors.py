@@ -158,6 +158,34 @@ def test_tiles_are_bounded(spark, points):
     assert whole.groupBy("query_id").count().agg(F.max("count")).head()[0] <= 3 * 3
 
 
+def test_tiles_copy_rows_a_bounded_number_of_times(spark, points, monkeypatch):
+    """However small the blocks that are asked for, once copies weigh anything."""
+    monkeypatch.setattr(cells, "COPY_BYTES", 0, raising=False)
+    copies, search_tiles = [], cells.search_tiles
+
+    def counted(members, asking, plan, kinds, **options):
+        copies.append(members.join(plan, "cell").agg(F.sum("guest_cuts")).head()[0])
+        copies.append(asking.join(plan, "cell").agg(F.sum("member_cuts")).head()[0])
+        return search_tiles(members, asking, plan, kinds, **options)
+
+    monkeypatch.setattr(cells, "search_tiles", counted)
+    hits = neighbours_of_all(frame(spark, points, "id"), 5, strategy="cells", block_rows=2, n_cells=9)
+    assert got(hits) == brute(points, points, 5, exclude_self=True)
+    assert len(copies) == 4 and max(copies) <= 6 * len(points)
+
+
+def test_tile_cuts_of_large_tables():
+    """Tiles grow up to what a task holds, and not beyond."""
+    members, guests = np.array([20_000, 80_000]), np.array([3_000_000, 9_000_000])
+    by_member, by_guest = cells.tile_cuts(members, guests, 200, (131_072, 200_000), (320, 576))
+    assert by_member.max() <= 4 and (-(-members // by_member) <= 131_072).all()
+    assert (-(-guests // by_guest) <= 200_000).all()
+    moved = (members * by_guest * 320 + guests * by_member * 576).sum()
+    assert moved <= 2 * (members * 320 + guests * 576).sum()
+    small = cells.tile_cuts(np.array([450]), np.array([900]), 200, (131_072, 200_000), (320, 576))
+    assert [cuts.tolist() for cuts in small] == [[3], [5]]
+
+
 @pytest.mark.parametrize(("n", "k"), [(5, 3), (300, 3), (300, 40)])
 def test_nearest_columns(n, k):
     """With exact ties, and with rows that only differ beyond single precision."""
