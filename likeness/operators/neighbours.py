@@ -77,8 +77,9 @@ def nearest(
     ``queries`` has (query_id, vector) and, unless ``k`` is given, its own k;
     ``vectors`` has (id, vector). Ties go to the smaller id. ``exclude_self`` leaves out
     the row whose id equals the query_id. ``strategy`` is ``auto``, ``hold_vectors``,
-    ``hold_queries`` (both still checked against the bound) or ``cells``. ``dim`` is read
-    from the first vector unless given.
+    ``hold_queries`` (both still checked against the bound), ``queries_first`` (the queries
+    are held if they fit the bound, else as ``cells``) or ``cells``. ``dim`` is read from the
+    first vector unless given.
     """
     queries = with_k(queries, k)
     vectors = vectors.select("id", "vector")
@@ -101,7 +102,7 @@ def nearest(
             raise ValueError("the vectors exceed broadcast_bytes")
 
     queries = cut(queries)
-    if strategy in ("auto", "hold_queries"):
+    if strategy in ("auto", "hold_queries", "queries_first"):
         # The answers of one block weigh k × 16 bytes per query and count as well.
         table = held_if_small(queries, broadcast_bytes // row_bytes)
         if table is not None and table.num_rows == 0:

@@ -636,7 +636,7 @@ def v9_similar_to_one(spark, sf_dir):
 
 def _other_ways() -> None:
     """The request queries again, by the ways that large tables take."""
-    ways = {"tiles": TILES, "one_pass": {"strategy": "hold_queries", "block_rows": 200}}
+    ways = {"tiles": TILES, "one_pass": {"strategy": "queries_first", "block_rows": 200}}
     for run in (v7_similar, v7_similar_refill, f10_filtered_similar, v8_browse_similar):
         for way, options in ways.items():
             query(f"{run.__name__}_{way}", ORACLES[run.__name__])(partial(run, **options))

@@ -186,6 +186,16 @@ def test_tile_cuts_of_large_tables():
     assert [cuts.tolist() for cuts in small] == [[3], [5]]
 
 
+def test_one_pass_queries_answer_more_than_can_be_held(spark):
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    for name in ("v7_similar", "v7_similar_refill", "f10_filtered_similar", "v8_browse_similar"):
+        want = sorted(map(str, entry.queries()[name](spark, folder).collect()))
+        got = entry.queries()[f"{name}_one_pass"](spark, folder, broadcast_bytes=1000)
+        assert sorted(map(str, got.collect())) == want
+
+
 @pytest.mark.parametrize(("n", "k"), [(5, 3), (300, 3), (300, 40)])
 def test_nearest_columns(n, k):
     """With exact ties, and with rows that only differ beyond single precision."""
