@@ -32,6 +32,8 @@ MORE_BYTES = 1024 * 1024
 BATCH_RECORDS = 1024
 # Tasks that look at ranges for the first time.
 MOST_TASKS = 10_000
+# Ranges of less than RANGE_BYTES; a task and a row on the driver for each is too much of more.
+SMALL_RANGES = 256
 MARKS = re.compile(rb'\\.|["{}\[\]]', re.DOTALL)
 BLANKS = b" \t\r\n\xef\xbb\xbf"
 
@@ -95,8 +97,11 @@ SUMMARY = "path string, start long, end long, flips boolean, outside long, insid
 
 
 def file_ranges(spark: SparkSession, path: str, range_bytes: int) -> DataFrame:
-    """(path, start, end, size) of all files below ``path``; their contents are not read."""
+    """(path, start, end, size) of all files below ``path``; their contents are not read. Small
+    ranges grow, up to RANGE_BYTES, where there were too many of them."""
     files = spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"))
+    total = files.agg(F.sum("size")).head()[0] or 0
+    range_bytes = max(range_bytes, min(RANGE_BYTES, -(-total // SMALL_RANGES)))
     starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))
     cut = files.filter("size > 0").select("path", "size", F.explode(starts).alias("start"))
     return cut.withColumn("end", F.least(F.col("start") + range_bytes, "size"))
@@ -174,6 +179,10 @@ class ArrayReader(DataSourceReader):
     def __init__(self, ranges: list[dict]):
         self.ranges = ranges
 
+    def __getstate__(self):
+        """Each task is sent a reader, and its own range beside it; not all ranges."""
+        return {"ranges": []}
+
     def partitions(self):
         return [Range(part) for part in self.ranges]
 

@@ -77,3 +77,13 @@ def test_one_file_is_many_tasks_and_equals_spark(spark, tmp_path):
     with pytest.raises(Exception):
         (folder / "two.json").write_text('[{"id": nonsense}]')
         read_cards(spark, str(folder), "array_ranges").collect()
+
+
+def test_small_ranges_do_not_grow_in_number(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(arrays, "SMALL_RANGES", 20, raising=False)
+    want = values(300, 8)
+    for name in "ab":
+        (tmp_path / f"{name}.json").write_text(json.dumps(want, indent=1))
+    assert arrays.file_ranges(spark, str(tmp_path), 16).count() <= 20 + 2
+    got = [json.loads(r["value"]) for r in arrays.array_records(spark, str(tmp_path), 16).collect()]
+    assert sorted(map(json.dumps, got)) == sorted(map(json.dumps, want * 2))
