@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 from pyspark.sql import Window
@@ -21,6 +22,8 @@ from likeness.sources.cards import read_cards
 from likeness.streaming.ingest import card_stream, reembed_all, run_ingest
 
 DIM = 64
+# Records that the queries below write to one file, beyond a few files.
+FILE_RECORDS = 50_000
 CONFIG = encode.EncodeConfig(model="hashing-64", include_name=True, tags_weight=2)
 
 
@@ -41,13 +44,19 @@ def _read(spark, path, layout, **how):
     )
 
 
+def _files(spark, sf_dir, least: int) -> int:
+    """How many files all raw records are written to, so that no task has too many of them."""
+    most = V.table(spark, sf_dir, "part").count() + V.table(spark, sf_dir, "documents").count()
+    return max(least, math.ceil(most / FILE_RECORDS))
+
+
 def _write_arrays(spark, sf_dir, pretty: bool = False) -> str:
     """Files of one JSON array each, with one record per line, or one value per line."""
     path = fresh_dir(spark, "cards-array")
     raw = V.raw_cards(spark, sf_dir)
     how = {"pretty": str(pretty).lower()}
     rows = raw.select("id", F.to_json(F.struct(*raw.columns), how).alias("card"))
-    rows = rows.withColumn("file", F.pmod(F.xxhash64("id"), F.lit(8)))
+    rows = rows.withColumn("file", F.pmod(F.xxhash64("id"), F.lit(_files(spark, sf_dir, 8))))
     of_file = Window.partitionBy("file").orderBy("id")
     first, last = F.lag("id").over(of_file).isNull(), F.lead("id").over(of_file).isNull()
     start = F.when(first, F.lit("[\n")).otherwise("")
@@ -255,16 +264,17 @@ def _table(spark) -> vector_table.VectorTable:
     return vector_table.VectorTable(spark, fresh_dir(spark, "vector-table"), VECTOR)
 
 
-def _source(spark, raw) -> str:
-    """The records as a folder of a few files, as they would be delivered."""
-    path = fresh_dir(spark, "stream-source")
-    raw.repartition(4, "id").write.parquet(path)
-    return path
+def _deliver(rows, path: str, least: int, files: int) -> None:
+    """Append rows to a folder as ``least`` files, or as more by a hash of their ids."""
+    spread = rows.coalesce(least) if files <= least else rows.repartition(files, "id")
+    spread.write.mode("append").parquet(path)
 
 
 def _ingested(spark, sf_dir) -> vector_table.VectorTable:
     raw, table = V.raw_cards(spark, sf_dir), _table(spark)
-    stream = card_stream(spark, _source(spark, raw))
+    source, files = fresh_dir(spark, "stream-source"), _files(spark, sf_dir, 4)
+    raw.repartition(files, "id").write.parquet(source)
+    stream = card_stream(spark, source, math.ceil(files / 4))
     checkpoint = fresh_dir(spark, "stream-checkpoint")
     run_ingest(stream, table, checkpoint, _hashing, CONFIG, total=raw.count())
     return table
@@ -322,11 +332,14 @@ def t2_single_batch(spark, sf_dir):
     raw, table = V.raw_cards(spark, sf_dir), _table(spark)
     source, checkpoint = fresh_dir(spark, "in"), fresh_dir(spark, "stream-checkpoint")
     even = F.col("id").cast("bigint") % 2 == 0
-    raw.filter(even).coalesce(1).write.parquet(source)
-    raw.filter(~even).coalesce(1).write.mode("append").parquet(source)
+    # Both deliveries have as many files, which are one step.
+    sizes = raw.agg(F.count_if(even), F.count_if(~even)).head()
+    files = max(1, math.ceil(min(sizes) / FILE_RECORDS))
+    for rows in (raw.filter(even), raw.filter(~even)):
+        _deliver(rows, source, 1, files)
 
     def go(most):
-        return run_ingest(card_stream(spark, source), table, checkpoint, _hashing, CONFIG, most)
+        return run_ingest(card_stream(spark, source, files), table, checkpoint, _hashing, CONFIG, most)
 
     steps, stored = go(1), table.read().count()
     left = go(None)
@@ -345,11 +358,12 @@ def t4_repeat_delivery(spark, sf_dir):
     raw, table = V.raw_cards(spark, sf_dir), _table(spark)
     older = raw.withColumn("name", F.concat("name", F.lit(" (older)")))
     source, checkpoint = fresh_dir(spark, "in"), fresh_dir(spark, "stream-checkpoint")
+    files = _files(spark, sf_dir, 2)
     for rows in (older.filter(F.col("id").endswith("1")), raw):
-        rows.coalesce(2).write.mode("append").parquet(source)
-        run_ingest(card_stream(spark, source, 2), table, checkpoint, _hashing, CONFIG)
+        _deliver(rows, source, 2, files)
+        run_ingest(card_stream(spark, source, files), table, checkpoint, _hashing, CONFIG)
         table.compact()
-    again = fresh_dir(spark, "in")
-    raw.filter(F.col("id").endswith("5")).coalesce(1).write.parquet(again)
-    run_ingest(card_stream(spark, again), table, fresh_dir(spark, "cp"), _hashing, CONFIG)
+    again, few = fresh_dir(spark, "in"), math.ceil(files / 10)
+    _deliver(raw.filter(F.col("id").endswith("5")), again, 1, few)
+    run_ingest(card_stream(spark, again, few), table, fresh_dir(spark, "cp"), _hashing, CONFIG)
     return table.read().select("id", "text_hash")

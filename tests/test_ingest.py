@@ -280,3 +280,25 @@ def test_batch_files(spark, tmp_path):
     assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()))
     first = back.filter(F.col("id") == "c0").head()["properties"]
     assert first["name"] == "Card 0" and first["cmc"] is None and first["colors"] == []
+
+
+@pytest.mark.parametrize("name", ["t1_ingest_stream", "s9_manifest_latest", "t2_single_batch", "t4_repeat_delivery", "s1_read_arrays"])
+def test_queries_write_files_of_bounded_size(spark, name, monkeypatch):
+    """One task writes a file, and one step or task reads it; the results stay the same."""
+    from likeness.plans import ingest_plans
+    from likeness.plans.registry import QUERIES
+
+    folder, written = "/root/testdata/sf0.001", []
+
+    def noted(*args, f=ingest_plans.fresh_dir):
+        written.append(f(*args))
+        return written[-1]
+
+    want = sorted(map(str, QUERIES[name](spark, folder).collect()))
+    monkeypatch.setattr(ingest_plans, "fresh_dir", noted)
+    monkeypatch.setattr(ingest_plans, "FILE_RECORDS", 25, raising=False)
+    assert sorted(map(str, QUERIES[name](spark, folder).collect())) == want
+    source = next(p for p in written if any(x in p for x in ("/in-", "/stream-source-", "/cards-array-")))
+    rows = spark.read.text(source) if "cards-array" in source else spark.read.parquet(source)
+    sizes = rows.groupBy(F.input_file_name()).count().agg(F.max("count")).head()[0]
+    assert sizes <= 4 * 25
