@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,7 +15,11 @@ from likeness.functions.vectors import l2_normalize, seeded_vector
 from likeness.operators import encoders
 from likeness.operators.centroid import centroids
 from likeness.operators.flatten import drop_without_id, embedding_texts
+from likeness.operators.resolve import in_tasks
+from likeness.session import cut
 
+# What the token vectors that every executor holds at a time may weigh.
+HELD_BYTES = 256 * 1024 * 1024
 STAMP = ["model", "include_name", "tags_weight", "text_hash"]
 
 
@@ -115,8 +121,19 @@ def hashed_vectors(df: DataFrame, dim: int = 768) -> DataFrame:
 def pooled_vectors(tokens: DataFrame, token_vectors: DataFrame, dim: int) -> DataFrame:
     """(id, vector): mean of the token vectors of each text, at unit length.
 
-    ``tokens`` has (id, token), ``token_vectors`` (token, vector). A token that comes
-    again is counted before the join, and joins once per text.
-    """
-    counted = tokens.groupBy("id", "token").agg(F.count("*").alias("n"))
-    return centroids(counted.join(token_vectors, "token"), "id", dim, F.col("n"))
+    ``tokens`` has (id, token), ``token_vectors`` (token, vector). Tokens are dealt out by text,
+    once; a token that comes again is counted before the join. The vectors go to the tokens, in
+    blocks of HELD_BYTES at most, as the sums of a text weigh far more than its tokens: with one
+    block they are never shuffled, else once for each text and block."""
+    dealt = in_tasks(tokens.select("id", "token"), "id")
+    counted = dealt.groupBy("id", "token").agg(F.count("*").alias("n"))
+    blocks = max(1, math.ceil(token_vectors.count() * (8 * dim + 64) / HELD_BYTES))
+    if blocks == 1:
+        joined = counted.join(F.broadcast(token_vectors), "token")
+        return centroids(joined, "id", dim, F.col("n"))
+    counted, block = cut(counted), F.pmod(F.xxhash64("token"), F.lit(blocks))
+    parts = [
+        counted.filter(block == b).join(F.broadcast(token_vectors.filter(block == b)), "token")
+        for b in range(blocks)
+    ]
+    return centroids(reduce(DataFrame.unionByName, parts), "id", dim, F.col("n"))
