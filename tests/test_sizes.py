@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
-from likeness.operators import resolve
+from likeness.operators import browse, encode, resolve
 
 
 def test_names_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
@@ -21,3 +22,97 @@ def test_names_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
     wanted = Counter((q, n.strip()) for q, n in rows if n and n.strip())
     found = resolve.counted_names(named).collect()
     assert {(r["query_id"], r["name"]): r["n"] for r in found} == wanted and len(found) == len(wanted)
+
+
+CARD = "id string, name string, cmc double, type_line string, colors array<string>"
+
+
+def some_cards(spark):
+    names = ["red ring", "red bolt", "blue ring", "blue bolt"]
+    rows = [(str(i), names[i % 4], float(i % 3), "Artifact", ["W"]) for i in range(60)]
+    return spark.createDataFrame([*rows, ("x", None, 1.0, "Artifact", None)], CARD)
+
+
+def some_requests(spark):
+    """Of one kind with other ids and directions, one id twice, no id, no pattern."""
+    rows = [(i, ("ring", "RED", " blue*t\t", None)[i % 4], ("asc", "desc")[i % 2], "cmc") for i in range(40)]
+    rows += [(50, "ring", "asc", "name"), (50, "ring", "asc", "name"), (None, "ring", "asc", "name")]
+    own = [F.lit(False).alias("legendary"), F.lit("art").alias("type_filter"), F.lit("").alias("colors_filter")]
+    own += [F.lit(1).alias("cmc_min"), F.lit(None).cast("int").alias("cmc_max")]
+    asked = spark.createDataFrame(rows, "query_id int, q string, `order` string, sort string")
+    return asked.select("*", *own)
+
+
+PATTERNS = {"ring": ("red ring", "blue ring"), "RED": ("red ring", "red bolt"), " blue*t\t": ("blue bolt",)}
+
+
+def test_a_search_without_limit_is_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(browse, "TILE_ROWS", 4)
+    monkeypatch.setattr(browse, "TASK_ROWS", 20)
+    cards, requests = some_cards(spark), some_requests(spark)
+    found = browse.search(cards.select("id", "name"), requests)
+    assert found.columns == ["query_id", "name", "id"]
+    wanted = Counter(
+        (r["query_id"], c["name"], c["id"])
+        for r in requests.collect()
+        for c in cards.collect()
+        if c["name"] in PATTERNS.get(r["q"], ())
+    )
+    assert Counter(map(tuple, found.collect())) == wanted
+    most = max(r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect())
+    assert most < found.count() / 4
+
+
+def test_requests_of_one_kind_are_listed_once(spark, monkeypatch):
+    monkeypatch.setattr(browse, "TILE_ROWS", 4)
+    placed = []
+    inner = browse.places_in_request
+    monkeypatch.setattr(
+        browse, "places_in_request", lambda hits, **how: placed.append(hits.count()) or inner(hits, **how)
+    )
+    cards, requests = some_cards(spark), some_requests(spark)
+    found = browse.search_listing(cards, requests).collect()
+    # 30 requests of three kinds with 20, 20 and 10 cards of which two thirds pass.
+    assert placed == [20 + 20 + 10]
+    lists = {}
+    for row in found:
+        lists.setdefault(row["query_id"], []).append(row)
+    assert set(lists) == {i for i in range(40) if i % 4 < 3} | {50}
+    for r in requests.filter("query_id IS NOT NULL AND query_id < 50 AND q IS NOT NULL").collect():
+        hits = [c for c in cards.collect() if c["name"] in PATTERNS[r["q"]] and c["cmc"] >= 1]
+        hits = sorted(((c["cmc"], c["name"], c["id"]) for c in hits), reverse=r["order"] == "desc")
+        given = sorted(lists[r["query_id"]], key=lambda x: x["position"])
+        assert [(x["cmc"], x["name"], x["id"]) for x in given] == hits
+        assert [x["position"] for x in given] == list(range(1, len(hits) + 1))
+    # Two rows of one id are one list of all pairs of them, as before.
+    assert sorted(x["position"] for x in lists[50]) == list(range(1, 4 * 20 + 1))
+
+
+def test_printings_are_shown_once_for_each_name(spark, monkeypatch):
+    monkeypatch.setattr(browse, "TILE_ROWS", 4)
+    monkeypatch.setattr(browse, "TASK_PRINTINGS", 100)
+    more = [F.lit("s").alias("set"), F.col("id").alias("collector_number"), F.lit("r").alias("rarity")]
+    more += [F.lit("").alias("image_normal"), F.lit('{"modern":"legal"}').alias("legalities")]
+    cards = some_cards(spark).select("*", *more)
+    pages = browse.card_pages(cards, cards.select("id"), None, lambda p: F.array_join(F.transform(p, lambda x: x["id"]), " "))
+    pages = pages.collect()
+    assert len(pages) == 61
+    for page in pages:
+        same = sorted((int(c["id"]) for c in pages if c["name"] == page["name"]), key=int) if page["name"] else None
+        assert page["n_printings"] == (len(same) if same else None)
+        assert page["printings"] == (" ".join(map(str, same)) if same else None)
+
+
+def test_token_vectors_come_in_blocks(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [float(i), 1.0, -i / 3]) for i in range(50)], "token int, vector array<double>")
+    tokens = spark.createDataFrame([(f"d{i % 9}", i * 7 % 60) for i in range(300)], "id string, token int")
+    whole = {r["id"]: r["vector"] for r in encode.pooled_vectors(tokens, vectors, 3).collect()}
+    monkeypatch.setattr(encode, "HELD_BYTES", 1000)
+    parts = encode.pooled_vectors(tokens, vectors, 3).collect()
+    assert len(parts) == len(whole) == 9
+    for row in parts:
+        assert row["vector"] == pytest.approx(whole[row["id"]])
+        own = [t for i in range(300) if f"d{i % 9}" == row["id"] for t in [i * 7 % 60] if t < 50]
+        mean = [sum(own), float(len(own)), -sum(own) / 3]
+        size = sum(x * x for x in mean) ** 0.5
+        assert row["vector"] == pytest.approx([x / size for x in mean])
