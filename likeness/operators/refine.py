@@ -34,6 +34,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LENGTH, STILL, ROUNDS = 2.5, 0.002, 12
 # Orders by hyperplanes that the first lists are taken from, and planes of each.
 ORDERS, BITS = 4, 16
+# What all vectors may weigh to be held by every task.
+HELD_BYTES = 256 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -87,16 +89,23 @@ def first_lists(vectors: DataFrame, length: int, total: int) -> DataFrame:
     return cut(cutoff.select("id", "other", "distance", F.lit(True).alias("fresh")))
 
 
-def met(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+def met(
+    batches: Iterator[pa.RecordBatch], kind: str, length: int | None = None, values=None
+) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by ``at``. Of all rows of one ``at``, the pairs of which one is fresh and
-    that are near enough for one of their lists, as (id, other, distance)."""
+    that are near enough for one of their lists, as (id, other, distance); for each row the
+    ``length`` nearest of them, if given, and what ties with the last. Vectors are ``packed`` in the rows, or
+    ``values`` (a broadcast) by the number ``row``."""
 
     def compared(table: pa.Table) -> Iterator[pa.RecordBatch]:
         at = table["at"].combine_chunks()
         codes = at.dictionary_encode().indices.to_numpy()
         edges = np.flatnonzero(np.diff(codes)) + 1
         starts, ends = [0, *edges.tolist()], [*edges.tolist(), len(codes)]
-        rows = blocks.unit_rows(blocks.unpacked(table["packed"], kind))
+        if values is None:
+            rows = blocks.unit_rows(blocks.unpacked(table["packed"], kind))
+        else:
+            rows = blocks.unit_rows(values.value[table["row"].to_numpy()].astype(np.float64))
         fresh = table["fresh"].to_numpy(zero_copy_only=False).astype(bool)
         bound = table["bound"].to_numpy(zero_copy_only=False)
         found: list[tuple] = []
@@ -105,7 +114,11 @@ def met(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch
             far = np.round(1.0 - some @ some.T, blocks.TIE_DECIMALS) + 0.0
             new = fresh[start:end, None] | fresh[None, start:end]
             np.fill_diagonal(new, False)
-            one, two = np.nonzero(new & (far <= bound[start:end, None]))
+            far = np.where(new & (far <= bound[start:end, None]), far, np.inf)
+            if length is not None and end - start > length:
+                last = np.partition(far, length - 1, axis=1)[:, length - 1 : length]
+                far = np.where(far <= last, far, np.inf)
+            one, two = np.nonzero(np.isfinite(far))
             found.append((one + start, two + start, far[one, two]))
         one, two, far = (np.concatenate(c) for c in zip(*found, strict=True))
         ids = table["id"].combine_chunks()
@@ -142,6 +155,15 @@ def brought_together(lists: DataFrame, length: int, turn: int) -> DataFrame:
     return both.groupBy("at", "id").agg(F.max("fresh").alias("fresh"))
 
 
+def numbered(packed: DataFrame, kind: str):
+    """(held, numbers): the raw values of (id, packed) as a broadcast matrix, and (id, row)."""
+    spark, table = packed.sparkSession, packed.toArrow()
+    raw = np.frombuffer(b"".join(table["packed"].to_pylist()), kind).reshape(table.num_rows, -1)
+    rows = pa.table([table["id"], pa.array(np.arange(table.num_rows, dtype=np.int32))], names=["id", "row"])
+    schema = T.StructType([packed.schema["id"], T.StructField("row", T.IntegerType())])
+    return spark.sparkContext.broadcast(raw), cut(spark.createDataFrame(rows, schema))
+
+
 def refined(
     vectors: DataFrame,
     k: int,
@@ -149,9 +171,11 @@ def refined(
     length: int | None = None,
     still: float = STILL,
     rounds: int = ROUNDS,
+    held_bytes: int = HELD_BYTES,
 ) -> Graph:
     """Lists of ``length`` nearest others of each row of (id, vector), after as many rounds as it
-    takes. Ids are unique. Null vectors are an error, as they are in the exact search."""
+    takes. Ids are unique. Null vectors are an error, as they are in the exact search. Vectors of
+    up to ``held_bytes`` are held by all tasks, so that only their numbers are moved in a round."""
     vectors = cut(vectors.select("id", "vector"))
     length = length or max(k, math.ceil(LENGTH * k))
     total, kind = vectors.count(), cells.value_kind(vectors)
@@ -160,6 +184,10 @@ def refined(
         return Graph(vectors.sparkSession.createDataFrame([], schema), ())
     one = hashing.planes(1, 1, neighbours.dimension(vectors))
     packed = cut(hashing.coded(vectors, one).select("id", "packed"))
+    row_bytes = np.dtype(kind).itemsize * (neighbours.dimension(vectors) or 1) + 64
+    held, side = None, "packed"
+    if total * row_bytes <= held_bytes:
+        held, packed, side = *numbered(packed, kind), "row"
     lists, changes = first_lists(vectors, length, total), []
     for turn in range(rounds):
         full = F.when(F.count("*") >= length, F.max("distance")).otherwise(F.lit(math.inf))
@@ -167,8 +195,8 @@ def refined(
         known = packed.join(bounds, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(math.inf)))
         meeting = brought_together(lists, length, turn).join(known, "id")
         meeting = meeting.repartition("at").sortWithinPartitions("at")
-        meeting = meeting.select("at", "id", "fresh", "packed", "bound")
-        pairs = meeting.mapInArrow(lambda batches: met(batches, kind), schema)
+        meeting = meeting.select("at", "id", "fresh", side, "bound")
+        pairs = meeting.mapInArrow(lambda batches: met(batches, kind, length, held), schema)
         tried = pairs.withColumn("fresh", F.lit(True)).unionByName(lists.withColumn("fresh", F.lit(False)))
         once = tried.groupBy("id", "other").agg(
             F.min("distance").alias("distance"), F.min("fresh").alias("fresh")

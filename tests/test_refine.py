@@ -69,3 +69,22 @@ def test_few_rows_and_copies(spark):
     same = spark.createDataFrame([(str(i), [1.0, 2.0]) for i in range(300)], schema)
     got = refine.neighbour_graph(same, 4)
     assert got.count() == 1200 and got.agg(F.max("distance")).head()[0] == 0.0
+
+
+def test_vectors_that_can_be_held_are_not_moved(spark, monkeypatch):
+    """The same lists, with only the numbers of the vectors in what is brought together."""
+    data = [(str(i), [float(x) for x in row]) for i, row in enumerate(np.random.default_rng(5).normal(size=(300, 8)))]
+    vectors = spark.createDataFrame(data, "id string, vector array<float>")
+    moved = []
+    told = refine.met
+
+    def watched(batches, *how):
+        batches = list(batches)
+        for batch in batches:
+            assert ("packed" in batch.schema.names) == (how[2] is None)
+        return told(iter(batches), *how)
+
+    monkeypatch.setattr(refine, "met", watched)
+    for held_bytes in (0, refine.HELD_BYTES):
+        moved.append(sorted(map(tuple, refine.refined(vectors, 4, rounds=3, held_bytes=held_bytes).lists.collect())))
+    assert moved[0] == moved[1] and len(moved[0]) == 300 * 10
