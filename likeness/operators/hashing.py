@@ -36,6 +36,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 TABLES, BUCKET_ROWS, PROBES = 16, 1024, 5
 # Codes are made of so many bits at most; other sides are tried of so many planes.
 MOST_BITS, NEAR_PLANES = 24, 4
+# Values that the vectors of one slice of a batch have under all their codes.
+BATCH_CELLS = 2_000_000
 
 
 def planes(tables: int, bits: int, dim: int) -> np.ndarray:
@@ -87,6 +89,16 @@ class Hashed:
     drawn: int
 
 
+def few_at_a_time(batches: Iterator[pa.RecordBatch], normals: np.ndarray, probes: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batches, none empty, so that what a worker holds does not grow with a batch: the
+    copies of a slice's vectors under all codes, and the sides it tries, are BATCH_CELLS at most."""
+    tables, _, dim = normals.shape
+    step = max(1, BATCH_CELLS // (tables * max(probes * dim, 2**NEAR_PLANES)))
+    for batch in batches:
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
 def coded(vectors: DataFrame, normals: np.ndarray) -> DataFrame:
     """(id, packed, cell): each row once for each table."""
     held, kind = vectors.sparkSession.sparkContext.broadcast(normals), cells.value_kind(vectors)
@@ -95,14 +107,13 @@ def coded(vectors: DataFrame, normals: np.ndarray) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                rows = blocks.matrix(batch["vector"], held.value.shape[2])
-                cell = codes(sides(rows, held.value))
-                each = pa.array(np.repeat(np.arange(len(rows)), cell.shape[1]))
-                raw = blocks.packed(batch["vector"], kind)
-                columns = [batch["id"].take(each), raw.take(each), pa.array(cell.ravel())]
-                yield pa.record_batch(columns, names=["id", "packed", "cell"])
+        for batch in few_at_a_time(batches, held.value, 1):
+            rows = blocks.matrix(batch["vector"], held.value.shape[2])
+            cell = codes(sides(rows, held.value))
+            each = pa.array(np.repeat(np.arange(len(rows)), cell.shape[1]))
+            raw = blocks.packed(batch["vector"], kind)
+            columns = [batch["id"].take(each), raw.take(each), pa.array(cell.ravel())]
+            yield pa.record_batch(columns, names=["id", "packed", "cell"])
 
     return vectors.select("id", "vector").mapInArrow(run, schema)
 
@@ -121,9 +132,7 @@ def looked_up(queries: DataFrame, normals: np.ndarray, probes: int) -> DataFrame
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in few_at_a_time(batches, held.value, probes):
             rows = blocks.matrix(batch["vector"], held.value.shape[2])
             cell = probed(sides(rows, held.value), probes).reshape(len(rows), -1)
             each = pa.array(np.repeat(np.arange(len(rows)), cell.shape[1]))

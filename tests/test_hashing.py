@@ -67,3 +67,14 @@ def test_few_rows(spark, n):
     assert {(r.query_id, r.id) for r in found if r.rank == 1} == {(i, i) for i in range(n)}
     none = hashing.search_hashed(index, queries.limit(0), 2)
     assert none.collect() == [] and hashing.pair_share(index, queries.limit(0)).head()["pairs"] == 0
+
+
+def test_slices_of_a_batch_are_coded_a_few_rows_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(hashing, "BATCH_CELLS", 4000)
+    normals = hashing.planes(10, 4, 8)
+    batch = pa.record_batch([pa.array(range(1000))], names=["id"])
+    slices = list(hashing.few_at_a_time(iter([batch, batch.slice(0, 0)]), normals, 5))
+    assert max(len(s) for s in slices) <= 10 and sum(len(s) for s in slices) == 1000
+    assert pa.Table.from_batches(slices)["id"].to_pylist() == list(range(1000))
