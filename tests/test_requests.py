@@ -262,3 +262,41 @@ def test_intermediate_results_can_be_discarded(spark):
     assert session.path_exists(spark, path) and path.startswith(session.own_dir(spark))
     kept = session.delete_path(spark, path)
     assert kept and not session.path_exists(spark, path)
+
+
+@pytest.mark.parametrize("how", [{}, {"refill": True, "strategy": "cells", "n_cells": 2}])
+def test_requests_of_the_same_items_are_searched_once(spark, cards, vectors, monkeypatch, how):
+    """Each takes its own number of hits; ids that repeat are still ranked together."""
+    rows = [(i, ["Jay", "Redwood"][: 1 + i % 2], 1 + i % 3) for i in range(40)]
+    asked = spark.createDataFrame(rows, "query_id int, names array<string>, k int")
+    searched, nearest, same = [], similar.nearest, similar.same_members
+
+    def watched(queries, *args, **options):
+        searched.append(queries.count())
+        return nearest(queries, *args, **options)
+
+    def hits(requests):
+        found = similar.similar(requests, cards, vectors, **how)[0].collect()
+        return sorted((r["query_id"], r["rank"], r["id"]) for r in found)
+
+    monkeypatch.setattr(similar, "nearest", watched)
+    once, twice = hits(asked), hits(asked.unionByName(asked.filter("query_id = 1")))
+    monkeypatch.setattr(similar, "same_members", lambda m: same(m).withColumn("like", F.col("query_id")))
+    assert once == hits(asked) and len({q for q, _, _ in once}) >= 30
+    assert [h for h in twice if h[0] != 1] == [h for h in once if h[0] != 1]
+    assert searched == [2, 2, 2, 40]
+
+
+def test_the_same_item_is_browsed_once(spark, cards, vectors, monkeypatch):
+    rows = [(i, "1" if i % 2 else "", "Jay", "", None, False, "", "", -1, -1, "", "asc") for i in range(30)]
+    searched, nearest = [], similar.nearest
+
+    def watched(queries, *args, **options):
+        searched.append(queries.count())
+        return nearest(queries, *args, **options)
+
+    monkeypatch.setattr(similar, "nearest", watched)
+    listed = similar.browse_similar(spark.createDataFrame(rows, BROWSE), cards, vectors).collect()
+    assert searched[0] <= 2 and len({r["query_id"] for r in listed}) == 30
+    one = sorted((r["position"], r["id"]) for r in listed if r["query_id"] == 1)
+    assert len(one) == 6 and all(one == sorted((r["position"], r["id"]) for r in listed if r["query_id"] == i) for i in (3, 29))
