@@ -20,6 +20,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 TIE_DECIMALS = 12
 # Cells of one distance matrix: 2M doubles are 16 MB, a few copies of which are alive.
 MATRIX_CELLS = 2_000_000
+# Rows that are made doubles of unit length at a time; the others stay as they came.
+BLOCK_ROWS = 8_192
 
 
 def combined(column):
@@ -29,8 +31,8 @@ def combined(column):
     return column
 
 
-def matrix(vectors, dim=None):
-    """Rows of an Arrow list column as doubles; all must have the same length."""
+def matrix(vectors, dim=None, kind=np.float64):
+    """Rows of an Arrow list column, as doubles unless told; all must have the same length."""
     vectors = combined(vectors)
     if len(vectors) == 0:
         return np.empty((0, dim or 0))
@@ -38,7 +40,7 @@ def matrix(vectors, dim=None):
     if len(lengths) != 1 or lengths[0] is None or dim not in (None, lengths[0]):
         raise ValueError(f"vectors must all have {dim or 'one'} dimensions, found {lengths}")
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64).reshape(len(vectors), lengths[0])
+    return flat.astype(kind).reshape(len(vectors), lengths[0])
 
 
 def packed(vectors, kind):
@@ -53,18 +55,27 @@ def packed(vectors, kind):
     return pa.Array.from_buffers(pa.binary(), len(rows), buffers)
 
 
+def raw_rows(column, kind):
+    """Rows of a packed column in their own kind; all must have the same length."""
+    parts, lengths = [], set()
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if len(chunk):
+            chunk = chunk.cast(pa.large_binary())
+            _, ends, data = chunk.buffers()
+            ends = np.frombuffer(ends, np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
+            lengths.update(np.unique(np.diff(ends)).tolist())
+            if len(lengths) != 1:
+                raise ValueError("vectors must all have one number of dimensions")
+            values = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind)
+            parts.append(values.reshape(len(chunk), -1))
+    if not parts:
+        return np.empty((0, 0))
+    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
 def unpacked(column, kind):
     """Rows of a packed column as doubles; all must have the same length."""
-    column = combined(column).cast(pa.large_binary())
-    if not len(column):
-        return np.empty((0, 0))
-    _, ends, data = column.buffers()
-    ends = np.frombuffer(ends, np.int64)[column.offset : column.offset + len(column) + 1]
-    lengths = np.unique(np.diff(ends))
-    if len(lengths) != 1:
-        raise ValueError("vectors must all have one number of dimensions")
-    values = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view(kind)
-    return values.reshape(len(column), -1).astype(np.float64)
+    return raw_rows(column, kind).astype(np.float64)
 
 
 def unit_rows(rows):
@@ -82,6 +93,18 @@ def equal_rows(rows):
     return first, group.ravel()
 
 
+def marks(rows):
+    """A number for each row, the same for identical rows; others share one by chance only."""
+    kind = np.dtype(f"u{rows.itemsize}")
+    weights = np.random.default_rng(1).integers(1, 2**63, rows.shape[1], dtype=np.uint64) | np.uint64(1)
+    found = np.empty(len(rows), np.uint64)
+    for start in range(0, len(rows), BLOCK_ROWS):
+        some = np.ascontiguousarray(rows[start : start + BLOCK_ROWS]).view(kind).astype(np.uint64)
+        some ^= some >> np.uint64(23)
+        found[start : start + BLOCK_ROWS] = (some * weights).sum(axis=1, dtype=np.uint64)
+    return found
+
+
 def by_id(ids, rows, most=None):
     """Ids and rows in ascending id order.
 
@@ -93,22 +116,24 @@ def by_id(ids, rows, most=None):
     ids, rows = ids.take(order), rows[order.to_numpy()]
     if most is None or len(rows) <= most:
         return ids, rows
-    _, group = equal_rows(rows)
+    _, group, count = np.unique(marks(rows), return_inverse=True, return_counts=True)
+    often = np.flatnonzero((count > most)[group])
+    if not len(often):
+        return ids, rows
+    _, group = equal_rows(rows[often])
     sets = np.argsort(group, kind="stable")
     starts = np.searchsorted(group[sets], group[sets])
-    keep = np.empty(len(rows), bool)
-    keep[sets] = np.arange(len(rows)) - starts < most
-    if keep.all():
-        return ids, rows
+    keep = np.ones(len(rows), bool)
+    keep[often[sets]] = np.arange(len(often)) - starts < most
     return ids.filter(pa.array(keep)), rows[keep]
 
 
-def nearest_columns(queries, rows, queries_32, rows_32, k):
-    """Column numbers of the k nearest rows per query and their distances, in order.
+def near_columns(queries, rows, queries_32, rows_32, k, worst=None):
+    """(query, column number, distance) of all pairs that may be among the k nearest of a query.
 
-    Rows stand in id order, so ties go to the lower column. Single precision finds the
-    candidates: whatever lies within its error bound of the k-th; their distances are
-    then computed in double precision, so the result does not depend on the first pass.
+    Single precision finds them: whatever lies within its error bound of the k-th, or of
+    ``worst``, the distance of the k-th that a query has already; their distances are then
+    computed in double precision, so the result does not depend on the first pass.
     """
     height, width, dim = len(queries), len(rows), queries.shape[1]
     if width <= 4 * k:
@@ -118,30 +143,71 @@ def nearest_columns(queries, rows, queries_32, rows_32, k):
         opposed = -queries_32 @ rows_32.T
         # A dot product of unit vectors errs by at most (dim + 2) roundings.
         slack = 2 * (dim + 2) * float(np.finfo(np.float32).eps) + 10.0**-TIE_DECIMALS
-        bound = np.partition(opposed, k - 1, axis=1)[:, k - 1 : k] + np.float32(slack)
-        line, column = np.nonzero(opposed <= bound)
+        near = None
+        if worst is not None:
+            near = ~(opposed > (worst - 1.0 + slack).astype(np.float32)[:, None])
+        if near is None or np.count_nonzero(near) > 2 * k * height:
+            bound = np.partition(opposed, k - 1, axis=1)[:, k - 1 : k] + np.float32(slack)
+            near = ~(opposed > bound) if near is None else near & ~(opposed > bound)
+        line, column = np.nonzero(near)
         cosines = np.empty(len(line))
-        step = max(1, MATRIX_CELLS // dim)
+        step = max(1, MATRIX_CELLS // 16 // dim)
         for start in range(0, len(line), step):
             part = slice(start, start + step)
             cosines[part] = np.einsum("ij,ij->i", queries[line[part]], rows[column[part]])
     # Adding 0.0 turns -0.0 into 0.0.
-    values = np.round(1.0 - cosines, TIE_DECIMALS) + 0.0
+    return line, column, np.round(1.0 - cosines, TIE_DECIMALS) + 0.0
+
+
+def first_k(line, column, values, k):
+    """The k pairs of least distance of each query, in order; ties go to the lower column."""
     order = np.lexsort((column, values, line))
     line, column, values = line[order], column[order], values[order]
-    place = np.arange(len(line)) - np.searchsorted(line, line)
-    kept = place < k
-    shape = (height, min(k, width))
-    return column[kept].reshape(shape), values[kept].reshape(shape)
+    kept = np.arange(len(line)) - np.searchsorted(line, line) < k
+    return line[kept], column[kept], values[kept]
+
+
+def nearest_columns(queries, rows, queries_32, rows_32, k):
+    """Column numbers of the k nearest rows per query and their distances, in order.
+
+    Rows stand in id order, so ties go to the lower column.
+    """
+    _, column, values = first_k(*near_columns(queries, rows, queries_32, rows_32, k), k)
+    shape = (len(queries), min(k, len(rows)))
+    return column.reshape(shape), values.reshape(shape)
+
+
+def block_of(n, k):
+    """How many of ``n`` rows are compared at a time: all blocks have nearly as many."""
+    return -(-n // -(-n // max(BLOCK_ROWS, 8 * k)))
+
+
+def nearest_in_blocks(queries, rows, k):
+    """As ``nearest_columns``, for rows of any kind and length, of which only a block at a time
+    is made doubles of unit length. What the first blocks have bounds what others can add; it
+    is put in order each time that twice as many rows have been seen, or much has come."""
+    queries_32, worst, held, ordered, fresh = queries.astype(np.float32), None, [], 0, 0
+    step = block_of(len(rows), k)
+    for start in range(0, len(rows), step):
+        some = unit_rows(rows[start : start + step].astype(np.float64))
+        line, column, values = near_columns(queries, some, queries_32, some.astype(np.float32), k, worst)
+        held.append((line, column + start, values))
+        seen, fresh = start + len(some), fresh + len(line)
+        if seen >= 2 * ordered or seen == len(rows) or fresh > MATRIX_CELLS // 2:
+            held, ordered, fresh = [first_k(*map(np.concatenate, zip(*held, strict=True)), k)], seen, 0
+            if seen >= k:
+                worst = held[0][2].reshape(len(queries), -1)[:, -1]
+    shape = (len(queries), min(k, len(rows)))
+    return held[0][1].reshape(shape), held[0][2].reshape(shape)
 
 
 def top_k(query_ids, queries, ks, ids, rows, exclude_self, reach=None):
     """The nearest rows of one block for each query of one block.
 
-    ``ids``/``rows`` come in id order and ``queries``/``rows`` at unit length. Yields
-    record batches (query_id, rank, id, distance); ranks count within the block. Equal
-    queries are compared once. With ``exclude_self`` one hit more is looked up, and the
-    query's own row is left out of them. Hits beyond a query's ``reach`` are not given.
+    ``ids``/``rows`` come in id order, ``rows`` of any kind and length, ``queries`` at unit
+    length. Yields record batches (query_id, rank, id, distance); ranks count within the
+    block. Equal queries are compared once. With ``exclude_self`` one hit more is looked up,
+    and the query's own row is left out of them. Hits beyond a query's ``reach`` are not given.
     """
     query_ids, ids = combined(query_ids), combined(ids)
     if not len(ids) or not len(query_ids):
@@ -153,31 +219,34 @@ def top_k(query_ids, queries, ks, ids, rows, exclude_self, reach=None):
     first, group = equal_rows(queries)
     asking = np.argsort(group, kind="stable")
     ends = np.searchsorted(group[asking], np.arange(len(first) + 1))
-    step = max(1, MATRIX_CELLS // len(ids))
-    rows_32 = rows.astype(np.float32)
+    most = max(1, int(ks.max()) + exclude_self)
+    # Where all pairs are computed in double precision they weigh more.
+    room = MATRIX_CELLS if len(ids) > 4 * most else MATRIX_CELLS // 8
+    step = max(1, room // block_of(len(ids), most))
     for start in range(0, len(first), step):
         stop = min(start + step, len(first))
-        some = queries[first[start:stop]]
-        lines = asking[ends[start] : ends[stop]]
-        wanted = ks[lines]
-        most = max(1, int(wanted.max()) + exclude_self)
-        columns, values = nearest_columns(some, rows, some.astype(np.float32), rows_32, most)
-        columns, values = columns[group[lines] - start], values[group[lines] - start]
-        other = np.ones(columns.shape, bool) if own is None else columns != own[lines][:, None]
-        ranks = np.cumsum(other, axis=1, dtype=np.int32)
-        given = other & (ranks <= wanted[:, None])
-        if reach is not None:
-            given &= values <= reach[lines][:, None] + 2 * 10.0**-TIE_DECIMALS
-        line, place = np.nonzero(given)
-        yield pa.record_batch(
-            [
-                query_ids.take(pa.array(lines[line])),
-                pa.array(ranks[line, place]),
-                ids.take(pa.array(columns[line, place])),
-                pa.array(values[line, place]),
-            ],
-            names=["query_id", "rank", "id", "distance"],
-        )
+        asked = asking[ends[start] : ends[stop]]
+        most = max(1, int(ks[asked].max()) + exclude_self)
+        columns, values = nearest_in_blocks(queries[first[start:stop]], rows, most)
+        few = max(1, MATRIX_CELLS // 8 // most)
+        for at in range(0, len(asked), few):
+            lines = asked[at : at + few]
+            near, far = columns[group[lines] - start], values[group[lines] - start]
+            other = np.ones(near.shape, bool) if own is None else near != own[lines][:, None]
+            ranks = np.cumsum(other, axis=1, dtype=np.int32)
+            given = other & (ranks <= ks[lines][:, None])
+            if reach is not None:
+                given &= far <= reach[lines][:, None] + 2 * 10.0**-TIE_DECIMALS
+            line, place = np.nonzero(given)
+            yield pa.record_batch(
+                [
+                    query_ids.take(pa.array(lines[line])),
+                    pa.array(ranks[line, place]),
+                    ids.take(pa.array(near[line, place])),
+                    pa.array(far[line, place]),
+                ],
+                names=["query_id", "rank", "id", "distance"],
+            )
 
 
 def gathered(batches, size):
@@ -195,7 +264,7 @@ def gathered(batches, size):
 
 
 def search_held_vectors(held, exclude_self):
-    """Map over queries; ``held`` is a broadcast (ids, unit rows) in id order."""
+    """Map over queries; ``held`` is a broadcast (ids, rows as they came) in id order."""
 
     def run(batches):
         ids, rows = held.value
@@ -215,8 +284,7 @@ def search_held_queries(held, block_rows, exclude_self):
         query_ids, queries, ks = held.value
         most = int(ks.max()) + exclude_self
         for table in gathered(batches, block_rows):
-            rows = unit_rows(matrix(table["vector"], queries.shape[1]))
-            ids, rows = by_id(table["id"], rows, most)
+            ids, rows = by_id(table["id"], matrix(table["vector"], queries.shape[1]), most)
             yield from top_k(query_ids, queries, ks, ids, rows, exclude_self)
 
     return run
@@ -231,8 +299,8 @@ def search_tile(guest_kind, member_kind, exclude_self, schema):
             return schema.empty_table()
         ks, reach = left["k"].to_numpy(), left["reach"].to_numpy()
         most = int(ks.max()) + exclude_self
-        ids, rows = by_id(right["id"], unit_rows(unpacked(right["packed"], member_kind)), most)
-        found, step = [], max(1, 8 * MATRIX_CELLS // max(1, rows.shape[1]))
+        ids, rows = by_id(right["id"], raw_rows(right["packed"], member_kind), most)
+        found, step = [], max(1, MATRIX_CELLS // max(1, rows.shape[1]))
         for start in range(0, left.num_rows, step):
             some, part = left.slice(start, step), slice(start, start + step)
             queries = unit_rows(unpacked(some["packed"], guest_kind))
@@ -316,7 +384,7 @@ def visited_cells(held, probes, slack, kind):
             reach = batch["reach"].to_numpy(zero_copy_only=False)
             raw = packed(batch["vector"], kind) if kind else None
             # Queries at a time: bounds the angles and what one batch of visits may weigh.
-            step = max(1, MATRIX_CELLS // len(pivots) // rows.shape[1] * 8)
+            step = max(1, 2 * MATRIX_CELLS // len(pivots) // rows.shape[1])
             for start in range(0, len(rows), step):
                 part = slice(start, start + step)
                 turn = angles(rows[part], pivots)

@@ -93,7 +93,7 @@ def nearest(
     if strategy in ("auto", "hold_vectors"):
         table = held_if_small(vectors, broadcast_bytes // row_bytes)
         if table is not None:
-            rows = blocks.unit_rows(blocks.matrix(table["vector"], dim))
+            rows = blocks.matrix(table["vector"], dim, cells.value_kind(vectors))
             most = None if k is None else k + exclude_self
             held = sc.broadcast(blocks.by_id(table["id"], rows, most))
             found = queries.mapInArrow(blocks.search_held_vectors(held, exclude_self), schema)

@@ -1,5 +1,8 @@
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from likeness.functions import vectors as X
 from likeness.operators import blocks, cells
@@ -336,3 +339,73 @@ def test_calibration_of_few_rows(spark):
         assert how.recall == 1.0
         want = nearest(some, vectors, 2, exclude_self=True)
         assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, want.collect()))
+
+
+class Held:
+    """What a broadcast looks like to a task."""
+
+    def __init__(self, *value):
+        self.value = value
+
+
+def peak_bytes(work):
+    tracemalloc.start()
+    try:
+        found = work()
+        return found, tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+@pytest.mark.parametrize("kind", ["<f4", "<f8"])
+@pytest.mark.parametrize("k", [3, 300])
+def test_held_vectors_are_not_copied_as_a_whole(kind, k):
+    """Rows of any length, some of them copies and near copies, in more than one block."""
+    rng = np.random.default_rng(21)
+    rows = (rng.normal(size=(120_000, 48)) * rng.uniform(0.1, 9, size=(120_000, 1))).astype(kind)
+    rows[70_000:70_500], rows[5] = rows[1], 0
+    rows[30_000:119_000:997] = rows[2] * (1 + 1e-7 * rng.normal(size=(90, 48)))
+    asked = np.concatenate([rows[:3], rng.normal(size=(9, 48)), rows[:1], np.zeros((1, 48))]).astype(float)
+    ids = pa.array([f"{i:06}" for i in range(len(rows))])
+    queries = [pa.array(range(len(asked))), pa.array(asked.tolist()), pa.array([k] * len(asked), pa.int32())]
+    batch = pa.record_batch(queries, names=["query_id", "vector", "k"])
+    work = blocks.search_held_vectors(Held(ids, rows), False)
+    found, peak = peak_bytes(lambda: list(work([batch])))
+    assert peak < 22e6 < rows.nbytes
+    unit = blocks.unit_rows(rows.astype(float))
+    want = np.round(1 - blocks.unit_rows(asked) @ unit.T, 11) + 0.0
+    table = pa.Table.from_batches(found).to_pydict()
+    for q in range(len(asked)):
+        here = [i for i, x in enumerate(table["query_id"]) if x == q]
+        assert [table["rank"][i] for i in here] == list(range(1, k + 1))
+        nearest_k = np.lexsort((np.arange(len(rows)), want[q]))[:k]
+        assert np.allclose([table["distance"][i] for i in here], want[q][nearest_k], atol=1e-10)
+    # Copies and rows as far as all others come by id.
+    assert [table["id"][i] for i, x in enumerate(table["query_id"]) if x == 1][:2] == ["000001", "070000"]
+    assert [table["id"][i] for i, x in enumerate(table["query_id"]) if x == 13] == ids[:k].to_pylist()
+
+
+def test_a_tile_holds_its_vectors_as_they_came():
+    rng = np.random.default_rng(22)
+    rows, asked = rng.normal(size=(100_000, 64)).astype("<f4"), rng.normal(size=(40_000, 64)).astype("<f4")
+    asked[8:] = asked[rng.integers(0, 8, len(asked) - 8)]
+    values = [pa.chunked_array([pa.array([r.tobytes() for r in some[i : i + 9999]]) for i in range(0, len(some), 9999)]) for some in (asked, rows)]
+    left = pa.table({"query_id": pa.array(range(len(asked))), "packed": values[0], "k": pa.array([2] * len(asked), pa.int32()), "reach": pa.array([2.0] * len(asked))})
+    right = pa.table({"id": pa.array([f"{i:06}" for i in range(len(rows))]), "packed": values[1]})
+    schema = pa.schema([("query_id", pa.int64()), ("rank", pa.int32()), ("id", pa.string()), ("distance", pa.float64())])
+    found, peak = peak_bytes(lambda: blocks.search_tile("<f4", "<f4", False, schema)(left, right))
+    assert peak < 4 * rows.nbytes
+    best = (blocks.unit_rows(asked[:8].astype(float)) @ blocks.unit_rows(rows.astype(float)).T).argmax(axis=1)
+    table = found.filter(pc.equal(found["rank"], 1)).sort_by("query_id")
+    assert table.num_rows == len(asked) and found.num_rows == 2 * len(asked)
+    assert table["id"].to_pylist()[:8] == [f"{i:06}" for i in best]
+
+
+def test_small_vector_tables_are_held_in_their_own_kind(spark, points, monkeypatch):
+    held = []
+    search = blocks.search_held_vectors
+    monkeypatch.setattr(blocks, "search_held_vectors", lambda it, own: held.append(it.value) or search(it, own))
+    vectors = frame(spark, points, "id")
+    for rows, kind in ((vectors, np.float32), (vectors.withColumn("vector", F.col("vector").cast("array<double>")), np.float64)):
+        assert got(neighbours_of_all(rows, 5, strategy="hold_vectors")) == brute(points, points, 5, exclude_self=True)
+        assert held.pop()[1].dtype == kind
