@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections import Counter
+from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
 
-from likeness.operators import browse, encode, resolve
+from likeness.operators import browse, encode, filters, resolve
 
 
 def test_names_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
@@ -88,6 +89,45 @@ def test_requests_of_one_kind_are_listed_once(spark, monkeypatch):
     assert sorted(x["position"] for x in lists[50]) == list(range(1, 4 * 20 + 1))
 
 
+def test_a_listing_sorts_narrow_rows_by_columns(spark, monkeypatch):
+    """Only the columns asked for, and those of the order, are sorted; keys and filters are worked
+    out once for a row, and not for each pair of rows."""
+    seen, inner = [], browse.position_in_group
+
+    def watched(rows, group, *keys):
+        seen.append((set(rows.columns), rows._jdf.queryExecution().optimizedPlan().toString(), keys))
+        return inner(rows, group, *keys)
+
+    monkeypatch.setattr("likeness.operators.ordering.position_in_group", watched)
+    cards, requests = some_cards(spark), some_requests(spark).filter("query_id < 50")
+    found = browse.search_listing(cards, requests, columns=["id"])
+    assert found.columns == ["query_id", "id", "position"]
+    columns, plan, keys = seen[0]
+    assert columns == {"query_id", "sort", "sort_number", "id", "name", "cmc"}
+    assert not any("CASE" in str(k) for k in keys)
+    pairs = [line for line in plan.split("\n") if "own_type" in line and "wish_type" in line and "Filter" in line or "Join" in line]
+    assert pairs and not any(word in line for line in pairs for word in ("trim", "split", "lower(type", "transform"))
+    whole = browse.search_listing(cards, requests)
+    assert whole.columns == ["query_id", "name", "id", "cmc", "type_line", "colors", "position"]
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.select(*found.columns).collect()))
+
+
+def test_wishes_are_what_the_filter_asks_for(spark):
+    kinds = [None, "", "Legendary Creature", "legendary", "Artifact  CREATURE", "\u0130stanbul"]
+    colors = [None, [], ["W"], [" w ", "u"], [None, "U"], ["W", "U", "w"]]
+    values = [None, 0.0, 0.9, 2.0, -1.5]
+    own = [(i, *x) for i, x in enumerate(product(kinds, colors, values))]
+    cards = spark.createDataFrame(own, "id int, type_line string, colors array<string>, cmc double")
+    flags, types, wanted = [None, True, False], [None, " \t", " CREATURE\u00a0", "i\u0307st"], [None, "", "w, u", ",", " U "]
+    asked = [(i, *x) for i, x in enumerate(product(flags, types, wanted, [(None, None), (-1, 0), (0, 2), (2, None)]))]
+    asked = [(*x[:-1], *x[-1]) for x in asked]
+    own = "query_id int, legendary boolean, type_filter string, colors_filter string, cmc_min int, cmc_max int"
+    requests = spark.createDataFrame(asked, own)
+    pairs = requests.withColumns(filters.wishes()).crossJoin(cards.withColumns(filters.traits()))
+    told = pairs.groupBy(filters.request_filter().alias("a"), filters.wishes_met().alias("b")).count().collect()
+    assert {(r["a"], r["b"]) for r in told} == {(True, True), (False, False)}
+
+
 def test_printings_are_shown_once_for_each_name(spark, monkeypatch):
     monkeypatch.setattr(browse, "TILE_ROWS", 4)
     monkeypatch.setattr(browse, "TASK_PRINTINGS", 100)
