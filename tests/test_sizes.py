@@ -64,6 +64,24 @@ def test_a_search_without_limit_is_many_tasks(spark, monkeypatch):
     assert most < found.count() / 4
 
 
+def test_copies_for_tiles_are_made_in_many_tasks(spark, monkeypatch):
+    """Also where both sides come in one task each; small sides stay where they are."""
+    left = spark.range(300, numPartitions=1).select((F.col("id") % 3).alias("key"), F.col("id").alias("a"))
+    right = spark.range(240, numPartitions=1).select((F.col("id") % 4).alias("key"), F.col("id").alias("b"))
+    wanted = Counter((a % 3, a, b) for a in range(300) for b in range(240) if a % 3 == b % 4)
+
+    def exchanges():
+        joined = browse.joined_in_tiles(left, right, "key")
+        assert Counter(map(tuple, joined.select("key", "a", "b").collect())) == wanted
+        plan = joined._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("RepartitionByExpression")
+
+    monkeypatch.setattr(browse, "TILE_ROWS", 8)
+    assert exchanges() == 0
+    monkeypatch.setattr(browse, "TASK_ROWS", 200)
+    assert exchanges() == 4
+
+
 def test_requests_of_one_kind_are_listed_once(spark, monkeypatch):
     monkeypatch.setattr(browse, "TILE_ROWS", 4)
     placed = []
